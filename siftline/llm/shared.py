@@ -92,3 +92,12 @@ def ship(spark: SparkSession) -> None:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def filesystem(uri: str):
+    """(pyarrow file system, path) of a URI in the shared folder, on any executor."""
+    from pyarrow import fs
+
+    if uri.startswith("file:") or "://" not in uri:
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    return fs.FileSystem.from_uri(uri)
