@@ -238,6 +238,9 @@ def write_warc(pages: DataFrame, path: str) -> None:
     revisits = (
         large.join(first, ["_sha2", "_size"]).where("_row <> _keeper").select("_row", "_of", F.lit(True).alias("_revisit"))
     )
+    # As a table its size is known when the join is planned: a small one is broadcast under
+    # Spark's own threshold, so payloads aren't shuffled; a large one is a shuffled join.
+    revisits = shared.materialise(revisits, "warc-revisits")
     tagged = rows.withColumn("_sha1", F.sha1("html")).join(revisits, "_row", "left")
     record(tagged).write.option("lineSep", "\r\n").text(path)
 
