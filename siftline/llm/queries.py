@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, mixing, packing, secret_scan, shared, simhash, token_counts, warc
+from . import chat, exact_dedup, mixing, packing, quality, secret_scan, shared, simhash, token_counts, warc
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -42,6 +42,10 @@ def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(shared.documents(spark, sf_dir))
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(shared.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -51,6 +55,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_warc_round_trip": op6_warc_round_trip,
     "op7_secret_scan": op7_secret_scan,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 SQL: dict[str, str] = {
@@ -92,4 +97,5 @@ SQL: dict[str, str] = {
           CASE WHEN g.keeper <> p.page_id THEN g.keeper END AS refers_to
         FROM p LEFT JOIN g ON p.html = g.html
     """,
+    "op9_quality_rules": quality.SQL,
 }
