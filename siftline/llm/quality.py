@@ -148,7 +148,7 @@ SQL = rf"""
         (length(text) - length(regexp_replace(text, '{SYMBOL}', '', 'g')))::BIGINT AS n_symbols,
         (len(lines) - len(list_distinct(lines)))::BIGINT AS n_dup_lines,
         coalesce(cov.n_repeat_words, 0)::BIGINT AS n_repeat_words,
-        coalesce(list_sum(list_transform(list_filter(lines, x ->
+        coalesce(list_sum(list_transform(list_filter(lines, lambda x:
           regexp_matches(x, '{ENDS_WELL}')
           AND NOT regexp_matches(x, '{NAVIGATION}')
           AND (length(x) - length(regexp_replace(x, '{SYMBOL}', '', 'g'))) * 10 <= length(x)
