@@ -244,3 +244,19 @@ def mix_sources(docs: DataFrame, **options) -> DataFrame:
         "doc_id", "size", "source_size", "target", "taken"
     )
 
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs, whole, each as often as mix takes it; source is a plain column here.
+
+    Rows without a word are never taken. Columns and their order are those of docs.
+    """
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))]).withColumn("_rid", F.monotonically_increasing_id())
+    at = {n: F.col(f"_c{docs.columns.index(n)}") for n in ("doc_id", "text", "source")}
+    # The row's number stands for the doc_id, so that repeated doc_ids stay apart.
+    rows = flat.select(F.col("_rid").alias("doc_id"), at["text"].alias("text"), at["source"].alias("source"))
+    table, *_ = mix(rows, F.array("source"), **options)
+    times = (F.col("taken") / F.col("size")).cast("int")
+    taken = shared.materialise(table.where("taken > 0").select(F.col("doc_id").alias("_rid"), times.alias("_times")), "taken")
+    repeated = flat.join(taken, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
+    return repeated.drop("_rid", "_times", "_copy").toDF(*docs.columns)

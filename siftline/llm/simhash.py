@@ -12,6 +12,12 @@ A bucket over BUCKET is never gathered: its fingerprints are exploded to the poi
 radius / 2 bits away, which two fingerprints share exactly if they are within the radius
 (even radii), and a point has a bounded number of neighbours. Components come from
 alternating large-star and small-star rounds on tables in the shared folder.
+
+`drop_near_copies` is the stage form: one document stays of each group of texts whose
+five-word shingles have a Jaccard similarity of 0.8 or more. Such pairs differ in about ten
+of 64 SimHash bits (measured: 5 to 14), far over any radius that covering tables reach, so
+the stage adds fingerprints of min-wise samples of the shingles to the covering tables, and
+verifies every candidate link on the full shingle sets.
 """
 
 from __future__ import annotations
@@ -184,3 +190,128 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, b
     return prints.join(named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
+
+
+# ---------------------------------------------------------------- the stage form
+
+STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
+#: Sampled fingerprints, and minima in each: a pair of similarity 0.8 shares one with probability 0.998.
+SAMPLES, MINIMA = 16, 5
+#: Rounds in which a bucket elects one representative; then what is left is compared pair by pair.
+ELECTIONS = 12
+
+_SALT = np.random.default_rng(SEED).integers(1, 1 << 63, (2, SAMPLES * MINIMA), dtype=np.uint64)
+_FEATURES = T.StructType(
+    [
+        T.StructField("rid", T.LongType()),
+        T.StructField("doc_id", T.LongType()),
+        T.StructField("keys", T.ArrayType(T.LongType())),
+        T.StructField("shingles", T.ArrayType(T.IntegerType())),
+    ]
+)
+
+
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """XXH64 of each run of `shingle` words (fewer words: one run), as in fingerprint."""
+    from xxhash import xxh64_intdigest
+
+    words = text.encode("utf-8", "surrogatepass").lower().split() if text else []
+    if not words:
+        return np.empty(0, np.uint64)
+    grams = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64)
+
+
+def bucket_keys(hashes: np.ndarray, table_masks: list[int]) -> list[int]:
+    """Signed keys of the covering tables and of the sampled fingerprints; texts with no word have none."""
+    from xxhash import xxh64_intdigest
+
+    if not len(hashes):
+        return []
+    ones = np.zeros(64, np.int64)
+    low = np.full(SAMPLES * MINIMA, np.iinfo(np.uint64).max, np.uint64)
+    for a in range(0, len(hashes), 8192):
+        h = hashes[a : a + 8192]
+        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        mixed = (h[None, :] ^ _SALT[0][:, None]) * (_SALT[1][:, None] | np.uint64(1))
+        np.minimum(low, (mixed ^ (mixed >> np.uint64(29))).min(axis=1), out=low)
+    fp = int((_BIT * (2 * ones > len(hashes)).astype(np.uint64)).sum())
+    parts = [b"c%d:%d" % (t, fp & m) for t, m in enumerate(table_masks)]
+    parts += [b"s%d:" % t + low[t * MINIMA : (t + 1) * MINIMA].tobytes() for t in range(SAMPLES)]
+    return [_signed(xxh64_intdigest(x, SEED)) for x in parts]
+
+
+def _features(batches: Iterator[pa.RecordBatch], shingle: int, table_masks: list[int]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        keys, sets = [], []
+        for text in batch.column(2):
+            h = shingle_hashes(text.as_py(), shingle)
+            keys.append(bucket_keys(h, table_masks))
+            sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))],
+            _FEATURES.names,
+        )
+
+
+def similar_links(features: DataFrame, similarity: float) -> DataFrame:
+    """Edges a, b (row ids) of texts at least `similarity` alike, such that the components are those of all candidates.
+
+    In each bucket every row is compared with the smallest one; rows that aren't alike go
+    on to a further election without it. Verified rows leave the bucket: they are linked.
+    """
+    keyed = features.select("rid", F.explode("keys").alias("key"))
+    shared_keys = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    open_ = shared.materialise(keyed.join(shared_keys, "key", "left_semi"), "bucketed")
+    sets = features.select("rid", "shingles")
+    spark, found = features.sparkSession, None
+    for election in range(ELECTIONS + 1):
+        if election < ELECTIONS:
+            heads = shared.materialise(open_.groupBy("key").agg(F.min("rid").alias("b")), "heads")
+            pairs = open_.join(heads, "key").where("rid <> b").select("key", F.col("rid").alias("a"), "b")
+        else:
+            other = open_.select("key", F.col("rid").alias("b"))
+            pairs = open_.select("key", F.col("rid").alias("a")).join(other, "key").where("b < a").select("key", "a", "b")
+        pairs = shared.materialise(pairs, "pairs")
+        if pairs.isEmpty():
+            break
+        alike = F.size(F.array_intersect("sa", "sb"))
+        checked = (
+            pairs.select("a", "b")
+            .distinct()
+            .join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")), "a")
+            .join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")), "b")
+            .select("a", "b", alike.alias("both"), (F.size("sa") + F.size("sb") - alike).alias("either"))
+            .select("a", "b", (F.col("both") >= F.col("either") * similarity).alias("linked"))
+        )
+        checked = shared.materialise(checked, "checked")
+        fresh = checked.where("linked").select("a", "b")
+        found = fresh if found is None else found.unionByName(fresh)
+        if election == ELECTIONS:
+            break
+        failed = pairs.join(checked.where("not linked"), ["a", "b"], "left_semi").select(F.col("a").alias("rid"), "key")
+        open_ = shared.materialise(failed, "bucketed")
+    return found if found is not None else spark.createDataFrame([], _EDGES)
+
+
+def drop_near_copies(docs: DataFrame, similarity: float = STAGE_SIMILARITY, shingle: int = STAGE_SHINGLE) -> DataFrame:
+    """The rows of docs, whole, less all but one of each group of near copies.
+
+    Texts are near copies if the Jaccard similarity of their sets of `shingle`-word runs is
+    at least `similarity`; groups are connected components. The smallest doc_id stays, null
+    doc_ids only if there is no other; of repeated rows one. Texts without a word are left
+    alone. Columns and their order are those of docs; an empty table gives no rows.
+    """
+    shared.ship(docs.sparkSession)
+    flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))]).withColumn("_rid", F.monotonically_increasing_id())
+    doc_id, text = (F.col(f"_c{docs.columns.index(n)}") for n in ("doc_id", "text"))
+    rows = flat.select("_rid", doc_id.cast("long").alias("doc_id"), text.alias("text"))
+    f = partial(_features, shingle=shingle, table_masks=masks(RADIUS))
+    features = shared.materialise(rows.mapInArrow(f, _FEATURES), "features")
+    found = components(similar_links(features, similarity))
+    ids = features.select("rid", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid").alias("who"))
+    grouped = shared.materialise(found.join(ids, found["node"] == ids["rid"]).select("root", "who"), "grouped")
+    stays = shared.materialise(grouped.groupBy("root").agg(F.min("who").alias("first")), "stays")
+    goes = grouped.join(stays, "root").where(F.col("who.rid") != F.col("first.rid")).select(F.col("who.rid").alias("_rid"))
+    goes = shared.materialise(goes, "goes")
+    return flat.join(goes, "_rid", "left_anti").drop("_rid").toDF(*docs.columns)
