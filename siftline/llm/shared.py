@@ -1,17 +1,15 @@
-"""What the training-data operators share: shared work folder, column picking, code shipping."""
+"""What the training-data operators share: shared work folder, column picking."""
 
 from __future__ import annotations
 
 import atexit
-import os
-import tempfile
 import uuid
-import zipfile
-from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from siftline.deploy import ship  # noqa: F401  used by the operators
+
 #: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
 LOCAL_WORK_DIR = "file:///tmp/checkpoints/siftline"
 
@@ -19,7 +17,6 @@ LOCAL_WORK_DIR = "file:///tmp/checkpoints/siftline"
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_shipped: set[str] = set()
 _made: list[tuple[SparkSession, str]] = []
 
 
@@ -75,21 +72,6 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return flat.select(*[F.col(f"_p{i}").alias(n) for i, n in zip(where, names)])
 
 
-def ship(spark: SparkSession) -> None:
-    """Let executors import this package even where it is not on their path."""
-    app = spark.sparkContext.applicationId
-    if app in _shipped:
-        return
-    package = Path(__file__).resolve().parent.parent
-    fd, name = tempfile.mkstemp(prefix="siftline-", suffix=".zip")
-    os.close(fd)
-    with zipfile.ZipFile(name, "w") as z:
-        for p in sorted(package.rglob("*.py")):
-            z.write(p, str(p.relative_to(package.parent)))
-    spark.sparkContext.addPyFile(name)
-    _shipped.add(app)
-
-
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -197,8 +197,12 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, b
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 #: Sampled fingerprints, and minima in each: a pair of similarity 0.8 shares one with probability 0.998.
 SAMPLES, MINIMA = 16, 5
-#: Rounds in which a bucket elects one representative; then what is left is compared pair by pair.
-ELECTIONS = 12
+#: Elections before what is left of a bucket is compared within itself, if it has at most REST rows, or dealt anew.
+ELECTIONS, REST = 3, 1024
+#: Finer keys per row when a bucket is dealt anew, minima in each, and how often that may happen.
+SPLITS, SPLIT_MINIMA, SPLIT_DEPTH = 16, 3, 4
+#: Standard deviations below the similarity at which a pair's agreement in minima still counts as a candidate.
+SLACK = 3.2
 
 _SALT = np.random.default_rng(SEED).integers(1, 1 << 63, (2, SAMPLES * MINIMA), dtype=np.uint64)
 _FEATURES = T.StructType(
@@ -206,6 +210,7 @@ _FEATURES = T.StructType(
         T.StructField("rid", T.LongType()),
         T.StructField("doc_id", T.LongType()),
         T.StructField("keys", T.ArrayType(T.LongType())),
+        T.StructField("minima", T.ArrayType(T.IntegerType())),
         T.StructField("shingles", T.ArrayType(T.IntegerType())),
     ]
 )
@@ -222,12 +227,12 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.fromiter((xxh64_intdigest(g, SEED) for g in grams), np.uint64)
 
 
-def bucket_keys(hashes: np.ndarray, table_masks: list[int]) -> list[int]:
-    """Signed keys of the covering tables and of the sampled fingerprints; texts with no word have none."""
+def bucket_keys(hashes: np.ndarray, table_masks: list[int]) -> tuple[list[int], np.ndarray]:
+    """Signed keys of the covering tables and of the sampled fingerprints, and the samples' minima; texts with no word have none."""
     from xxhash import xxh64_intdigest
 
     if not len(hashes):
-        return []
+        return [], np.empty(0, np.int32)
     ones = np.zeros(64, np.int64)
     low = np.full(SAMPLES * MINIMA, np.iinfo(np.uint64).max, np.uint64)
     for a in range(0, len(hashes), 8192):
@@ -238,60 +243,110 @@ def bucket_keys(hashes: np.ndarray, table_masks: list[int]) -> list[int]:
     fp = int((_BIT * (2 * ones > len(hashes)).astype(np.uint64)).sum())
     parts = [b"c%d:%d" % (t, fp & m) for t, m in enumerate(table_masks)]
     parts += [b"s%d:" % t + low[t * MINIMA : (t + 1) * MINIMA].tobytes() for t in range(SAMPLES)]
-    return [_signed(xxh64_intdigest(x, SEED)) for x in parts]
+    return [_signed(xxh64_intdigest(x, SEED)) for x in parts], (low >> np.uint64(8)).astype(np.uint32).view(np.int32)
 
 
 def _features(batches: Iterator[pa.RecordBatch], shingle: int, table_masks: list[int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, sets = [], []
+        keys, samples, sets = [], [], []
         for text in batch.column(2):
             h = shingle_hashes(text.as_py(), shingle)
-            keys.append(bucket_keys(h, table_masks))
+            own, low = bucket_keys(h, table_masks)
+            keys.append(own)
+            samples.append(low)
             sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32))
         yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(1), pa.array(keys, pa.list_(pa.int64())), pa.array(sets, pa.list_(pa.int32()))],
+            [
+                batch.column(0),
+                batch.column(1),
+                pa.array(keys, pa.list_(pa.int64())),
+                pa.array(samples, pa.list_(pa.int32())),
+                pa.array(sets, pa.list_(pa.int32())),
+            ],
             _FEATURES.names,
         )
 
 
-def similar_links(features: DataFrame, similarity: float) -> DataFrame:
-    """Edges a, b (row ids) of texts at least `similarity` alike, such that the components are those of all candidates.
+def _close_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
+    """Pairs of a bucket's members (at most REST) that agree in at least `least` minima."""
+    for batch in batches:
+        out_a: list[np.ndarray] = []
+        out_b: list[np.ndarray] = []
+        for members in batch.column(0):
+            rows = members.as_py()
+            ids, low = np.array([r["rid"] for r in rows], np.int64), np.array([r["minima"] for r in rows], np.int32)
+            for i in range(1, len(ids)):
+                near = np.flatnonzero((low[:i] == low[i]).sum(axis=1) >= least)
+                out_a.append(np.maximum(ids[near], ids[i]))
+                out_b.append(np.minimum(ids[near], ids[i]))
+        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], _EDGES.names)
+
+
+def _together(keyed: DataFrame) -> DataFrame:
+    """Rows (rid, key) whose key another row has."""
+    again = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return shared.materialise(keyed.join(again, "key", "left_semi").select("rid", "key"), "bucketed")
+
 
-    In each bucket every row is compared with the smallest one; rows that aren't alike go
-    on to a further election without it. Verified rows leave the bucket: they are linked.
+def _finer(rows: DataFrame, depth: int) -> DataFrame:
+    """Each row (rid, key, minima) under SPLITS finer keys: its key with some further minima."""
+    size = SAMPLES * MINIMA
+    at = [[(SPLIT_MINIMA * j + 7 * depth + i) % size for i in range(SPLIT_MINIMA)] for j in range(SPLITS)]
+    keys = [F.xxhash64(F.col("key"), F.lit(j + SPLITS * depth), *[F.get("minima", F.lit(i)) for i in x]) for j, x in enumerate(at)]
+    return rows.select("rid", F.explode(F.array(*keys)).alias("key"))
+
+
+def similar_links(features: DataFrame, similarity: float) -> DataFrame:
+    """Edges a, b (row ids) of texts at least `similarity` alike, enough to connect what is alike.
+
+    In each bucket every row is compared with the smallest one; rows that are alike leave
+    the bucket linked, the others elect anew. What is left after ELECTIONS rounds is a set
+    of mostly unlike texts: a small one is compared within itself on the minima and only
+    close pairs are verified; a large one is dealt anew under finer keys, which like texts
+    still share, and worked off the same way. Buckets that stay large at the last depth go
+    on electing until none is left, so no candidate is dropped.
     """
-    keyed = features.select("rid", F.explode("keys").alias("key"))
-    shared_keys = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    open_ = shared.materialise(keyed.join(shared_keys, "key", "left_semi"), "bucketed")
-    sets = features.select("rid", "shingles")
-    spark, found = features.sparkSession, None
-    for election in range(ELECTIONS + 1):
-        if election < ELECTIONS:
-            heads = shared.materialise(open_.groupBy("key").agg(F.min("rid").alias("b")), "heads")
-            pairs = open_.join(heads, "key").where("rid <> b").select("key", F.col("rid").alias("a"), "b")
-        else:
-            other = open_.select("key", F.col("rid").alias("b"))
-            pairs = open_.select("key", F.col("rid").alias("a")).join(other, "key").where("b < a").select("key", "a", "b")
-        pairs = shared.materialise(pairs, "pairs")
-        if pairs.isEmpty():
-            break
-        alike = F.size(F.array_intersect("sa", "sb"))
+    found = features.sparkSession.createDataFrame([], _EDGES)
+    open_ = _together(features.select("rid", F.explode("keys").alias("key")))
+    sets = features.select("rid", "minima", "shingles").join(open_.select("rid").distinct(), "rid", "left_semi")
+    sets = shared.materialise(sets, "sets")
+    alike = F.size(F.array_intersect("sa", "sb"))
+    least = int(SAMPLES * MINIMA * similarity - SLACK * (SAMPLES * MINIMA * similarity * (1 - similarity)) ** 0.5)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """pairs a, b with whether they are alike."""
         checked = (
             pairs.select("a", "b")
             .distinct()
             .join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")), "b")
-            .select("a", "b", alike.alias("both"), (F.size("sa") + F.size("sb") - alike).alias("either"))
-            .select("a", "b", (F.col("both") >= F.col("either") * similarity).alias("linked"))
+            .select("a", "b", alike.alias("both"), (F.size("sa") + F.size("sb")).alias("sizes"))
+            .select("a", "b", (F.col("both") >= (F.col("sizes") - F.col("both")) * similarity).alias("linked"))
         )
-        checked = shared.materialise(checked, "checked")
-        fresh = checked.where("linked").select("a", "b")
-        found = fresh if found is None else found.unionByName(fresh)
-        if election == ELECTIONS:
-            break
+        return shared.materialise(checked, "checked")
+
+    depth, election = 0, 0
+    while not open_.isEmpty():
+        heads = shared.materialise(open_.groupBy("key").agg(F.min("rid").alias("b")), "heads")
+        pairs = shared.materialise(open_.join(heads, "key").where("rid <> b").select("key", F.col("rid").alias("a"), "b"), "pairs")
+        checked = verified(pairs)
+        found = found.unionByName(checked.where("linked").select("a", "b"))
         failed = pairs.join(checked.where("not linked"), ["a", "b"], "left_semi").select(F.col("a").alias("rid"), "key")
-        open_ = shared.materialise(failed, "bucketed")
-    return found if found is not None else spark.createDataFrame([], _EDGES)
+        open_, election = _together(failed), election + 1
+        if election < ELECTIONS:
+            continue
+        sizes = shared.materialise(open_.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+        small = open_.join(sizes.where(F.col("n") <= REST), "key").join(sets.select("rid", "minima"), "rid")
+        gathered = small.groupBy("key").agg(F.collect_list(F.struct("rid", "minima")).alias("members")).select("members")
+        checked = verified(gathered.mapInArrow(partial(_close_pairs, least=least), _EDGES))
+        found = found.unionByName(checked.where("linked").select("a", "b"))
+        large = open_.join(sizes.where(F.col("n") > REST), "key", "left_semi")
+        if depth < SPLIT_DEPTH:
+            depth, election = depth + 1, 0
+            large = _finer(large.join(sets.select("rid", "minima"), "rid"), depth)
+        open_ = _together(large)
+    return found
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = STAGE_SIMILARITY, shingle: int = STAGE_SHINGLE) -> DataFrame:
