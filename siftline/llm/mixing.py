@@ -251,7 +251,7 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 
     Rows without a word are never taken. Columns and their order are those of docs.
     """
-    flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))]).withColumn("_rid", F.monotonically_increasing_id())
+    flat = shared.numbered(docs, "mix-rows")
     at = {n: F.col(f"_c{docs.columns.index(n)}") for n in ("doc_id", "text", "source")}
     # The row's number stands for the doc_id, so that repeated doc_ids stay apart.
     rows = flat.select(F.col("_rid").alias("doc_id"), at["text"].alias("text"), at["source"].alias("source"))

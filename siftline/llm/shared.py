@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import atexit
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _made: list[tuple[SparkSession, str]] = []
+_scopes: list[list[str]] = []
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -53,14 +56,38 @@ def _discard_all() -> None:
             return
 
 
-def materialise(df: DataFrame, tag: str) -> DataFrame:
+@contextmanager
+def temporary(spark: SparkSession) -> Iterator[None]:
+    """Tables that are materialised inside are removed at the end, but for those to keep."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for path in _scopes.pop():
+            discard(spark, path)
+
+
+def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
     path = work_path(spark, tag)
+    if _scopes and not keep:
+        _scopes[-1].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, tag: str) -> DataFrame:
+    """df as a table in the shared folder with columns _c0, _c1, ... and a row number _rid.
+
+    A number is only good if it is the same whenever the rows are read: scans may be split
+    otherwise after an executor is lost, and shuffles order rows by the columns that are
+    left. So the numbers are written once with their rows.
+    """
+    flat = df.toDF(*[f"_c{i}" for i in range(len(df.columns))])
+    return materialise(flat.withColumn("_rid", F.monotonically_increasing_id()), tag, keep=True)
+
+
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The named columns, matched with exact case, whatever else the table holds."""
     where = []

@@ -225,9 +225,10 @@ def write_warc(pages: DataFrame, path: str) -> None:
     with the largest page_id one is the response. A null url is an empty header. Other
     columns are ignored; an empty table makes no records.
     """
-    rows = shared.pick(pages, "page_id", "url", "html").withColumn("html", F.coalesce("html", F.lit("")))
-    rows = rows.withColumn("_size", F.octet_length("html")).withColumn("_row", F.monotonically_increasing_id())
-    # Rows are identified by their place in the input once, so that a recomputed task can't number them anew.
+    rows = shared.numbered(shared.pick(pages, "page_id", "url", "html"), "warc-rows").withColumnsRenamed(
+        {"_c0": "page_id", "_c1": "url", "_c2": "html", "_rid": "_row"}
+    )
+    rows = rows.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("_size", F.octet_length("html"))
     keys = rows.select("page_id", "_row", "_size", F.sha1("html").alias("_sha1"), F.sha2("html", 256).alias("_sha2"))
     keys = shared.materialise(keys, "warc-keys")
     large = keys.where(F.col("_size") >= REVISIT_BYTES)
