@@ -267,20 +267,29 @@ def _features(batches: Iterator[pa.RecordBatch], shingle: int, table_masks: list
         )
 
 
-def _close_pairs(batches: Iterator[pa.RecordBatch], least: int) -> Iterator[pa.RecordBatch]:
-    """Pairs of a bucket's members (at most REST) that agree in at least `least` minima."""
+def _rest_forest(batches: Iterator[pa.RecordBatch], least: int, similarity: float) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links between a bucket's members (at most REST).
+
+    Pairs that agree in fewer than `least` minima or are connected already are skipped; the
+    others are verified on their full shingle sets.
+    """
     for batch in batches:
-        out_a: list[np.ndarray] = []
-        out_b: list[np.ndarray] = []
+        found: list[tuple[int, int]] = []
         for members in batch.column(0):
             rows = members.as_py()
-            ids, low = np.array([r["rid"] for r in rows], np.int64), np.array([r["minima"] for r in rows], np.int32)
-            for i in range(1, len(ids)):
-                near = np.flatnonzero((low[:i] == low[i]).sum(axis=1) >= least)
-                out_a.append(np.maximum(ids[near], ids[i]))
-                out_b.append(np.minimum(ids[near], ids[i]))
-        a, b = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (out_a, out_b))
-        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], _EDGES.names)
+            low = np.array([r["minima"] for r in rows], np.int32)
+            sets = [np.array(r["shingles"], np.int32) for r in rows]
+            group = np.arange(len(rows))
+            for i in range(1, len(rows)):
+                for j in np.flatnonzero((low[:i] == low[i]).sum(axis=1) >= least).tolist():
+                    if group[i] == group[j]:
+                        continue
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if both >= (len(sets[i]) + len(sets[j]) - both) * similarity:
+                        found.append((rows[i]["rid"], rows[j]["rid"]))
+                        group[group == group[i]] = group[j]
+        a, b = zip(*found) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], _EDGES.names)
 
 
 def _together(keyed: DataFrame) -> DataFrame:
@@ -302,8 +311,8 @@ def similar_links(features: DataFrame, similarity: float) -> DataFrame:
 
     In each bucket every row is compared with the smallest one; rows that are alike leave
     the bucket linked, the others elect anew. What is left after ELECTIONS rounds is a set
-    of mostly unlike texts: a small one is compared within itself on the minima and only
-    close pairs are verified; a large one is dealt anew under finer keys, which like texts
+    of mostly unlike texts: a small one is compared within itself, on the minima first, and
+    gives a spanning forest, not its pairs; a large one is dealt anew under finer keys, which like texts
     still share, and worked off the same way. Buckets that stay large at the last depth go
     on electing until none is left, so no candidate is dropped.
     """
@@ -337,10 +346,10 @@ def similar_links(features: DataFrame, similarity: float) -> DataFrame:
         if election < ELECTIONS:
             continue
         sizes = shared.materialise(open_.groupBy("key").agg(F.count("*").alias("n")), "sizes")
-        small = open_.join(sizes.where(F.col("n") <= REST), "key").join(sets.select("rid", "minima"), "rid")
-        gathered = small.groupBy("key").agg(F.collect_list(F.struct("rid", "minima")).alias("members")).select("members")
-        checked = verified(gathered.mapInArrow(partial(_close_pairs, least=least), _EDGES))
-        found = found.unionByName(checked.where("linked").select("a", "b"))
+        small = open_.join(sizes.where(F.col("n") <= REST), "key").join(sets, "rid")
+        gathered = small.groupBy("key").agg(F.collect_list(F.struct("rid", "minima", "shingles")).alias("members")).select("members")
+        forest = gathered.mapInArrow(partial(_rest_forest, least=least, similarity=similarity), _EDGES)
+        found = found.unionByName(shared.materialise(forest, "forest"))
         large = open_.join(sizes.where(F.col("n") > REST), "key", "left_semi")
         if depth < SPLIT_DEPTH:
             depth, election = depth + 1, 0
@@ -358,15 +367,16 @@ def drop_near_copies(docs: DataFrame, similarity: float = STAGE_SIMILARITY, shin
     alone. Columns and their order are those of docs; an empty table gives no rows.
     """
     shared.ship(docs.sparkSession)
-    flat = docs.toDF(*[f"_c{i}" for i in range(len(docs.columns))]).withColumn("_rid", F.monotonically_increasing_id())
+    flat = shared.numbered(docs, "near-rows")
     doc_id, text = (F.col(f"_c{docs.columns.index(n)}") for n in ("doc_id", "text"))
     rows = flat.select("_rid", doc_id.cast("long").alias("doc_id"), text.alias("text"))
     f = partial(_features, shingle=shingle, table_masks=masks(RADIUS))
-    features = shared.materialise(rows.mapInArrow(f, _FEATURES), "features")
-    found = components(similar_links(features, similarity))
-    ids = features.select("rid", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid").alias("who"))
-    grouped = shared.materialise(found.join(ids, found["node"] == ids["rid"]).select("root", "who"), "grouped")
-    stays = shared.materialise(grouped.groupBy("root").agg(F.min("who").alias("first")), "stays")
-    goes = grouped.join(stays, "root").where(F.col("who.rid") != F.col("first.rid")).select(F.col("who.rid").alias("_rid"))
-    goes = shared.materialise(goes, "goes")
+    with shared.temporary(docs.sparkSession):
+        features = shared.materialise(rows.mapInArrow(f, _FEATURES), "features")
+        found = components(similar_links(features, similarity))
+        ids = features.select("rid", F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "rid").alias("who"))
+        grouped = shared.materialise(found.join(ids, found["node"] == ids["rid"]).select("root", "who"), "grouped")
+        stays = shared.materialise(grouped.groupBy("root").agg(F.min("who").alias("first")), "stays")
+        goes = grouped.join(stays, "root").where(F.col("who.rid") != F.col("first.rid")).select(F.col("who.rid").alias("_rid"))
+        goes = shared.materialise(goes, "goes", keep=True)
     return flat.join(goes, "_rid", "left_anti").drop("_rid").toDF(*docs.columns)
