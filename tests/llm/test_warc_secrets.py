@@ -1,0 +1,150 @@
+import gzip
+import hashlib
+import io
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from siftline.llm import secret_scan as s
+from siftline.llm import shared, warc
+
+BIG = "<p>é</p>" * 200
+PAGES = [
+    (1, "http://a/", BIG), (7, "http://b/\r\nX: y", BIG), (3, None, BIG), (4, "http://c/", None), (5, "http://d/", ""), (6, "u", "<p>x</p>"),
+    (8, "u", "<p>x</p>"), (9, "u", BIG + "WARC/1.1\r\nWARC-Type: response\r\n\r\n"), (10, "u", BIG + "q"), (10, "u", BIG + "q"), (None, "u", BIG + "z"),
+    (None, "u", BIG + "z"), (11, "u", "\r\n\r\n" + BIG * 30),
+]
+
+
+def pages(spark, rows=PAGES):
+    return spark.createDataFrame([(*r, "e") for r in rows], "page_id long, url string, html string, record_type string").repartition(3)
+
+
+def test_round_trip(spark):
+    got = warc.archive_round_trip(pages(spark)).collect()
+    groups = {}
+    for i, _, html in PAGES:
+        groups.setdefault(html or "", []).append(i)
+    want = []
+    for html, ids in groups.items():
+        data = html.encode()
+        top = max(ids, key=lambda i: -1 if i is None else i)
+        for k, i in enumerate(sorted(ids, key=lambda i: -1 if i is None else i, reverse=True)):
+            again = len(data) >= 1000 and k > 0
+            want.append((i, len(data), hashlib.sha1(data).hexdigest(), "revisit" if again else "response", top if again else None))
+    key = lambda r: tuple((x is None, x or 0) for x in r[:2]) + r[2:4]
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+
+
+def test_payload_comes_back(spark):
+    path = shared.work_path(spark, "t")
+    warc.write_warc(pages(spark), path)
+    rows = warc.read_warc(spark, path).where("record_type = 'response'")
+    assert {bytes(r.payload).decode() for r in rows.select("payload").collect()} == {h or "" for _, _, h in PAGES}
+    assert rows.where("target_uri = 'http://a/'").count() + warc.read_warc(spark, path).where("record_type = 'revisit' and target_uri = 'http://a/'").count() == 1
+    assert warc.read_warc(spark, path).where(F.col("record_type").isin("request", "metadata")).count() == 0
+
+
+def test_filters_reach_the_reader():
+    from pyspark.sql.datasource import EqualTo, GreaterThan, In
+
+    reader = warc.WarcReader({"files": "[]"})
+    rest = list(reader.pushFilters([EqualTo(("record_type",), "response"), In(("target_uri",), ("a", "b")), GreaterThan(("payload_bytes",), 3)]))
+    assert reader.wanted == {"record_type": ["response"], "target_uri": ["a", "b"]} and len(rest) == 1
+
+
+def archive(records):
+    return b"".join(b"WARC/1.0\r\nWARC-Type: %s\r\nContent-Length: %d\r\n\r\n%s\r\n\r\n" % (t, len(b), b) for t, b in records)
+
+
+class Counting(io.BytesIO):
+    read_bytes = 0
+
+    def read(self, *a):
+        out = super().read(*a)
+        Counting.read_bytes += len(out)
+        return out
+
+
+def test_unwanted_blocks_are_not_read():
+    data = archive([(b"request", b"x" * 5000), (b"response", b"y" * 10)])
+    Counting.read_bytes = 0
+    got = list(warc.read_records(Counting(data), "f", {"record_type": ["response"]}, True, True))
+    assert len(got) == 1 and got[0][9] == b"y" * 10 and Counting.read_bytes < 100
+
+
+def test_gzip_members(tmp_path, spark):
+    with (tmp_path / "a.warc.gz").open("wb") as f:
+        for r in ([(b"response", b"abc")], [(b"resource", b"de")]):
+            f.write(gzip.compress(archive(r)))
+    rows = warc.read_warc(spark, f"file://{tmp_path}").collect()
+    assert sorted(bytes(r.payload) for r in rows) == [b"abc", b"de"]
+
+
+def test_broken_archive():
+    with pytest.raises(ValueError):
+        list(warc.read_records(io.BytesIO(b"nonsense\r\n\r\n"), "f", {}, True, True))
+    with pytest.raises(ValueError):
+        list(warc.read_records(io.BytesIO(archive([(b"response", b"abcdef")])[:-8]), "f", {}, True, True))
+
+
+def test_partitions_by_size():
+    reader = warc.WarcReader({"files": '[["a", 20], ["b", 20], ["c", 5], ["d", 50]]', "partitionBytes": "30"})
+    assert [p.files for p in reader.partitions()] == [["a"], ["b", "c"], ["d"]]
+
+
+def test_no_pages(spark):
+    assert warc.archive_round_trip(pages(spark).limit(0)).collect() == []
+
+
+# ---------------------------------------------------------------- secrets
+
+
+def brute(text):
+    rules = (("assign", s.ASSIGN, lambda m: len(m[2]) >= 8), ("access", s.ACCESS, lambda m: len(m[0]) >= 16), ("hex", s.HEX, lambda m: len(m[0]) >= 32))
+    out = [(k, m.start(), m.end()) for k, p, ok in rules for m in p.finditer(text) if ok(m)]
+    return sorted(out, key=lambda x: (x[1], s.KINDS.index(x[0])))
+
+
+PARTS = [
+    "password", "PassWd", "token", "api_key", "apikey", "api", "_", "é", "😀", "=", ":", " ", '"', "'", "abcdefgh12", "AKIA", "AKIAABCDEFGHIJKLMN", "0123456789abcdef",
+    "\n", "İ", "ſecret", "secret", "x", "passwordpasswd=", "toKen:",
+]
+
+
+def test_base_kinds_are_brute_force():
+    rng = random.Random(1)
+    for _ in range(20_000):
+        text = "".join(rng.choice(PARTS) for _ in range(rng.randint(0, 14)))
+        assert [x for x in s.find_spans(text) if x[0] in s.KINDS[:3]] == brute(text), text
+
+
+def test_checksums():
+    body = "A" * 29 + "z"
+    good, bad = f"ghp_{body}{s.base62_crc32(body)}", f"ghp_{body}000000"
+    assert s.find_spans(f"é {good} {bad}") == [("github", 2, 2 + len(good))]
+    assert s.find_spans(f"npm_{body}{s.base62_crc32(body)}")[0][0] == "npm"
+    assert s.find_spans("eyJhbGciOiJIUzI1NiJ9.eyJhIjoxfQ.sig")[0][0] == "jwt"
+    assert s.find_spans("eyJxxxx.eyJhIjoxfQ.sig") == []
+    pem = "-----BEGIN RSA PRIVATE KEY-----\nAAAA\n-----END RSA PRIVATE KEY-----"
+    assert s.find_spans(f"x{pem}y") == [("pem", 1, 1 + len(pem))]
+
+
+def test_report(spark):
+    texts = [(1, "password = hunter2hunter2"), (2, None), (3, ""), (None, "AKIA" + "A" * 16), (4, "x" * 300_000 + "f" * 40), (4, "x" * 300_000 + "f" * 40)]
+    docs = spark.createDataFrame([(*t, 1) for t in texts], "doc_id long, text string, n_hex int")
+    got = s.scan_secrets(docs).collect()
+    assert len(got) == len(texts)
+    for r in got:
+        text = next(t for i, t in texts if i == r.doc_id) or ""
+        assert r.spans == s.join_spans(brute(text)) and r.base_sha256 == hashlib.sha256(r.spans.encode()).hexdigest()
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == b[0] for b in brute(text)) for k in ("assign", "access", "hex"))
+    assert s.scan_secrets(docs.limit(0)).collect() == []
+
+
+def test_redact(spark):
+    assert s.redact("a password=abcdefgh1 b") == "a [SECRET] b" and s.redact(None) is None and s.redact("clean") == "clean"
+    assert s.redact("token=" + "a" * 40) == "[SECRET]"
+    docs = spark.createDataFrame([(1, "token=abcdefgh")], "doc_id long, text string")
+    assert s.redact_secrets(docs).first().text == "[SECRET]"
