@@ -123,6 +123,12 @@ def lease_decision(status: Column, expires: Column, now: Column, attempt: Column
     return F.when(~F.coalesce(lapsed, F.lit(False)), "KEEP").when(attempt + 1 > most, "FAIL").otherwise("REQUEUE")
 
 
+def cancel_decision(status: Column, requested_at: Column, now: Column) -> Column:
+    """At each checkpoint: CANCEL a job whose cancellation was requested, unless it has ended; else CONTINUE."""
+    asked = requested_at.isNotNull() & (requested_at <= now) & ~status.isin(*TERMINAL)
+    return F.when(F.coalesce(asked, F.lit(False)), "CANCEL").otherwise("CONTINUE")
+
+
 def lease_until(now: Column, seconds: int) -> Column:
     return now + F.make_interval(secs=F.lit(seconds))
 

@@ -233,15 +233,15 @@ def event_sequence(spark, sf):
 
 
 @query("""
-    WITH e AS (SELECT *, event_id % 3 = 0 AS held FROM events),
+    WITH e AS (SELECT *, event_type = 'view' AS held FROM events),
     h AS (SELECT user_id, count(*) AS n FROM e WHERE held GROUP BY user_id)
     SELECT e.user_id AS job_id, event_id AS id, coalesce(h.n, 0) + row_number() OVER (PARTITION BY e.user_id ORDER BY ts, event_id) AS sequence_no
     FROM e LEFT JOIN h ON e.user_id = h.user_id WHERE NOT held
 """)
 def event_sequence_append(spark, sf):
     rows = _events(spark, sf)
-    held = lifecycle.numbered_events(rows.where("id % 3 = 0"))
-    return lifecycle.numbered_events(rows.where("id % 3 <> 0"), held).select("job_id", "id", "sequence_no")
+    held = lifecycle.numbered_events(rows.where("event_type = 'view'"))
+    return lifecycle.numbered_events(rows.where("event_type <> 'view'"), held).select("job_id", "id", "sequence_no")
 
 
 @query("""
@@ -275,7 +275,7 @@ def running_cap(spark, sf):
 
 
 @query("""
-    WITH held AS (SELECT * FROM events WHERE event_id % 10 = 0), cand AS (SELECT * FROM events WHERE event_id % 10 <> 0),
+    WITH held AS (SELECT * FROM events WHERE value < 1), cand AS (SELECT * FROM events WHERE value >= 1),
     k AS (SELECT DISTINCT user_id, event_type FROM held), n AS (SELECT user_id, count(*) AS n FROM held WHERE event_type <> 'error' GROUP BY user_id),
     d AS (
       SELECT c.*, k.user_id IS NOT NULL OR row_number() OVER (PARTITION BY c.user_id, c.event_type ORDER BY event_id) > 1 AS dup, coalesce(n.n, 0) AS held_n
@@ -285,10 +285,10 @@ def running_cap(spark, sf):
       THEN 'DISCOVERED' ELSE 'SKIPPED' END AS status FROM d
 """)
 def inventory_cap(spark, sf):
-    rows = _events(spark, sf).select("id", "job_id", F.col("event_type").alias("canonical_url"), F.lit("candidate").alias("decision"))
+    rows = _events(spark, sf).select("id", "job_id", "value", F.col("event_type").alias("canonical_url"), F.lit("candidate").alias("decision"))
     rejected = F.when(F.col("canonical_url") == "error", "REJECTED").otherwise("DISCOVERED")
-    held = rows.where("id % 10 = 0").withColumn("status", rejected)
-    return discovery.inventory(rows.where("id % 10 <> 0"), 3, job="job_id", order=["id"], existing=held).select("id", "status")
+    held = rows.where("value < 1").withColumn("status", rejected)
+    return discovery.inventory(rows.where("value >= 1"), 3, job="job_id", order=["id"], existing=held).select("id", "status")
 
 
 @query("SELECT doc_id AS id, source FROM (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS n FROM documents) WHERE n <= 100")
@@ -317,7 +317,7 @@ def rate_limit_admitted(spark, sf):
 def _outbox(spark, sf):
     rows = _events(spark, sf)
     return rows.select(
-        "id", F.col("job_id"), F.concat_ws(":", "job_id", "event_type").alias("operation_key"), F.col("occurred_at").alias("created_at"),
+        "id", "job_id", "value", F.concat_ws(":", "job_id", "event_type").alias("operation_key"), F.col("occurred_at").alias("created_at"),
         F.col("occurred_at").alias("available_at"), F.when(F.col("event_type") == "view", F.col("occurred_at")).alias("published_at"),
     )
 
@@ -380,17 +380,17 @@ def idempotency_conflicts(spark, sf):
     return per.agg(F.count_distinct("h").alias("hashes")).where("hashes > 1")
 
 
-@query("SELECT id, job_id FROM (SELECT event_id AS id, user_id AS job_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events WHERE event_id % 4 <> 0) e WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM events h WHERE h.event_id % 4 = 0 AND h.user_id = e.job_id AND h.event_type = (SELECT event_type FROM events x WHERE x.event_id = e.id))")
+@query("SELECT id, job_id FROM (SELECT event_id AS id, user_id AS job_id, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS n FROM events WHERE value >= 2) e WHERE n = 1 AND NOT EXISTS (SELECT 1 FROM events h WHERE h.value < 2 AND h.user_id = e.job_id AND h.event_type = (SELECT event_type FROM events x WHERE x.event_id = e.id))")
 def append_unique_rows(spark, sf):
     rows = _events(spark, sf)
-    fresh, _ = lifecycle.append_unique(rows.where("id % 4 <> 0"), rows.where("id % 4 = 0"), ["job_id", "event_type"], ["occurred_at", "id"])
+    fresh, _ = lifecycle.append_unique(rows.where("value >= 2"), rows.where("value < 2"), ["job_id", "event_type"], ["occurred_at", "id"])
     return fresh.select("id", "job_id")
 
 
-@query("SELECT user_id || ':' || event_type AS operation_key, count(*) AS n FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.event_id % 7 = 0 AND d.user_id = e.user_id AND d.event_type = e.event_type) GROUP BY 1")
+@query("SELECT user_id || ':' || event_type AS operation_key, count(*) AS n FROM events e WHERE NOT EXISTS (SELECT 1 FROM events d WHERE d.event_type = 'view' AND d.value < 3 AND d.user_id = e.user_id AND d.event_type = e.event_type) GROUP BY 1")
 def claimable_commands(spark, sf):
     rows = _outbox(spark, sf)
-    return lifecycle.claimable(rows, rows.where("id % 7 = 0")).groupBy("operation_key").agg(F.count("*").alias("n"))
+    return lifecycle.claimable(rows, rows.where("published_at is not null and value < 3")).groupBy("operation_key").agg(F.count("*").alias("n"))
 
 
 #: Event types stand for transitions; each event moves its job from the state before it.
@@ -494,6 +494,29 @@ def failure_taxonomy(spark, sf):
     return lifecycle.failure_table(spark)
 
 
+@query(f"""
+    SELECT event_id AS id, CASE WHEN event_type IN ('signup', 'view', 'click') AND ts <= TIMESTAMP '{NOW}' AND event_id % 3 = 0 THEN 'CANCEL' ELSE 'CONTINUE' END AS decision FROM events
+""")
+def cancel_decision(spark, sf):
+    asked = F.when(F.col("id") % 3 == 0, F.col("occurred_at"))
+    state = lifecycle.lookup(F.col("event_type"), STATE_OF)
+    return _events(spark, sf).select("id", lifecycle.cancel_decision(state, asked, now()).alias("decision"))
+
+
+@query("""
+    SELECT o_orderkey AS id, o_orderstatus AS status, n AS plan_version, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority END AS error_code
+    FROM orders LEFT JOIN (SELECT l_orderkey, max(l_linenumber) AS n FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey
+""")
+def job_status(spark, sf):
+    code = F.when(F.col("o_orderstatus") == "F", F.col("o_orderpriority"))
+    jobs = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_orderstatus").alias("status"), code.alias("last_error_code"), F.lit("-").alias("last_error_message"), F.lit(True).alias("retryable")
+    )
+    plans = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("job_id"), F.col("l_linenumber").alias("version"), F.lit("-").alias("plan_hash"))
+    rows = reads.job_status(jobs, plans)
+    return rows.select("id", "status", F.col("plan.version").alias("plan_version"), F.col("error.last_error_code").alias("error_code"))
+
+
 # ---------------------------------------------------------------- text
 
 
@@ -619,6 +642,25 @@ def sitemap_default(spark, sf):
     return table(spark, sf, "pages").select("page_id", urls.sitemap_url(F.col("url")).alias("sitemap_url"))
 
 
+@query("SELECT page_id, page_id % 4 AS redirects, page_id % 4 <= 2 AND page_id % 5 <> 0 AS allowed FROM pages")
+def redirect_chain(spark, sf):
+    last = F.when(F.col("page_id") % 5 == 0, "http://10.0.0.1/").otherwise(F.col("url"))
+    hops = F.array_repeat(F.lit("https://start.example.com/"), (F.col("page_id") % 4).cast("int"))
+    chain = F.concat(hops, F.array(last))
+    return table(spark, sf, "pages").select(
+        "page_id",
+        html_pages.redirect_hops(chain).alias("redirects"),
+        html_pages.redirects_allowed(chain, lambda u: ~urls.is_private_ipv4(urls.host(u)), 2).alias("allowed"),
+    )
+
+
+@query(f"SELECT page_id, split_part(url, ':', 1) || '://' || {_HOST} || '/sitemap.xml' AS sitemap_url FROM pages WHERE url LIKE 'https:%' AND {_HOST} NOT LIKE '%example.org'")
+def sitemap_requests(spark, sf):
+    rows = table(spark, sf, "pages").select("page_id", "url", F.when(urls.scheme(F.col("url")) == "https", 0).otherwise(1).alias("depth"))
+    seen = rows.where(urls.host(F.col("url")).like("%example.org")).select(urls.sitemap_url(F.col("url")).alias("canonical_url"))
+    return discovery.sitemap_requests(rows, seen)
+
+
 # ---------------------------------------------------------------- discovery
 
 _ANCHOR = r"(?is)<a\s[^>]*href=\"([^\"]*)\""
@@ -801,6 +843,18 @@ _RULES_SQL = """
 """
 
 
+@query("SELECT p_partkey::VARCHAR AS page_id, p_name AS name, p_partkey::VARCHAR AS provenance_page, 'records.v1' AS schema_version FROM part")
+def record_envelope(spark, sf):
+    rows = _part_records(spark, sf).withColumn("record_identity", F.col("page_id"))
+    made = extraction.envelope(rows, PART_PLAN)
+    return made.select(
+        F.get_json_object("payload", "$.record_id").alias("page_id"),
+        F.get_json_object("payload", "$.fields.name.value").alias("name"),
+        F.get_json_object("payload", "$.provenance.page_id").alias("provenance_page"),
+        F.get_json_object("payload", "$.schema_version").alias("schema_version"),
+    )
+
+
 @query(f"WITH {_RULES_SQL} SELECT page_id, pass, fail, warn, unresolved, status, quality FROM v")
 def record_status(spark, sf):
     return validation.validate(_part_records(spark, sf), PART_PLAN).select("page_id", "summary.*", "status", "quality")
@@ -884,9 +938,9 @@ def _risky(c):
 _RISKY_SQL = "CASE p_size % 4 WHEN 0 THEN ' =' || p_name WHEN 1 THEN '-' || p_name ELSE p_name END"
 
 
-@query(f"SELECT p_partkey::VARCHAR AS p_partkey, CASE WHEN p_size % 4 < 2 THEN '''' ELSE '' END || {_RISKY_SQL} AS name, CASE WHEN p_size % 10 = 0 THEN '' ELSE (p_size % 10)::VARCHAR END AS size FROM part WHERE p_partkey > 0")
+@query(f"SELECT CASE WHEN p_partkey = 0 THEN '' ELSE p_partkey::VARCHAR END AS p_partkey, CASE WHEN p_size % 4 < 2 THEN '''' ELSE '' END || {_RISKY_SQL} AS name, CASE WHEN p_size % 10 = 0 THEN '' ELSE (p_size % 10)::VARCHAR END AS size FROM part")
 def csv_guard(spark, sf):
-    rows = table(spark, sf, "part").where("p_partkey > 0").select("p_partkey", _risky(F.col("p_name")).alias("name"), (F.col("p_size") % 10).alias("size"))
+    rows = table(spark, sf, "part").select("p_partkey", _risky(F.col("p_name")).alias("name"), (F.col("p_size") % 10).alias("size"))
     return writers.csv_rows(rows, blank_falsy=True)
 
 
@@ -907,16 +961,20 @@ def column_widths(spark, sf):
     return writers.column_widths(table(spark, sf, "part").select("p_name", "p_type"))
 
 
+#: One file of a whole table: the writers' record limit is a parameter.
+WHOLE = 10_000_000
+
+
 def _lines(spark, sf, name):
-    rows = table(spark, sf, "part").orderBy("p_partkey").select("p_name", "p_size").limit(100)
+    rows = table(spark, sf, "part").orderBy("p_partkey").select("p_name", "p_size")
     made = dataset.Dataset(rows, ("p_name", "p_size"), "run-1", 1, dataset.Options())
-    text = writers.render(made, name).decode()
+    text = writers.render(made, name, max_records=WHOLE).decode()
     return spark.createDataFrame(list(enumerate(text.split("\n"))), "n long, line string")
 
 
 @query("""
-    WITH p AS (SELECT p_partkey, p_name, p_size FROM part ORDER BY p_partkey LIMIT 100), r AS (SELECT row_number() OVER (ORDER BY p_partkey) AS n, p_name || ',' || p_size AS line FROM p)
-    SELECT 0::BIGINT AS n, 'p_name,p_size' AS line UNION ALL SELECT n, line FROM r UNION ALL SELECT 101, ''
+    WITH p AS (SELECT p_partkey, p_name, p_size FROM part), r AS (SELECT row_number() OVER (ORDER BY p_partkey) AS n, p_name || ',' || p_size AS line FROM p)
+    SELECT 0::BIGINT AS n, 'p_name,p_size' AS line UNION ALL SELECT n, line FROM r UNION ALL SELECT count(*) + 1, '' FROM p
 """)
 def export_csv(spark, sf):
     return _lines(spark, sf, "csv")
@@ -937,9 +995,9 @@ def export_files(spark, sf):
     """Size and checksum of every format of one dataset."""
     import hashlib
 
-    rows = table(spark, sf, "part").orderBy("p_partkey").select("p_name", "p_size", "p_retailprice").limit(1000)
+    rows = table(spark, sf, "part").orderBy("p_partkey").select("p_name", "p_size", "p_retailprice")
     made = dataset.Dataset(rows, tuple(rows.columns), "run-1", 1, dataset.Options(include_validation_metadata=True))
-    out = [(n, len(b := writers.render(made, n)), "sha256:" + hashlib.sha256(b).hexdigest()) for n in writers.WRITERS]
+    out = [(n, len(b := writers.render(made, n, max_records=WHOLE)), "sha256:" + hashlib.sha256(b).hexdigest()) for n in writers.WRITERS]
     return spark.createDataFrame(out, "format string, byte_size long, checksum string")
 
 
