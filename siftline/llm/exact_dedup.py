@@ -182,8 +182,8 @@ def _windows(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(held)
 
 
-def _fold(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
-    """Representatives (with their whole row) and, for every row, which representative it has."""
+def _fold(batches: Iterator[pa.RecordBatch], limit: int, report: bool) -> Iterator[pa.RecordBatch]:
+    """Representatives (with their whole row) and, with `report`, for every row which representative it has."""
     from pyspark import TaskContext
 
     row = TaskContext.get().partitionId() << 40
@@ -213,16 +213,16 @@ def _fold(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBa
             [int.from_bytes(k[32:40], "big") for k in kept],
             [int.from_bytes(k[:8], "little", signed=True) for k in kept],
         )
-        light = table.slice(0, n).select([0])
-        empty = [light.column(0)] + [pa.nulls(n, c.type) for c in table.columns[1:]]
-        yield _rows(
-            pa.Table.from_arrays(empty, names=table.column_names),
-            list(range(row, row + n)),
-            [row + best[k][0] for k in of],
-            [0] * n,
-            [None] * n,
-            [None] * n,
-        )
+        if report:
+            empty = [table.column(0)] + [pa.nulls(n, c.type) for c in table.columns[1:]]
+            yield _rows(
+                pa.Table.from_arrays(empty, names=table.column_names),
+                list(range(row, row + n)),
+                [row + best[k][0] for k in of],
+                [0] * n,
+                [None] * n,
+                [None] * n,
+            )
         row += n
 
 
@@ -278,28 +278,47 @@ def _owned(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], _OWNED.names)
 
 
-def _owners(docs: DataFrame, window_bytes: int, trie_bytes: int) -> tuple[DataFrame, DataFrame, list[str]]:
-    """(folded table, owners' rows, names of docs' columns). Columns are positional, so no name can clash."""
+def _merge_rows(a: list, b: list) -> list:
+    """Entries are [doc_id, row, values]; the smaller identifier stays with its row."""
+    return a if _order(a[0], a[1]) <= _order(b[0], b[1]) else b
+
+
+def _own_rows(batches: Iterator[pa.RecordBatch], budget: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
+    trie = PatriciaTrie(_merge_rows, budget)
+    for batch in batches:
+        ids, texts, rows = batch.column(0).to_pylist(), batch.column(1), batch.column("_rep").to_pylist()
+        columns = [batch.column(n).to_pylist() for n in schema.names]
+        for i, values in enumerate(zip(*columns)):
+            trie.insert(normalise(texts[i].as_py()), [ids[i], rows[i], values])
+    out, size = [], 0
+    for key, (_, _, values) in trie.items():
+        out.append(values)
+        size += len(key)
+        if size >= WINDOW_BYTES // 4:
+            yield _batch(out, schema)
+            out, size = [], 0
+    yield _batch(out, schema)
+
+
+def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
+    columns = list(zip(*rows)) or [()] * len(schema)
+    return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
+
+
+def _positional(docs: DataFrame) -> tuple[DataFrame, list[str]]:
+    """docs as _c0 (doc_id as long), _c1 (text), then the other columns, and their names in that order: no name can clash."""
     shared.ship(docs.sparkSession)
-    order = ["doc_id", "text"]
-    shared.pick(docs, *order)
-    rest = [i for i, c in enumerate(docs.columns) if i not in (docs.columns.index("doc_id"), docs.columns.index("text"))]
+    shared.pick(docs, "doc_id", "text")
+    lead = [docs.columns.index(n) for n in ("doc_id", "text")]
+    order = [*lead, *(i for i in range(len(docs.columns)) if i not in lead)]
     flat = docs.toDF(*[f"_p{i}" for i in range(len(docs.columns))])
-    lead = [docs.columns.index(n) for n in order]
-    flat = flat.select(*[F.col(f"_p{i}").cast("long") if n == 0 else F.col(f"_p{i}") for n, i in enumerate([*lead, *rest])])
-    flat = flat.toDF(*[f"_c{i}" for i in range(len(flat.columns))])
-    schema = T.StructType(
-        [T.StructField(f.name, f.dataType, True) for f in flat.schema] + [T.StructField(n, T.LongType()) for n in _OWN]
-    )
-    folded = shared.materialise(flat.mapInArrow(partial(_fold, limit=window_bytes), schema), "folded")
-    owned = (
-        folded.where("_length is not null")
-        .select("_c0", "_c1", "_rep", "_count", "_length", "_content")
-        .repartition("_length", "_content")
-        .select("_c0", "_c1", "_rep", "_count")
-        .mapInArrow(partial(_own, budget=trie_bytes), _OWNED)
-    )
-    return folded, owned, [docs.columns[i] for i in [*lead, *rest]]
+    flat = flat.select(*[(F.col(f"_p{i}").cast("long") if n == 0 else F.col(f"_p{i}")).alias(f"_c{n}") for n, i in enumerate(order)])
+    return flat, [docs.columns[i] for i in order]
+
+
+def _folded(flat: DataFrame, window_bytes: int, report: bool) -> DataFrame:
+    fields = [T.StructField(f.name, f.dataType, True) for f in flat.schema] + [T.StructField(n, T.LongType()) for n in _OWN]
+    return flat.mapInArrow(partial(_fold, limit=window_bytes, report=report), T.StructType(fields))
 
 
 def exact_dedup(docs: DataFrame, window_bytes: int = WINDOW_BYTES, trie_bytes: int = TRIE_BYTES) -> DataFrame:
@@ -310,7 +329,15 @@ def exact_dedup(docs: DataFrame, window_bytes: int = WINDOW_BYTES, trie_bytes: i
     the smallest doc_id stays; null doc_ids come last; of repeated rows with the smallest
     doc_id exactly one is kept. An empty table gives no rows.
     """
-    folded, owned, _ = _owners(shared.pick(docs, "doc_id", "text"), window_bytes, trie_bytes)
+    flat, _ = _positional(shared.pick(docs, "doc_id", "text"))
+    folded = shared.materialise(_folded(flat, window_bytes, True), "folded")
+    owned = (
+        folded.where("_length is not null")
+        .select("_c0", "_c1", "_rep", "_count", "_length", "_content")
+        .repartition("_length", "_content")
+        .select("_c0", "_c1", "_rep", "_count")
+        .mapInArrow(partial(_own, budget=trie_bytes), _OWNED)
+    )
     rows = folded.where("_length is null").select(F.col("_c0").alias("doc_id"), "_rid", "_rep")
     return rows.join(owned, "_rep").select(
         "doc_id", "keep_id", "group_size", (F.col("_rid") == F.col("_keep_rid")).alias("kept"), "text_sha256"
@@ -318,9 +345,19 @@ def exact_dedup(docs: DataFrame, window_bytes: int = WINDOW_BYTES, trie_bytes: i
 
 
 def drop_copies(docs: DataFrame, window_bytes: int = WINDOW_BYTES, trie_bytes: int = TRIE_BYTES) -> DataFrame:
-    """The rows that exact_dedup keeps, whole, with the columns of docs in their order."""
-    folded, owned, names = _owners(docs, window_bytes, trie_bytes)
-    winners = owned.where("_rep = _keep_rid").select(F.col("_rep").alias("_rid"))
-    rows = folded.where("_length is not null").join(winners, "_rid", "left_semi")
+    """The rows that exact_dedup keeps, whole, with the columns of docs in their order.
+
+    One pass and one shuffle: the representatives go to their owners with all their columns,
+    and an owner returns the row of each terminal node.
+    """
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    flat, names = _positional(docs)
     kinds = {f.name: f.dataType for f in docs.schema}
-    return rows.select(*[F.col(f"_c{names.index(n)}").cast(kinds[n]).alias(n) for n in docs.columns])
+    out = T.StructType([T.StructField(f.name, f.dataType, True) for f in flat.schema])
+    kept = (
+        _folded(flat, window_bytes, False)
+        .repartition("_length", "_content")
+        .mapInArrow(partial(_own_rows, budget=trie_bytes, schema=to_arrow_schema(out)), out)
+    )
+    return kept.select(*[F.col(f"_c{names.index(n)}").cast(kinds[n]).alias(n) for n in docs.columns])
