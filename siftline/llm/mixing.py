@@ -30,6 +30,8 @@ SEED = 20240229
 #: More distinct membership patterns than this are refused: they would not be a small table.
 MAX_PATTERNS = 500_000
 ROWS_PER_BUCKET = 20_000
+#: Tables with a row for each pattern are broadcast up to this many.
+BROADCAST_PATTERNS = 5000
 #: Documents after the cut among which the gap is closed.
 NEXT_IN_LINE = 256
 
@@ -144,59 +146,83 @@ def _close_gap(group: pa.Table) -> pa.Table:
     return pa.table({"pattern": pa.array([group["pattern"][0].as_py()] * len(chosen), pa.string()), "ordinal": pa.array(chosen, pa.int64())})
 
 
-def select_words(sized: DataFrame, words: dict[str, Fraction], sizes: dict[str, int], seed: int = SEED) -> DataFrame:
-    """Adds taken to a table of doc_id, size, pattern: whole documents in a seeded order, near words[pattern] in sum."""
-    spark = sized.sparkSession
-    rows = []
-    for key, amount in words.items():
-        whole = int(amount // sizes[key]) if sizes[key] else 0
-        rows.append((key, whole, float(amount - whole * sizes[key])))
-    cuts = spark.createDataFrame(rows, "pattern string, whole long, rest double") if rows else None
-    if cuts is None:
-        return sized.withColumn("ordinal", F.lit(0).cast("long")).withColumn("taken", F.lit(0).cast("long"))
-    n = sized.count()
-    buckets = max(64, n // ROWS_PER_BUCKET)
-    dealt = sized.withColumn("_order", F.xxhash64(F.lit(seed), "doc_id", "size"))
-    dealt = dealt.withColumn("_bucket", F.pmod(F.shiftright("_order", 8), F.lit(buckets)).cast("int"))
-    sums = dealt.groupBy("pattern", "_bucket").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
-    before = Window.partitionBy("pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    base = sums.select(
-        "pattern",
-        "_bucket",
-        F.coalesce(F.sum("words").over(before), F.lit(0)).alias("_words"),
-        F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_rows"),
-    )
-    within = Window.partitionBy("pattern", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
-    numbered = (
-        dealt.join(base, ["pattern", "_bucket"])
-        .join(F.broadcast(cuts) if len(rows) <= 5000 else cuts, "pattern")
-        .withColumn("_end", F.col("_words") + F.sum("size").over(within))
-        .withColumn("ordinal", F.col("_rows") + F.count("*").over(within) - 1)
-        .withColumn("_in", F.col("_end") <= F.col("rest"))
-        .select("doc_id", "size", "pattern", "ordinal", "whole", "rest", "_end", "_in")
-    )
-    numbered = shared.materialise(numbered, "mix-order")
-    done = numbered.groupBy("pattern").agg(
-        F.max(F.when(F.col("_in"), F.col("ordinal"))).alias("_last"),
-        F.max(F.when(F.col("_in"), F.col("_end"))).alias("_filled"),
-    )
-    line = (
-        numbered.join(done, "pattern")
-        .withColumn("_first", F.coalesce(F.col("_last") + 1, F.lit(0)))
-        .where((F.col("ordinal") >= F.col("_first")) & (F.col("ordinal") < F.col("_first") + NEXT_IN_LINE))
-        .select("pattern", "ordinal", "size", (F.col("rest") - F.coalesce("_filled", F.lit(0))).alias("gap"))
-    )
-    topped = line.groupBy("pattern").applyInArrow(_close_gap, _TOPPED).withColumn("_top", F.lit(True))
-    extra = F.when(F.col("_in") | F.col("_top"), 1).otherwise(0)
-    return numbered.join(topped, ["pattern", "ordinal"], "left").select(
-        "doc_id", "size", "pattern", "ordinal", (F.col("size") * (F.col("whole") + extra)).cast("long").alias("taken")
-    )
+def _bucket_and_order(n_buckets: int, seed: int) -> tuple[Column, Column]:
+    """The seeded order of a row with a doc_id: its bucket, then its hash within the bucket."""
+    order = F.xxhash64(F.lit(seed), "doc_id")
+    return F.pmod(F.shiftright(order, 8), F.lit(n_buckets)).cast("int"), order
+
+
+class Selection:
+    """Which documents of a table (doc_id, size, pattern) are taken how often.
+
+    `rows` numbers them within their pattern: whole copies, and whether one more (`_in`) as
+    the running sum in seeded order stays within the rest. `topped` (pattern, ordinal) are
+    the few taken once more to close the gap that whole documents leave.
+    """
+
+    def __init__(self, sized: DataFrame, words: dict[str, Fraction], sizes: dict[str, int], seed: int):
+        spark = sized.sparkSession
+        cuts = []
+        for key, amount in words.items():
+            whole = int(amount // sizes[key]) if sizes[key] else 0
+            cuts.append((key, whole, float(amount - whole * sizes[key])))
+        self.small = len(cuts) <= BROADCAST_PATTERNS
+        self.cuts = self.bounded(spark.createDataFrame(cuts, "pattern string, whole long, rest double"))
+        self.buckets, self.seed = max(64, sized.count() // ROWS_PER_BUCKET), seed
+        bucket, order = _bucket_and_order(self.buckets, seed)
+        dealt = sized.withColumn("_bucket", bucket).withColumn("_order", order)
+        sums = dealt.groupBy("pattern", "_bucket").agg(F.sum("size").alias("words"), F.count("*").alias("rows"))
+        before = Window.partitionBy("pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+        base = sums.select(
+            "pattern",
+            "_bucket",
+            F.coalesce(F.sum("words").over(before), F.lit(0)).alias("_words"),
+            F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("_rows"),
+        )
+        within = Window.partitionBy("pattern", "_bucket").orderBy("_order", "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+        rows = (
+            dealt.join(base, ["pattern", "_bucket"])
+            .join(self.cuts, "pattern")
+            .withColumn("_end", F.col("_words") + F.sum("size").over(within))
+            .withColumn("ordinal", F.col("_rows") + F.count("*").over(within) - 1)
+            .withColumn("_in", F.col("_end") <= F.col("rest"))
+            .select("doc_id", "size", "pattern", "ordinal", "whole", "rest", "_bucket", "_order", "_end", "_in")
+        )
+        self.rows = shared.materialise(rows, "mix-order")
+        last = F.struct("ordinal", "_end", "_bucket", "_order", "doc_id")
+        #: The last row within the rest of each pattern that has one.
+        self.last = self.rows.where("_in").groupBy("pattern").agg(F.max(last).alias("last"))
+        first = F.coalesce(F.col("last.ordinal") + 1, F.lit(0))
+        line = (
+            self.rows.join(self.bounded(self.last), "pattern", "left")
+            .where((F.col("ordinal") >= first) & (F.col("ordinal") < first + NEXT_IN_LINE))
+            .select("pattern", "ordinal", "size", (F.col("rest") - F.coalesce("last._end", F.lit(0))).alias("gap"))
+        )
+        topped = line.groupBy("pattern").applyInArrow(_close_gap, _TOPPED)
+        self.topped = shared.materialise(topped, "mix-topped")
+
+    def bounded(self, per_pattern: DataFrame) -> DataFrame:
+        """A table of a row per pattern: broadcast if there are few patterns, else joined by shuffle."""
+        return F.broadcast(per_pattern) if self.small else per_pattern
+
+    def taken(self) -> DataFrame:
+        """doc_id, size, pattern, ordinal, taken of every row."""
+        top = self.topped.withColumn("_top", F.lit(True))
+        extra = F.when(F.col("_in") | F.col("_top"), 1).otherwise(0)
+        return self.rows.join(top, ["pattern", "ordinal"], "left").select(
+            "doc_id", "size", "pattern", "ordinal", (F.col("size") * (F.col("whole") + extra)).cast("long").alias("taken")
+        )
 
 
 def word_count(text: Column) -> Column:
     return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(shared.WORD)).cast("long")
 
 
+def pattern(sources: Column) -> Column:
+    """The set of sources as JSON text."""
+    return F.to_json(F.array_sort(F.array_distinct(sources)))
+
+
 def mix(
     docs: DataFrame,
     sources: Column,
@@ -204,8 +230,8 @@ def mix(
     share: Fraction = SHARE,
     copies: int = MAX_COPIES,
     seed: int = SEED,
-) -> tuple[DataFrame, dict, dict, dict]:
-    """(table of doc_id, size, pattern, ordinal, taken; source sizes; source targets; pattern by set of sources).
+) -> tuple[Selection, dict, dict, dict]:
+    """(what is taken; source sizes; source targets; pattern by set of sources).
 
     Input: doc_id, text, and `sources`, an array<string> of the sources a document belongs
     to (one null element: the null source). Null and empty texts have size 0 and are never
@@ -214,8 +240,7 @@ def mix(
     gives no rows. The same input and seed give the same rows.
     """
     shared.ship(docs.sparkSession)
-    members = F.to_json(F.array_sort(F.array_distinct(sources)))
-    sized = docs.select(F.col("doc_id"), word_count(F.col("text")).alias("size"), members.alias("pattern"))
+    sized = docs.select(F.col("doc_id"), word_count(F.col("text")).alias("size"), pattern(sources).alias("pattern"))
     sized = shared.materialise(sized, "mix-sizes")
     found = sized.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
@@ -229,34 +254,44 @@ def mix(
     wanted = targets(sizes, sum(patterns.values()), weights, share, copies)
     flow = route(patterns, wanted, copies)
     words = {keys[p]: amount for p, amount in flow.items()}
-    return select_words(sized, words, {keys[p]: n for p, n in patterns.items()}, seed), sizes, wanted, keys
+    return Selection(sized, words, {keys[p]: n for p, n in patterns.items()}, seed), sizes, wanted, keys
 
 
 def mix_sources(docs: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken (see mix); source is a plain column here."""
     spark = docs.sparkSession
-    table, sizes, wanted, keys = mix(shared.pick(docs, "doc_id", "text", "source"), F.array("source"), **options)
+    selection, sizes, wanted, keys = mix(shared.pick(docs, "doc_id", "text", "source"), F.array("source"), **options)
     rows = [(keys[frozenset([n])], int(sizes[n]), float(wanted[n])) for n in sizes]
-    if not rows:
-        return table.select("doc_id", "size", F.lit(0).cast("long").alias("source_size"), F.lit(0.0).alias("target"), "taken")
-    per = spark.createDataFrame(rows, "pattern string, source_size long, target double")
-    return table.join(F.broadcast(per) if len(rows) <= 5000 else per, "pattern").select(
-        "doc_id", "size", "source_size", "target", "taken"
-    )
-
+    per = selection.bounded(spark.createDataFrame(rows, "pattern string, source_size long, target double"))
+    return selection.taken().join(per, "pattern").select("doc_id", "size", "source_size", "target", "taken")
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, whole, each as often as mix takes it; source is a plain column here.
 
-    Rows without a word are never taken. Columns and their order are those of docs.
+    Rows without a word are never taken. Columns and their order are those of docs. The
+    rows themselves aren't shuffled: a row is within its pattern's cut or not, and only the
+    few that close a gap are looked up.
     """
     flat = shared.numbered(docs, "mix-rows")
-    at = {n: F.col(f"_c{docs.columns.index(n)}") for n in ("doc_id", "text", "source")}
+    at = {n: F.col(f"_c{docs.columns.index(n)}") for n in ("text", "source")}
     # The row's number stands for the doc_id, so that repeated doc_ids stay apart.
-    rows = flat.select(F.col("_rid").alias("doc_id"), at["text"].alias("text"), at["source"].alias("source"))
-    table, *_ = mix(rows, F.array("source"), **options)
-    times = (F.col("taken") / F.col("size")).cast("int")
-    taken = shared.materialise(table.where("taken > 0").select(F.col("doc_id").alias("_rid"), times.alias("_times")), "taken")
-    repeated = flat.join(taken, "_rid").withColumn("_copy", F.explode(F.sequence(F.lit(1), "_times")))
-    return repeated.drop("_rid", "_times", "_copy").toDF(*docs.columns)
+    keyed = flat.select("*", F.col("_rid").alias("doc_id"), pattern(F.array(at["source"])).alias("pattern"))
+    chosen, *_ = mix(keyed.select("doc_id", at["text"].alias("text"), at["source"].alias("source")), F.array("source"), **options)
+    top = chosen.rows.join(chosen.topped, ["pattern", "ordinal"], "left_semi").select(F.col("doc_id").alias("_top"))
+    top = shared.materialise(top, "mix-topped-rows")
+    bucket, order = _bucket_and_order(chosen.buckets, chosen.seed)
+    cut = F.struct(F.col("last._bucket"), F.col("last._order"), F.col("last.doc_id"))
+    within = F.coalesce(F.struct(bucket.alias("_bucket"), order.alias("_order"), "doc_id") <= cut, F.lit(False))
+    times = F.col("whole") + F.when(within | F.col("_top").isNotNull(), 1).otherwise(0)
+    cuts = shared.materialise(chosen.last, "mix-cuts")
+    repeated = (
+        keyed.where(at["text"].rlike(shared.WORD))
+        .join(chosen.cuts, "pattern")
+        .join(chosen.bounded(cuts), "pattern", "left")
+        .join(top, keyed["doc_id"] == top["_top"], "left")
+        .withColumn("_times", times.cast("int"))
+        .where("_times > 0")
+        .select(*flat.columns[:-1], F.explode(F.sequence(F.lit(1), "_times")))
+    )
+    return repeated.select(*flat.columns[:-1]).toDF(*docs.columns)
