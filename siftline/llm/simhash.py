@@ -318,8 +318,9 @@ def similar_links(features: DataFrame, similarity: float) -> DataFrame:
     """
     found = features.sparkSession.createDataFrame([], _EDGES)
     open_ = _together(features.select("rid", F.explode("keys").alias("key")))
-    sets = features.select("rid", "minima", "shingles").join(open_.select("rid").distinct(), "rid", "left_semi")
-    sets = shared.materialise(sets, "sets")
+    # The rows that share a key are a share of all rows: a shuffled join, at every size.
+    shared_rows = open_.select("rid").distinct().hint("merge")
+    sets = shared.materialise(features.select("rid", "minima", "shingles").join(shared_rows, "rid", "left_semi"), "sets")
     alike = F.size(F.array_intersect("sa", "sb"))
     least = int(SAMPLES * MINIMA * similarity - SLACK * (SAMPLES * MINIMA * similarity * (1 - similarity)) ** 0.5)
 
