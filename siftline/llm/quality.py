@@ -24,6 +24,11 @@ SYMBOL = r"[#*$%&|<>]"
 ENDS_WELL = r"[.!?:;…\"”»)\]][\x20\x09-\x0D]*$"
 NAVIGATION = r"([|»›•·>][^|»›•·>]*){3,}"
 SHOUT_MARKS = r"(!![^!]*){3,}"
+#: What a text has in lower case if any line of it matches BOILERPLATE.
+BOILERPLATE_PARTS = (
+    "all rights reserved", "cookie policy", "accept cookies", "privacy policy", "terms of use", "terms of service", "enable javascript",
+    "lorem ipsum", "click here", "share this", "sign up for our newsletter", "powered by wordpress",
+)
 BOILERPLATE = (
     r"(?i)(all rights reserved|cookie policy|accept cookies|privacy policy|terms of (use|service)|enable javascript"
     r"|lorem ipsum|click here|share this|sign up for our newsletter|powered by wordpress)"
@@ -42,8 +47,10 @@ def repeated_words(hashes: Column, window: int = WINDOW) -> Column:
     """
     n = F.size(hashes)
     starts = F.sequence(F.lit(0), n - window)
-    keys = F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i + 1, window)))
-    placed = F.sort_array(F.transform(starts, lambda i: F.struct(F.xxhash64(F.slice(hashes, i + 1, window)).alias("k"), i.alias("p"))))
+    # Element by element: slice() would copy the whole array for each window.
+    key = lambda i: F.xxhash64(*[F.get(hashes, i + k) for k in range(window)])
+    keys = F.transform(starts, key)
+    placed = F.sort_array(F.transform(starts, lambda i: F.struct(key(i).alias("k"), i.alias("p"))))
 
     def spread(s: Column) -> Column:
         """Sorted windows to the number of words they cover where a neighbour has the same key."""
@@ -67,9 +74,18 @@ def let(value: Column, use) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def line_passes(line: Column) -> Column:
-    letters = F.length(F.regexp_replace(line, r"[^\p{L}]", ""))
-    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]", ""))
+def may_have_boilerplate(text: Column) -> Column:
+    low, out = F.lower(text), F.lit(False)
+    for part in BOILERPLATE_PARTS:
+        out = out | F.contains(low, F.lit(part))
+    return out
+
+
+def line_passes(line: Column, boilerplate: Column | None = None) -> Column:
+    """Whether a line passes all rules; `boilerplate` says if its text may have any, which saves the search where not."""
+    letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
+    capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
+    worn = line.rlike(BOILERPLATE) if boilerplate is None else boilerplate & line.rlike(BOILERPLATE)
     symbols = F.length(line) - F.length(F.translate(line, "#*$%&|<>", ""))
     return (
         line.rlike(ENDS_WELL)
@@ -77,10 +93,36 @@ def line_passes(line: Column) -> Column:
         & (symbols * 10 <= F.length(line))
         & ~((letters >= 20) & (capitals * 2 > letters))
         & ~line.rlike(SHOUT_MARKS)
-        & ~line.rlike(BOILERPLATE)
+        & ~worn
     )
 
 
+def word_figures(text: Column) -> Column:
+    """struct of n_words and n_repeat_words. The arrays are bound by let(), so that a filter
+    that the optimiser pushes down never computes them anew for each element."""
+
+    def of(words: Column) -> Column:
+        hashes = F.transform(words, lambda w: F.xxhash64(w))
+        return F.struct(F.size(words).cast("long").alias("n_words"), let(hashes, lambda h: repeated_words(h)).alias("n_repeat_words"))
+
+    return let(split_words(text), of)
+
+
+def line_figures(text: Column) -> Column:
+    """struct of n_dup_lines, clean_chars (lines that pass) and line_chars, over the lines with a word."""
+    total = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
+
+    def of(lines: Column) -> Column:
+        passing = let(may_have_boilerplate(text), lambda worn: F.filter(lines, lambda x: line_passes(x, worn)))
+        return F.struct(
+            (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
+            total(passing).alias("clean_chars"),
+            total(lines).alias("line_chars"),
+        )
+
+    return let(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")), of)
+
+
 def quality_report(docs: DataFrame) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, clean_chars, line_chars.
 
@@ -90,19 +132,16 @@ def quality_report(docs: DataFrame) -> DataFrame:
     empty table gives no rows.
     """
     rows = shared.pick(docs, "doc_id", "text").withColumn("text", F.coalesce("text", F.lit("")))
-    rows = rows.withColumn("words", split_words(F.col("text")))
-    rows = rows.withColumn("hashes", F.transform("words", lambda w: F.xxhash64(w)))
-    rows = rows.withColumn("lines", F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
-    total = lambda lines: F.aggregate(lines, F.lit(0).cast("long"), lambda a, x: a + F.length(x))
-    figures = rows.select(
+    text = F.col("text")
+    figures = rows.select("doc_id", text, word_figures(text).alias("w"), line_figures(text).alias("l")).select(
         "doc_id",
-        F.size("words").cast("long").alias("n_words"),
+        "w.n_words",
         F.length(F.translate("text", SPACES, "")).cast("long").alias("word_chars"),
         (F.length("text") - F.length(F.translate("text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        repeated_words(F.col("hashes")).alias("n_repeat_words"),
-        total(F.filter("lines", line_passes)).alias("clean_chars"),
-        total(F.col("lines")).alias("line_chars"),
+        "l.n_dup_lines",
+        "w.n_repeat_words",
+        "l.clean_chars",
+        "l.line_chars",
     )
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED_PERCENT)
     verdict = F.col("clean_chars") * 100 >= F.col("line_chars") * LEAST_KEPT_PERCENT
