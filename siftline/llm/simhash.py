@@ -197,8 +197,8 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, b
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 #: Sampled fingerprints, and minima in each: a pair of similarity 0.8 shares one with probability 0.998.
 SAMPLES, MINIMA = 16, 5
-#: Elections before what is left of a bucket is compared within itself, if it has at most REST rows, or dealt anew.
-ELECTIONS, REST = 3, 1024
+#: Rows of a bucket that are compared within it, and elections of a larger one before its rest is worked off.
+REST, ELECTIONS = 1024, 3
 #: Finer keys per row when a bucket is dealt anew, minima in each, and how often that may happen.
 SPLITS, SPLIT_MINIMA, SPLIT_DEPTH = 16, 3, 4
 #: Standard deviations below the similarity at which a pair's agreement in minima still counts as a candidate.
@@ -309,12 +309,13 @@ def _finer(rows: DataFrame, depth: int) -> DataFrame:
 def similar_links(features: DataFrame, similarity: float) -> DataFrame:
     """Edges a, b (row ids) of texts at least `similarity` alike, enough to connect what is alike.
 
-    In each bucket every row is compared with the smallest one; rows that are alike leave
-    the bucket linked, the others elect anew. What is left after ELECTIONS rounds is a set
-    of mostly unlike texts: a small one is compared within itself, on the minima first, and
-    gives a spanning forest, not its pairs; a large one is dealt anew under finer keys, which like texts
-    still share, and worked off the same way. Buckets that stay large at the last depth go
-    on electing until none is left, so no candidate is dropped.
+    A bucket of at most REST rows is compared within itself, on the minima first, and gives
+    a spanning forest of its links, not its pairs. A larger one is mostly one group: every
+    row is compared with the smallest one, rows that are alike leave the bucket linked, the
+    others elect anew. What is left after ELECTIONS rounds is worked off as a small bucket,
+    or, if it is large still, dealt anew under finer keys, which like texts still share.
+    Buckets that stay large at the last depth go on electing until none is left, so no
+    candidate is dropped.
     """
     found = features.sparkSession.createDataFrame([], _EDGES)
     open_ = _together(features.select("rid", F.explode("keys").alias("key")))
@@ -336,6 +337,24 @@ def similar_links(features: DataFrame, similarity: float) -> DataFrame:
         )
         return shared.materialise(checked, "checked")
 
+    def within(rows: DataFrame) -> DataFrame:
+        """Links within the buckets of rows (rid, key); buckets of the same rows count once."""
+        sets_of_rows = rows.groupBy("key").agg(F.sort_array(F.collect_list("rid")).alias("rids")).select("rids").distinct()
+        groups = shared.materialise(sets_of_rows.withColumn("group", F.monotonically_increasing_id()), "groups")
+        members = groups.select("group", F.explode("rids").alias("rid")).join(sets, "rid")
+        gathered = members.groupBy("group").agg(F.collect_list(F.struct("rid", "minima", "shingles")).alias("members"))
+        forest = gathered.select("members").mapInArrow(partial(_rest_forest, least=least, similarity=similarity), _EDGES)
+        return shared.materialise(forest, "forest")
+
+    def by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """rows (rid, key) of the buckets with at most REST rows, and of the others."""
+        sizes = shared.materialise(rows.groupBy("key").agg(F.count("*").alias("n")), "sizes")
+        small = rows.join(sizes.where(F.col("n") <= REST), "key", "left_semi")
+        return small, rows.join(sizes.where(F.col("n") > REST), "key", "left_semi")
+
+    small, large = by_size(open_)
+    found = found.unionByName(within(small))
+    open_ = shared.materialise(large.select("rid", "key"), "bucketed")
     depth, election = 0, 0
     while not open_.isEmpty():
         heads = shared.materialise(open_.groupBy("key").agg(F.min("rid").alias("b")), "heads")
@@ -346,12 +365,8 @@ def similar_links(features: DataFrame, similarity: float) -> DataFrame:
         open_, election = _together(failed), election + 1
         if election < ELECTIONS:
             continue
-        sizes = shared.materialise(open_.groupBy("key").agg(F.count("*").alias("n")), "sizes")
-        small = open_.join(sizes.where(F.col("n") <= REST), "key").join(sets, "rid")
-        gathered = small.groupBy("key").agg(F.collect_list(F.struct("rid", "minima", "shingles")).alias("members")).select("members")
-        forest = gathered.mapInArrow(partial(_rest_forest, least=least, similarity=similarity), _EDGES)
-        found = found.unionByName(shared.materialise(forest, "forest"))
-        large = open_.join(sizes.where(F.col("n") > REST), "key", "left_semi")
+        small, large = by_size(open_)
+        found = found.unionByName(within(small))
         if depth < SPLIT_DEPTH:
             depth, election = depth + 1, 0
             large = _finer(large.join(sets.select("rid", "minima"), "rid"), depth)
