@@ -10,7 +10,7 @@ from contextlib import contextmanager
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftline.deploy import ship  # noqa: F401  used by the operators
+from siftline import deploy
 
 #: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
 LOCAL_WORK_DIR = "file:///tmp/checkpoints/siftline"
@@ -77,6 +77,19 @@ def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows in an Arrow batch, at most: texts may be long, and a worker holds a batch or two at once.
+BATCH_ROWS = 1000
+BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def ship(spark: SparkSession) -> None:
+    """Prepare a session for the operators' Arrow functions: the package on executors, batches of bounded size."""
+    deploy.ship(spark)
+    rows = int(spark.conf.get(BATCH_CONF))
+    if not 0 < rows <= BATCH_ROWS:
+        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+
+
 def numbered(df: DataFrame, tag: str) -> DataFrame:
     """df as a table in the shared folder with columns _c0, _c1, ... and a row number _rid.
 
