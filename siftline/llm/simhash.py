@@ -292,6 +292,70 @@ def _rest_forest(batches: Iterator[pa.RecordBatch], least: int, similarity: floa
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], _EDGES.names)
 
 
+class _Sets:
+    """Shingle sets of some rows, smallest first and laid end to end, to be compared whole with one set at a time."""
+
+    def __init__(self, rids: np.ndarray, flat: np.ndarray, lengths: np.ndarray, similarity: float):
+        order = np.argsort(lengths, kind="stable")
+        starts = np.cumsum(lengths) - lengths
+        self.flat = np.concatenate([flat[:0], *(flat[starts[i] : starts[i] + lengths[i]] for i in order)])
+        self.rids, self.size, self.similarity = rids[order], lengths[order], similarity
+        self.start = np.cumsum(self.size) - self.size
+
+    def set(self, i: int) -> np.ndarray:
+        return self.flat[self.start[i] : self.start[i] + self.size[i]]
+
+    def like(self, own: np.ndarray, mark: np.ndarray) -> np.ndarray:
+        """Positions of the rows that are alike to the set `own`; `mark` is a zero for each shingle."""
+        # Sets that are alike differ in size by no more than the similarity.
+        a = int(np.searchsorted(self.size, int(len(own) * self.similarity), "left"))
+        b = int(np.searchsorted(self.size, int(len(own) / self.similarity) + 1, "right"))
+        if a == b:
+            return np.empty(0, np.int64)
+        mark[own] = 1
+        end = self.start[b - 1] + self.size[b - 1]
+        both = np.add.reduceat(mark[self.flat[self.start[a] : end]], self.start[a:b] - self.start[a])
+        mark[own] = 0
+        return a + np.flatnonzero(both >= (len(own) + self.size[a:b] - both) * self.similarity)
+
+    def without(self, gone: np.ndarray) -> "_Sets":
+        stay = np.ones(len(self.size), bool)
+        stay[gone] = False
+        return _Sets(self.rids[stay], self.flat[np.repeat(stay, self.size)], self.size[stay], self.similarity)
+
+
+def _members(members: pa.Scalar) -> tuple[pa.StructArray, np.ndarray, np.ndarray, int]:
+    """Rows of one group, their shingles coded from 0 and laid end to end, sizes, and the number of codes."""
+    rows = members.values
+    shingles = rows.field("shingles")
+    codes, flat = np.unique(shingles.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
+    return rows, flat, shingles.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), len(codes)
+
+
+def _across_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """For each group a link of every row that isn't linked to the head to one that is, if there is one."""
+    for batch in batches:
+        found: list[tuple[int, int]] = []
+        for members in batch.column(0):
+            rows, flat, sizes, n = _members(members)
+            rids, linked = (rows.field(x).to_numpy(zero_copy_only=False) for x in ("rid", "linked"))
+            of = np.repeat(linked, sizes)
+            inner = _Sets(rids[linked], flat[of], sizes[linked], similarity)
+            outer = _Sets(rids[~linked], flat[~of], sizes[~linked], similarity)
+            mark = np.zeros(n, np.int32)
+            if len(outer.rids) < len(inner.rids):
+                for i in range(len(outer.rids)):
+                    found += [(int(outer.rids[i]), int(inner.rids[j])) for j in inner.like(outer.set(i), mark)[:1]]
+                continue
+            for i in range(len(inner.rids)):
+                like = outer.like(inner.set(i), mark)
+                if len(like):
+                    found += [(int(x), int(inner.rids[i])) for x in outer.rids[like]]
+                    outer = outer.without(like)
+        a, b = zip(*found) if found else ((), ())
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], _EDGES.names)
+
+
 def _together(keyed: DataFrame) -> DataFrame:
     """Rows (rid, key) whose key another row has."""
     again = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
@@ -312,10 +376,12 @@ def similar_links(features: DataFrame, similarity: float) -> DataFrame:
     A bucket of at most REST rows is compared within itself, on the minima first, and gives
     a spanning forest of its links, not its pairs. A larger one is mostly one group: every
     row is compared with the smallest one, rows that are alike leave the bucket linked, the
-    others elect anew. What is left after ELECTIONS rounds is worked off as a small bucket,
-    or, if it is large still, dealt anew under finer keys, which like texts still share.
-    Buckets that stay large at the last depth go on electing until none is left, so no
-    candidate is dropped.
+    others elect anew. Before they leave, those that can be alike to a row that stays are
+    compared with it: 1 - similarity is a metric, so only rows that stay within twice the
+    allowed distance of the head can, and only with those that leave from far enough. What
+    is left after ELECTIONS rounds is worked off as a small bucket, or, if it is large
+    still, dealt anew under finer keys, which like texts still share. Buckets that stay
+    large at the last depth go on electing until none is left, so no candidate is dropped.
     """
     found = features.sparkSession.createDataFrame([], _EDGES)
     open_ = _together(features.select("rid", F.explode("keys").alias("key")))
@@ -326,14 +392,19 @@ def similar_links(features: DataFrame, similarity: float) -> DataFrame:
     least = int(SAMPLES * MINIMA * similarity - SLACK * (SAMPLES * MINIMA * similarity * (1 - similarity)) ** 0.5)
 
     def verified(pairs: DataFrame) -> DataFrame:
-        """pairs a, b with whether they are alike."""
+        """pairs a, b with whether they are alike, and their distance."""
         checked = (
             pairs.select("a", "b")
             .distinct()
             .join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")), "a")
             .join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")), "b")
             .select("a", "b", alike.alias("both"), (F.size("sa") + F.size("sb")).alias("sizes"))
-            .select("a", "b", (F.col("both") >= (F.col("sizes") - F.col("both")) * similarity).alias("linked"))
+            .select(
+                "a",
+                "b",
+                (F.col("both") >= (F.col("sizes") - F.col("both")) * similarity).alias("linked"),
+                (1 - F.col("both") / (F.col("sizes") - F.col("both"))).alias("distance"),
+            )
         )
         return shared.materialise(checked, "checked")
 
@@ -346,6 +417,30 @@ def similar_links(features: DataFrame, similarity: float) -> DataFrame:
         forest = gathered.select("members").mapInArrow(partial(_rest_forest, least=least, similarity=similarity), _EDGES)
         return shared.materialise(forest, "forest")
 
+    def across(checked: DataFrame) -> DataFrame | None:
+        """Links between rows a that are alike to a head b and rows that aren't; both sides meet in blocks of about REST rows."""
+        reach = 1 - similarity + 1e-9
+        linked, distance = F.col("linked"), F.col("distance")
+        bounds = checked.groupBy("b").agg(
+            F.max(F.when(linked, distance)).alias("far"), F.min(F.when(~linked, distance)).alias("near")
+        ).where(F.col("near") <= F.col("far") + reach)
+        within_reach = F.when(linked, distance >= F.col("near") - reach).otherwise(distance <= F.col("far") + reach)
+        sides = checked.join(bounds, "b").where(within_reach).select("b", F.col("a").alias("rid"), "linked")
+        sides = shared.materialise(sides, "sides")
+        if sides.isEmpty():
+            return None
+        blocks = sides.groupBy("b").agg(*[F.ceil(F.count_if(x) / REST).cast("int").alias(n) for x, n in ((linked, "inner"), (~linked, "outer"))])
+        blocks = shared.materialise(blocks, "blocks")
+        own, other = (F.when(linked, F.col(x)).otherwise(F.col(y)) for x, y in (("inner", "outer"), ("outer", "inner")))
+        dealt = sides.join(blocks, "b").select(
+            "b", "rid", "linked", F.pmod(F.xxhash64("rid"), own).cast("int").alias("at"), F.explode(F.sequence(F.lit(0), other - 1)).alias("to")
+        )
+        group = F.struct("b", F.when(linked, F.col("at")).otherwise(F.col("to")).alias("i"), F.when(linked, F.col("to")).otherwise(F.col("at")).alias("j"))
+        members = dealt.select(group.alias("group"), "rid", "linked").join(sets.select("rid", "shingles"), "rid")
+        gathered = members.groupBy("group").agg(F.collect_list(F.struct("rid", "linked", "shingles")).alias("members"))
+        met = gathered.select("members").mapInArrow(partial(_across_links, similarity=similarity), _EDGES)
+        return shared.materialise(met, "across")
+
     def by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """rows (rid, key) of the buckets with at most REST rows, and of the others."""
         sizes = shared.materialise(rows.groupBy("key").agg(F.count("*").alias("n")), "sizes")
@@ -361,6 +456,8 @@ def similar_links(features: DataFrame, similarity: float) -> DataFrame:
         pairs = shared.materialise(open_.join(heads, "key").where("rid <> b").select("key", F.col("rid").alias("a"), "b"), "pairs")
         checked = verified(pairs)
         found = found.unionByName(checked.where("linked").select("a", "b"))
+        met = across(checked)
+        found = found.unionByName(met) if met else found
         failed = pairs.join(checked.where("not linked"), ["a", "b"], "left_semi").select(F.col("a").alias("rid"), "key")
         open_, election = _together(failed), election + 1
         if election < ELECTIONS:

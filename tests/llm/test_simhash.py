@@ -153,6 +153,25 @@ def test_drop_near_copies_is_brute_force(spark, monkeypatch, rest):
     assert Counter(r.doc_id for r in out.collect()) == want
 
 
+@pytest.mark.parametrize("hub", [120])
+def test_links_to_rows_that_leave_a_large_bucket(spark, monkeypatch, hub):
+    # One bucket of a hub and over REST copies, each alike to the hub and to no other copy.
+    monkeypatch.setattr(s, "REST", 128)
+    rng, rows, sets = random.Random(11), [], []
+    for c in range(200):
+        words = [f"w{i}" for i in range(300)]
+        for e in range(6 if c != hub else 0):
+            words[50 * e + 5 + rng.randrange(40)] = f"c{c}e{e}"
+        hashes = s.shingle_hashes(" ".join(words), 5)
+        _, minima = s.bucket_keys(hashes, s.masks(2))
+        sets.append(set((hashes >> np.uint64(32)).tolist()))
+        rows.append((c, c, [7], minima.tolist(), np.unique((hashes >> np.uint64(32)).astype(np.uint32)).view(np.int32).tolist()))
+    pairs = [(a, b) for a, b in combinations(range(200), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    assert set(pairs) == {(min(hub, c), max(hub, c)) for c in range(200) if c != hub}
+    found = s.similar_links(spark.createDataFrame(rows, s._FEATURES).repartition(3), 0.8)
+    assert {(min(r.a, r.b), max(r.a, r.b)) for r in found.collect()} == set(pairs)
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert s.near_copies(docs).collect() == [] and s.drop_near_copies(docs).collect() == []
