@@ -6,7 +6,8 @@ more than the one before (a convex cost), so repetition is spread as thinly as t
 allow. Only the pattern table reaches the driver: one row per distinct set of sources, no
 rows per document. Whole documents are then selected in a seeded order: prefix sums over
 hash buckets and within a bucket find the documents before a pattern's cut, and the gap
-that whole documents leave is closed from the next few in line.
+that whole documents leave is closed from the next few in line, then by further prefix sums
+down the whole line until no document fits.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ MAX_PATTERNS = 500_000
 ROWS_PER_BUCKET = 20_000
 #: Tables with a row for each pattern are broadcast up to this many.
 BROADCAST_PATTERNS = 5000
-#: Documents after the cut among which the gap is closed.
+#: Documents after the cut among which the gap is closed first.
 NEXT_IN_LINE = 256
 
 
@@ -132,18 +133,20 @@ def _min_cost_flow(part: list[frozenset], sizes: dict, wanted: dict, copies: int
         short[n] -= amount
 
 
-_TOPPED = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("ordinal", T.LongType())])
+_TOPPED = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("ordinal", T.LongType()), T.StructField("size", T.LongType())])
 
 
 def _close_gap(group: pa.Table) -> pa.Table:
     """Of the next documents in line those that fill the gap, largest first."""
-    gap, chosen = group["gap"][0].as_py(), []
+    gap, chosen, sizes = group["gap"][0].as_py(), [], []
     line = zip(group["size"].to_pylist(), group["ordinal"].to_pylist())
     for size, ordinal in sorted(line, key=lambda x: (-x[0], x[1])):
         if 0 < size <= gap:
             chosen.append(ordinal)
+            sizes.append(size)
             gap -= size
-    return pa.table({"pattern": pa.array([group["pattern"][0].as_py()] * len(chosen), pa.string()), "ordinal": pa.array(chosen, pa.int64())})
+    pattern = pa.array([group["pattern"][0].as_py()] * len(chosen), pa.string())
+    return pa.table({"pattern": pattern, "ordinal": pa.array(chosen, pa.int64()), "size": pa.array(sizes, pa.int64())})
 
 
 def _bucket_and_order(n_buckets: int, seed: int) -> tuple[Column, Column]:
@@ -156,8 +159,8 @@ class Selection:
     """Which documents of a table (doc_id, size, pattern) are taken how often.
 
     `rows` numbers them within their pattern: whole copies, and whether one more (`_in`) as
-    the running sum in seeded order stays within the rest. `topped` (pattern, ordinal) are
-    the few taken once more to close the gap that whole documents leave.
+    the running sum in seeded order stays within the rest. `topped` (pattern, ordinal, size)
+    are those taken once more to close the gap that whole documents leave.
     """
 
     def __init__(self, sized: DataFrame, words: dict[str, Fraction], sizes: dict[str, int], seed: int):
@@ -193,13 +196,49 @@ class Selection:
         #: The last row within the rest of each pattern that has one.
         self.last = self.rows.where("_in").groupBy("pattern").agg(F.max(last).alias("last"))
         first = F.coalesce(F.col("last.ordinal") + 1, F.lit(0))
-        line = (
+        after = (
             self.rows.join(self.bounded(self.last), "pattern", "left")
-            .where((F.col("ordinal") >= first) & (F.col("ordinal") < first + NEXT_IN_LINE))
-            .select("pattern", "ordinal", "size", (F.col("rest") - F.coalesce("last._end", F.lit(0))).alias("gap"))
+            .where(F.col("ordinal") >= first)
+            .select("pattern", "_bucket", "ordinal", "size", first.alias("first"), (F.col("rest") - F.coalesce("last._end", F.lit(0))).alias("gap"))
         )
+        line = after.where(F.col("ordinal") < F.col("first") + NEXT_IN_LINE).select("pattern", "ordinal", "size", "gap")
         topped = line.groupBy("pattern").applyInArrow(_close_gap, _TOPPED)
-        self.topped = shared.materialise(topped, "mix-topped")
+        self.topped = self._down_the_line(after.drop("first"), shared.materialise(topped, "mix-topped"))
+
+    def _down_the_line(self, after: DataFrame, topped: DataFrame) -> DataFrame:
+        """topped and what else of the rows after the cut fits the gap that it leaves, until nothing does.
+
+        A round takes the rows of at most half the gap in order while they fit: the first
+        that doesn't shows that over half the gap is filled. If there are none, one row of
+        over half the gap fits, the largest. So the rounds grow with the logarithm of the gap.
+        """
+
+        def remaining(line: DataFrame, chosen: DataFrame, how: str) -> DataFrame:
+            used = self.bounded(chosen.groupBy("pattern").agg(F.sum("size").alias("used")))
+            left = (
+                line.join(used, "pattern", how)
+                .withColumn("gap", F.col("gap") - F.coalesce("used", F.lit(0)))
+                .where((F.col("size") > 0) & (F.col("size") <= F.col("gap")))
+                .drop("used")
+            )
+            return shared.materialise(left.join(chosen, ["pattern", "ordinal"], "left_anti"), "mix-line")
+
+        line = remaining(after, topped, "left")
+        while not line.isEmpty():
+            half = line.where(2 * F.col("size") <= F.col("gap"))
+            before = Window.partitionBy("pattern").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+            sums = half.groupBy("pattern", "_bucket").agg(F.sum("size").alias("words"))
+            base = sums.select("pattern", "_bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("_words"))
+            within = Window.partitionBy("pattern", "_bucket").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, 0)
+            run = half.join(base, ["pattern", "_bucket"]).withColumn("_end", F.col("_words") + F.sum("size").over(within)).where("_end <= gap")
+            largest = line.groupBy("pattern").agg(
+                F.max(F.struct("size", (-F.col("ordinal")).alias("back"))).alias("top"), F.min(2 * F.col("size") - F.col("gap")).alias("over")
+            )
+            one = largest.where("over > 0").select("pattern", (-F.col("top.back")).alias("ordinal"), F.col("top.size").alias("size"))
+            chosen = shared.materialise(run.select("pattern", "ordinal", "size").unionByName(one), "mix-topped")
+            topped = topped.unionByName(chosen)
+            line = remaining(line, chosen, "inner")
+        return topped
 
     def bounded(self, per_pattern: DataFrame) -> DataFrame:
         """A table of a row per pattern: broadcast if there are few patterns, else joined by shuffle."""
@@ -207,7 +246,7 @@ class Selection:
 
     def taken(self) -> DataFrame:
         """doc_id, size, pattern, ordinal, taken of every row."""
-        top = self.topped.withColumn("_top", F.lit(True))
+        top = self.topped.select("pattern", "ordinal", F.lit(True).alias("_top"))
         extra = F.when(F.col("_in") | F.col("_top"), 1).otherwise(0)
         return self.rows.join(top, ["pattern", "ordinal"], "left").select(
             "doc_id", "size", "pattern", "ordinal", (F.col("size") * (F.col("whole") + extra)).cast("long").alias("taken")
@@ -270,8 +309,8 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, whole, each as often as mix takes it; source is a plain column here.
 
     Rows without a word are never taken. Columns and their order are those of docs. The
-    rows themselves aren't shuffled: a row is within its pattern's cut or not, and only the
-    few that close a gap are looked up.
+    rows themselves aren't shuffled: a row is within its pattern's cut or not, and only
+    those that close a gap are looked up.
     """
     flat = shared.numbered(docs, "mix-rows")
     at = {n: F.col(f"_c{docs.columns.index(n)}") for n in ("text", "source")}

@@ -191,6 +191,14 @@ def test_mixed_rows(spark):
     assert max(sum(r.doc_id == i for r in rows) for i, _, _ in MIX) == 2
 
 
+@pytest.mark.parametrize("seed", [6, 7])
+def test_mix_fills_the_gap_before_a_very_long_document(spark, seed):
+    rows = [(i, words(40), "s") for i in range(1500)] + [(2000 + i, words(30_000), "s") for i in range(2)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), seed=seed).collect()
+    assert len(got) == len(rows) and all(r.taken in (r.size, 2 * r.size) for r in got)
+    assert 0 <= got[0].target - sum(r.taken for r in got) < 40
+
+
 def test_mix_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix_sources(docs).collect() == [] and mixing.mixed_rows(docs).collect() == []
