@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -19,14 +20,19 @@ LOCAL_WORK_DIR = "file:///tmp/checkpoints/siftline"
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Keys with over 1/HOT_KEYS of all rows, and at least HOT_ROWS: there are at most HOT_KEYS of them, so they can be broadcast.
+HOT_ROWS, HOT_KEYS = 10_000, 10_000
+
 _made: list[tuple[SparkSession, str]] = []
 _scopes: list[list[str]] = []
 
 
 def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; set here only if unset."""
+    """The folder that driver and executors share, from spark.checkpoint.dir; set here only if unset, and on one machine only."""
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = LOCAL_WORK_DIR
         spark.conf.set("spark.checkpoint.dir", base)
         spark.sparkContext.setCheckpointDir(base)
@@ -77,17 +83,22 @@ def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows in an Arrow batch, at most: texts may be long, and a worker holds a batch or two at once.
-BATCH_ROWS = 1000
+#: Rows and bytes in an Arrow batch, at most: texts may be long, and a worker holds a batch or two at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+BYTES_CONF = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
-    """Prepare a session for the operators' Arrow functions: the package on executors, batches of bounded size."""
+    """Prepare a session for the operators' Arrow functions: the package on executors, batches of bounded size.
+
+    The session keeps the smaller batches: DataFrames run after the call that makes them.
+    """
     deploy.ship(spark)
-    rows = int(spark.conf.get(BATCH_CONF))
-    if not 0 < rows <= BATCH_ROWS:
-        spark.conf.set(BATCH_CONF, str(BATCH_ROWS))
+    for conf, most in ((BATCH_CONF, BATCH_ROWS), (BYTES_CONF, BATCH_BYTES)):
+        held = spark.conf.get(conf)
+        if not (held.isdigit() and 0 < int(held) <= most):
+            spark.conf.set(conf, str(most))
 
 
 def numbered(df: DataFrame, tag: str) -> DataFrame:
@@ -116,10 +127,26 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def join_skewed(rows: DataFrame, per_key: DataFrame, key: str, rows_of_key: str = "n") -> DataFrame:
+    """rows joined with per_key, a materialised table of one row per key that counts the key's rows.
+
+    Any key may hold a large share of the rows. Those with over 1/HOT_KEYS of them are at most
+    HOT_KEYS, so they are looked up by broadcast and their rows aren't shuffled; the others
+    are joined as Spark plans it.
+    """
+    total, most = per_key.agg(F.sum(rows_of_key), F.max(rows_of_key)).first()
+    least = max(HOT_ROWS, (total or 0) // HOT_KEYS)
+    if not total or most <= least:
+        return rows.join(per_key, key)
+    few, others = (F.broadcast(per_key.where(F.col(rows_of_key) > least)), per_key.where(F.col(rows_of_key) <= least))
+    return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(others, key))
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI in the shared folder, on any executor."""
     from pyarrow import fs
 
     if uri.startswith("file:") or "://" not in uri:
         return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
-    return fs.FileSystem.from_uri(uri)
+    # The Hadoop connectors' names of the same stores.
+    return fs.FileSystem.from_uri(re.sub(r"^(s3)[an]://|^(abfs)s://", lambda m: f"{m[1] or m[2]}://", uri))
