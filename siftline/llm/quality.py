@@ -21,9 +21,10 @@ LEAST_KEPT_PERCENT = 50
 
 # Patterns of the line rules, in syntax that Java and RE2 read alike.
 SYMBOL = r"[#*$%&|<>]"
-ENDS_WELL = r"[.!?:;…\"”»)\]][\x20\x09-\x0D]*$"
-NAVIGATION = r"([|»›•·>][^|»›•·>]*){3,}"
-SHOUT_MARKS = r"(!![^!]*){3,}"
+ENDS_WELL = r"[.!?:;…\"”»)\]][\x20\x09-\x0D]*\z"
+NAVIGATION = "|»›•·>"
+#: A line with this many separators is navigation, with this many pairs of exclamation marks shouting.
+MOST_SEPARATORS, MOST_SHOUTS = 2, 2
 #: What a text has in lower case if any line of it matches BOILERPLATE.
 BOILERPLATE_PARTS = (
     "all rights reserved", "cookie policy", "accept cookies", "privacy policy", "terms of use", "terms of service", "enable javascript",
@@ -82,17 +83,23 @@ def may_have_boilerplate(text: Column) -> Column:
 
 
 def line_passes(line: Column, boilerplate: Column | None = None) -> Column:
-    """Whether a line passes all rules; `boilerplate` says if its text may have any, which saves the search where not."""
+    """Whether a line passes all rules; `boilerplate` says if its text may have any, which saves the search where not.
+
+    Separators and shouts are counted by what their removal leaves, not matched as repeated
+    groups: Java's matcher recurses for each repetition of a group, and a line may have millions.
+    """
     letters = F.length(F.regexp_replace(line, r"[^\p{L}]+", ""))
     capitals = F.length(F.regexp_replace(line, r"[^\p{Lu}]+", ""))
     worn = line.rlike(BOILERPLATE) if boilerplate is None else boilerplate & line.rlike(BOILERPLATE)
-    symbols = F.length(line) - F.length(F.translate(line, "#*$%&|<>", ""))
+    without = lambda marks: F.length(line) - F.length(F.translate(line, marks, ""))
+    shouts = F.length(line) - F.length(F.replace(line, F.lit("!!"), F.lit("")))
     return (
         line.rlike(ENDS_WELL)
-        & ~line.rlike(NAVIGATION)
-        & (symbols * 10 <= F.length(line))
-        & ~((letters >= 20) & (capitals * 2 > letters))
-        & ~line.rlike(SHOUT_MARKS)
+        & (without(NAVIGATION) <= MOST_SEPARATORS)
+        & (without("#*$%&|<>") * 10 <= F.length(line))
+        # Over half of 20 letters are more than 10 capitals, so most lines end with the first test.
+        & ~((capitals > 10) & (letters >= 20) & (capitals * 2 > letters))
+        & (shouts <= 2 * MOST_SHOUTS)
         & ~worn
     )
 
@@ -189,11 +196,11 @@ SQL = rf"""
         coalesce(cov.n_repeat_words, 0)::BIGINT AS n_repeat_words,
         coalesce(list_sum(list_transform(list_filter(lines, lambda x:
           regexp_matches(x, '{ENDS_WELL}')
-          AND NOT regexp_matches(x, '{NAVIGATION}')
+          AND length(x) - length(regexp_replace(x, '[{NAVIGATION}]', '', 'g')) <= {MOST_SEPARATORS}
           AND (length(x) - length(regexp_replace(x, '{SYMBOL}', '', 'g'))) * 10 <= length(x)
           AND NOT (length(regexp_replace(x, '[^\p{{L}}]', '', 'g')) >= 20
             AND length(regexp_replace(x, '[^\p{{Lu}}]', '', 'g')) * 2 > length(regexp_replace(x, '[^\p{{L}}]', '', 'g')))
-          AND NOT regexp_matches(x, '{SHOUT_MARKS}')
+          AND length(x) - length(replace(x, '!!', '')) <= {2 * MOST_SHOUTS}
           AND NOT regexp_matches(x, '{BOILERPLATE}')), lambda x: length(x))), 0)::BIGINT AS clean_chars,
         coalesce(list_sum(list_transform(lines, lambda x: length(x))), 0)::BIGINT AS line_chars
       FROM n LEFT JOIN cov ON n.doc_id = cov.doc_id

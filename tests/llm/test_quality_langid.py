@@ -62,6 +62,22 @@ def test_agrees_with_labels(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.05 * len(bad)
 
 
+@pytest.mark.parametrize("mark", ["|", "a|", "!!", "Home > ", "!", ">·"])
+def test_lines_of_many_marks(spark, mark):
+    # A matcher that recurses for each repetition overflows its stack on such lines.
+    rows = [(i, unit + end) for i, n in enumerate((2_000, 200_000, 5_000_000 // len(mark))) for end in (".", "") for unit in [mark * n]]
+    got = q.quality_report(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert len(got) == len(rows) and {r.clean_chars for r in got} == {0} and {r.line_chars for r in got} == {len(t) for _, t in rows}
+
+
+def test_counts_of_marks(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("a | b | c.", True), ("a | b | c > d.", False), ("so!! much!! news.", True), ("so!! much!! news!!", False), ("wow!!!!! fine!", True), ("ends well.\r", True)]
+    got = spark.createDataFrame(rows, "x string, ok boolean").select("x", "ok", q.line_passes(F.col("x")).alias("is")).collect()
+    assert [(r.x, r["is"]) for r in got] == rows
+
+
 def test_stays_native(spark):
     plan = q.quality_report(spark.read.parquet(f"{SF}/documents.parquet"))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas|Exchange", plan)
