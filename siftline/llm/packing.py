@@ -8,7 +8,9 @@ whatever the corpus size, so only that histogram reaches the driver:
 2. the few rounded sizes are packed by configurations: a configuration linear programme,
    solved by column generation with a knapsack as the pricing step, rounded down;
 3. actual lengths take the rounded slots, longest first in each group;
-4. what rounding left over and all small pieces go in by best fit, longest first.
+4. what rounding left over and all small pieces go in by best fit, longest first;
+5. while sequences exceed total tokens / capacity, fewer of the combinations that came out
+   full are kept, and the pieces of all other sequences are packed anew by best fit.
 
 Pieces of one length are interchangeable, so the plan is a short list of runs "pieces
 [a, b) of length L go to sequences s.. at offset o". Executors number the pieces of each
@@ -19,8 +21,11 @@ place up. No row depends on another's place, and no task sees a whole length cla
 from __future__ import annotations
 
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from functools import partial
+from itertools import accumulate
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -33,10 +38,10 @@ from . import shared, tokens
 CAPACITY = 2048
 #: Pieces numbered together within one length class.
 ROWS_PER_BUCKET = 50_000
-#: (a piece over capacity / this is large, number of groups), tried in turn.
-GROUPINGS = ((2, 32), (3, 64), (8, 32), (6, 64))
-#: Trying ends once the sequences exceed total tokens / capacity by less than one in this many.
-CLOSE = 512
+#: (a piece over capacity / this is large, number of groups), tried in turn until one reaches total tokens / capacity.
+GROUPINGS = ((3, 64), (4, 64), (8, 32), (2, 32))
+#: How often the kept combinations of a grouping are halved.
+KEPT_HALVINGS = 7
 
 PIECES = T.StructType(
     [
@@ -57,28 +62,29 @@ def configurations(sizes: list[int], demand: list[int], capacity: int) -> list[t
 
     Minimise the sum of x over combinations a with sum(a_i * sizes_i) <= capacity, such that
     every size's demand is met. Columns are generated while a knapsack on the dual prices
-    finds one worth more than a bin.
+    finds one worth more than a bin. Large sizes are few to a bin, so the knapsack goes by
+    the number of pieces: the most worth of at most k pieces in each room.
     """
-    k = len(sizes)
-    size, need = np.array(sizes), np.array(demand, float)
+    n, size, need = len(sizes), np.array(sizes), np.array(demand, float)
     basis = np.diag([capacity // s for s in sizes]).astype(float)
-    for _ in range(40 * k):
-        price = np.linalg.solve(basis.T, np.ones(k))
-        best, choice = np.zeros(capacity + 1), np.full(capacity + 1, -1)
-        for c in range(int(size.min()), capacity + 1):
-            fits = size <= c
-            value = np.where(fits, best[c - np.where(fits, size, 0)] + price, -1.0)
-            i = int(value.argmax())
-            best[c], choice[c] = (value[i], i) if value[i] > best[c - 1] else (best[c - 1], -1)
-        if best[capacity] <= 1 + 1e-7:
+    left = np.arange(capacity + 1) - size[:, None]  # room left by size and room
+    most = capacity // int(size.min())
+    for _ in range(40 * n):
+        price = np.linalg.solve(basis.T, np.ones(n))
+        worth, choices = np.zeros(capacity + 1), []
+        for _ in range(most):
+            value = np.where(left >= 0, worth[np.maximum(left, 0)] + price[:, None], -1.0)
+            choice = value.argmax(axis=0)
+            better = value[choice, np.arange(capacity + 1)]
+            choices.append(np.where(better > worth + 1e-12, choice, -1))
+            worth = np.maximum(worth, better)
+        if worth[capacity] <= 1 + 1e-7:
             break
-        column, c = np.zeros(k), capacity
-        while c > 0:
-            if choice[c] < 0:
-                c -= 1
-            else:
-                column[choice[c]] += 1
-                c -= int(size[choice[c]])
+        column, room = np.zeros(n), capacity
+        for choice in reversed(choices):
+            if (i := int(choice[room])) >= 0:
+                column[i] += 1
+                room -= int(size[i])
         x, d = np.linalg.solve(basis, need), np.linalg.solve(basis, column)
         ratio = np.where(d > 1e-9, x / np.where(d > 1e-9, d, 1), np.inf)
         basis[:, int(ratio.argmin())] = column
@@ -106,6 +112,7 @@ class _Bins:
 
     def __init__(self, capacity: int):
         self.capacity, self.free, self.next = capacity, [[] for _ in range(capacity + 1)], 0
+        self.combined: list[tuple[int, int]] = []  # (first, number) of sequences opened by configurations of several pieces
         self.runs: list[tuple[int, int, int, int, int, int]] = []  # length, first, count, per bin, sequence, offset
 
     def open(self, n: int) -> int:
@@ -166,6 +173,7 @@ def _grouped(histogram: dict[int, int], capacity: int, share: int, groups: int)
             if not slots:
                 continue
             sequence = bins.open(times)
+            bins.combined += [(sequence, times)] * (sum(counts) > 1)
             cuts = sorted({0, times} | {sum(n for _, _, n in s[: j + 1]) for s in slots for j in range(len(s))})
             place = [(0, list(s)) for s in slots]
             for a, b in zip(cuts, cuts[1:]):
@@ -185,23 +193,84 @@ def _grouped(histogram: dict[int, int], capacity: int, share: int, groups: int)
     return bins
 
 
-def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> tuple[np.ndarray, int]:
-    """(runs sorted by length and first piece, number of sequences) for counts by length.
+def _cover(spans: list[tuple[int, int]], first: int, n: int) -> Iterator[tuple[int, int, bool, int]]:
+    """[first, first + n) cut at the ends of the disjoint sorted spans: (from, to, whether in one, how many before `from` are in one)."""
+    at, end = first, first + n
+    i = max(0, bisect_right(spans, (first, end)) - 1)
+    before = sum(min(b, first) - a for a, b in spans[:i])
+    while at < end:
+        while i < len(spans) and spans[i][1] <= at:
+            before += spans[i][1] - spans[i][0]
+            i += 1
+        inside = i < len(spans) and spans[i][0] <= at
+        to = min(end, spans[i][inside] if i < len(spans) else end)
+        yield at, to, inside, before + (at - spans[i][0] if inside else 0)
+        at = to
+
+
+def _full_combinations(bins: _Bins) -> list[tuple[int, int]]:
+    """(first, number) of the sequences that configurations of several pieces opened and that came out full."""
+    gaps = sorted((s, s + n) for runs in bins.free for s, n in runs)
+    return [(a, b - a) for first, n in bins.combined for a, b, inside, _ in _cover(gaps, first, n) if not inside]
+
+
+def _repacked(bins: _Bins, kept: list[tuple[int, int]]) -> _Bins:
+    """The sequences in kept (first, number) as they are, and the pieces of all others packed anew by best fit, longest first."""
+    out, spans = _Bins(bins.capacity), sorted((a, a + n) for a, n in kept)
+    out.next, loose = sum(n for _, n in kept), []
+    for length, first, count, per, sequence, offset in bins.runs:
+        for a, b, inside, before in _cover(spans, sequence, -(-count // per)):
+            start = first + (a - sequence) * per
+            n = min(first + count, first + (b - sequence) * per) - start
+            if inside:
+                out.runs.append((length, start, n, per, before, offset))
+            else:
+                loose.append((length, start, n))
+    out.combined = [(0, out.next)]
+    for length, first, n in sorted(loose, key=lambda x: (-x[0], x[1])):
+        out.best_fit(length, first, n)
+    return out
+
+
+def _attempts(histogram: dict[int, int], capacity: int) -> Iterator[tuple[tuple[int, int], _Bins]]:
+    """(grouping, sequences): each grouping as it is, then with fewer and fewer of its combinations and best fit for the rest.
+
+    Rounding leaves gaps, and combinations that are all kept use up the small pieces that
+    fill them; with fewer kept, best fit finds them in longer ones' place.
+    """
+    for grouping in GROUPINGS:
+        made = _grouped(histogram, capacity, *grouping)
+        yield grouping, made
+        full = _full_combinations(made)
+        for halvings in range(KEPT_HALVINGS):
+            if kept := [(a, n >> halvings) for a, n in full if n >> halvings]:
+                yield grouping, _repacked(made, kept)
+
+
+class Plan(NamedTuple):
+    """runs: rows of (length, first piece, pieces, pieces per sequence, sequence, offset), sorted by length and first piece."""
+
+    runs: np.ndarray
+    sequences: int
+    #: The grouping that made it, and how many sequences its configurations of several pieces opened.
+    grouping: tuple[int, int]
+    combined: int
+
+
+def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> Plan:
+    """The plan for counts by length (1..capacity): of all attempts the one with the fewest sequences, of equal ones the first.
 
-    Groupings are tried in turn until one comes close to the lower bound (with many small
-    pieces best fit fills nearly every gap; with few, the configurations over more sizes
-    save sequences); the one with the fewest sequences is taken. Lengths must be 1..capacity.
+    Attempts end only at the lower bound, which no plan can beat. The last grouping's
+    configurations are single pieces, so that what is tried includes best fit, longest first.
     """
     total = sum(s * n for s, n in histogram.items())
-    bound, best = -(-total // capacity), None
-    for share, groups in GROUPINGS:
-        tried = _grouped(histogram, capacity, share, groups)
-        if best is None or tried.next < best.next:
-            best = tried
-        if (best.next - bound) * CLOSE <= bound:
+    bound, best, made = -(-total // capacity), _Bins(capacity), GROUPINGS[0]
+    for grouping, tried in _attempts(histogram, capacity) if total else ():
+        if not best.runs or tried.next < best.next:
+            best, made = tried, grouping
+        if best.next == bound:
             break
-    runs = np.array(sorted(best.runs), np.int64).reshape(-1, 6)
-    return runs, best.next
+    return Plan(np.array(sorted(best.runs), np.int64).reshape(-1, 6), best.next, made, sum(n for _, n in best.combined))
 
 
 # ---------------------------------------------------------------- on the executors
@@ -251,7 +320,7 @@ def place(cuts: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """Adds sequence_id and offset to a materialised table of pieces."""
     spark = cuts.sparkSession
     histogram = {r["length"]: r["n"] for r in cuts.groupBy("length").agg(F.count("*").alias("n")).collect()}  # <= capacity rows
-    runs, _ = plan(histogram, capacity)
+    runs = plan(histogram, capacity).runs
     buckets = max(64, sum(histogram.values()) // ROWS_PER_BUCKET)
     tie = F.xxhash64("doc_id", "piece", "ids_crc32")
     dealt = cuts.withColumn("bucket", F.pmod(tie, F.lit(buckets)).cast("int"))

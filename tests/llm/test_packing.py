@@ -13,7 +13,7 @@ LONG = "word " * 9000
 
 
 def check_plan(histogram, capacity):
-    runs, n = packing.plan(histogram, capacity)
+    runs, n, *_ = packing.plan(histogram, capacity)
     seen, bins = {}, {}
     for length, first, count, per, sequence, offset in runs.tolist():
         seen.setdefault(length, []).append((first, count))
@@ -57,6 +57,40 @@ def test_plan_is_near_the_bound_or_better_than_best_fit(low, high, n):
     assert got <= best_fit_decreasing(histogram, 2048)
 
 
+@pytest.mark.parametrize("sf", ["sf0.001", "sf0.01"])
+def test_configurations_of_several_pieces_on_real_lengths(sf):
+    import pyarrow.parquet as pq
+
+    paths, histogram = tokens.vocabulary_paths(), Counter()
+    for text in pq.read_table(f"/root/testdata/{sf}/documents.parquet", columns=["text"])["text"].to_pylist():
+        histogram.update(n for _, n in packing.cut(len(tokens.encode(text, True, *paths)) + 1, 2048))
+    made = packing.plan(histogram)
+    assert check_plan(histogram, 2048) == made.sequences == -(-sum(s * n for s, n in histogram.items()) // 2048)
+    # They are part of the plan wherever enough documents fill the rounded gaps.
+    assert made.combined > 0 or sf == "sf0.001"
+
+
+def test_kept_combinations_are_whole():
+    rng = random.Random(2)
+    histogram = Counter(rng.choice([1, 2, 3, rng.randint(300, 1400)]) for _ in range(4000))
+    made = packing._grouped(histogram, 2048, 3, 16)
+    full = packing._full_combinations(made)
+    assert full and sum(n for _, n in made.combined) >= sum(n for _, n in full)
+    for share in (1, 2, 5):
+        kept = [(a, n // share) for a, n in full if n // share]
+        again = packing._repacked(made, kept)
+        assert again.combined == [(0, sum(n for _, n in kept))]
+        got = Counter()
+        for length, _, count, *_ in again.runs:
+            got[length] += count
+        assert got == histogram
+        filled = Counter()
+        for length, _, count, per, sequence, _ in again.runs:
+            for j in range(count):
+                filled[sequence + j // per] += length
+        assert set(filled) == set(range(again.next)) and all(filled[s] == 2048 for s in range(sum(n for _, n in kept))) and max(filled.values()) <= 2048
+
+
 def test_configurations_meet_demand():
     sizes, demand = [50, 34, 20], [30, 60, 90]
     found = packing.configurations(sizes, demand, 100)
