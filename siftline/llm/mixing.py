@@ -15,6 +15,7 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 from fractions import Fraction
+from math import lcm
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -64,7 +65,7 @@ def route(patterns: dict[frozenset, int], wanted: dict, copies: int) -> dict[fro
     """Words to take of each pattern: a flow that meets the quotas as far as it can at least cost.
 
     The k-th copy of a pattern's words costs k a word. Sources that share no pattern are
-    separate problems, and a source on its own needs no search.
+    separate problems.
     """
     component: dict = {n: n for n in wanted}
 
@@ -83,54 +84,76 @@ def route(patterns: dict[frozenset, int], wanted: dict, copies: int) -> dict[fro
         parts.setdefault(root(next(iter(members))), []).append(members)
     out: dict[frozenset, Fraction] = {}
     for part in parts.values():
-        if len(part) == 1 and len(part[0]) == 1:
-            (members,) = part
-            out[members] = min(Fraction(copies * patterns[members]), wanted[next(iter(members))])
-        else:
-            out |= _min_cost_flow(part, patterns, wanted, copies)
+        out |= _min_cost_flow(part, patterns, wanted, copies)
     return out
 
 
+class _Network:
+    """A flow network of whole capacities: arc i leads to `to[i]` with `room[i]` left, arc i ^ 1 back."""
+
+    def __init__(self, nodes: int):
+        self.out: list[list[int]] = [[] for _ in range(nodes)]
+        self.to: list[int] = []
+        self.room: list[int] = []
+
+    def arc(self, a: int, b: int, room: int) -> int:
+        for node, end, n in ((a, b, room), (b, a, 0)):
+            self.out[node].append(len(self.to))
+            self.to.append(end)
+            self.room.append(n)
+        return len(self.to) - 2
+
+    def augment(self, start: int, end: int) -> None:
+        """As much more flow as there is room for: blocking flows along shortest paths until `end` is cut off."""
+        while True:
+            level, line = {start: 0}, [start]
+            for a in line:
+                for i in self.out[a]:
+                    if self.room[i] and self.to[i] not in level:
+                        level[self.to[i]] = level[a] + 1
+                        line.append(self.to[i])
+            if end not in level:
+                return
+            tried, path = dict.fromkeys(level, 0), []
+            while True:
+                a = self.to[path[-1]] if path else start
+                if a == end:
+                    amount = min(self.room[i] for i in path)
+                    for i in path:
+                        self.room[i] -= amount
+                        self.room[i ^ 1] += amount
+                    del path[next(k for k, i in enumerate(path) if not self.room[i]) :]
+                    continue
+                while tried[a] < len(self.out[a]):
+                    i = self.out[a][tried[a]]
+                    if self.room[i] and level.get(self.to[i]) == level[a] + 1:
+                        path.append(i)
+                        break
+                    tried[a] += 1
+                else:
+                    if not path:
+                        break
+                    tried[self.to[path.pop() ^ 1]] += 1
+
+
 def _min_cost_flow(part: list[frozenset], sizes: dict, wanted: dict, copies: int) -> dict[frozenset, Fraction]:
-    """Successive cheapest paths from the patterns' copies to the quotas."""
+    """Cheapest paths first: every path costs what the copy at its start costs, so all paths of one copy are one augmentation."""
     part = sorted(part, key=lambda p: sorted(map(source_order, p)))
-    taken = {p: Fraction(0) for p in part}
-    flow = {(p, n): Fraction(0) for p in part for n in p}
-    short = {n: Fraction(wanted[n]) for p in part for n in p}
-    while True:
-        # Cheapest way to each pattern's words (a further copy, or words that another source gives back), then on to sources.
-        cost, via = {}, {}
-        for p in part:
-            if sizes[p] and taken[p] < copies * sizes[p]:
-                cost["p", p], via["p", p] = int(taken[p] // sizes[p]), None
-        changed = True
-        while changed:
-            changed = False
-            for p, n in flow:
-                if ("p", p) in cost and cost["p", p] < cost.get(("n", n), 1 << 60):
-                    cost["n", n], via["n", n], changed = cost["p", p], p, True
-                if flow[p, n] > 0 and ("n", n) in cost and cost["n", n] < cost.get(("p", p), 1 << 60):
-                    cost["p", p], via["p", p], changed = cost["n", n], n, True
-        ends = [n for n in short if short[n] > 0 and ("n", n) in cost]
-        if not ends:
-            return taken
-        n = min(ends, key=lambda n: (cost["n", n], source_order(n)))
-        path, at, amount = [], n, short[n]
-        while True:
-            p = via["n", at]
-            path.append((p, at, 1))
-            back = via["p", p]
-            if back is None:
-                step = (taken[p] // sizes[p] + 1) * sizes[p] - taken[p]
-                amount = min(amount, step)
-                break
-            path.append((p, back, -1))
-            amount = min(amount, flow[p, back])
-            at = back
-        for q, m, sign in path:
-            flow[q, m] += sign * amount
-        taken[p] += amount
-        short[n] -= amount
+    names = sorted({n for p in part for n in p}, key=source_order)
+    unit = lcm(*(Fraction(wanted[n]).denominator for n in names))
+    net, end = _Network(len(part) + len(names) + 2), len(part) + len(names) + 1
+    at = {n: 1 + len(part) + i for i, n in enumerate(names)}
+    supply = [net.arc(0, 1 + i, 0) for i in range(len(part))]
+    for i, p in enumerate(part):
+        for n in sorted(p, key=source_order):
+            net.arc(1 + i, at[n], copies * sizes[p] * unit)
+    for n in names:
+        net.arc(at[n], end, int(wanted[n] * unit))
+    for _ in range(copies):
+        for i, p in zip(supply, part):
+            net.room[i] += sizes[p] * unit
+        net.augment(0, end)
+    return {p: Fraction(net.room[i ^ 1], unit) for i, p in zip(supply, part)}
 
 
 _TOPPED = T.StructType([T.StructField("pattern", T.StringType()), T.StructField("ordinal", T.LongType()), T.StructField("size", T.LongType())])
@@ -150,13 +173,13 @@ def _close_gap(group: pa.Table) -> pa.Table:
 
 
 def _bucket_and_order(n_buckets: int, seed: int) -> tuple[Column, Column]:
-    """The seeded order of a row with a doc_id: its bucket, then its hash within the bucket."""
-    order = F.xxhash64(F.lit(seed), "doc_id")
+    """The seeded order of a row with doc_id and tie: its bucket, then its hash within the bucket."""
+    order = F.xxhash64(F.lit(seed), "doc_id", "tie")
     return F.pmod(F.shiftright(order, 8), F.lit(n_buckets)).cast("int"), order
 
 
 class Selection:
-    """Which documents of a table (doc_id, size, pattern) are taken how often.
+    """Which documents of a table (doc_id, tie, size, pattern) are taken how often.
 
     `rows` numbers them within their pattern: whole copies, and whether one more (`_in`) as
     the running sum in seeded order stays within the rest. `topped` (pattern, ordinal, size)
@@ -269,17 +292,21 @@ def mix(
     share: Fraction = SHARE,
     copies: int = MAX_COPIES,
     seed: int = SEED,
+    tie: Column | None = None,
 ) -> tuple[Selection, dict, dict, dict]:
     """(what is taken; source sizes; source targets; pattern by set of sources).
 
     Input: doc_id, text, and `sources`, an array<string> of the sources a document belongs
     to (one null element: the null source). Null and empty texts have size 0 and are never
     taken. A document is taken 0 to `copies` times, whole. Repeated rows are documents
-    each, in a defined order up to rows that are equal in every column used. An empty table
-    gives no rows. The same input and seed give the same rows.
+    each, in a defined order up to rows that are equal in every column used; so are rows
+    without a doc_id. `tie` tells rows of one doc_id apart, a hash of the text if it isn't
+    given, so that many such rows are no hot bucket. An empty table gives no rows. The same
+    input and seed give the same rows.
     """
     shared.ship(docs.sparkSession)
-    sized = docs.select(F.col("doc_id"), word_count(F.col("text")).alias("size"), pattern(sources).alias("pattern"))
+    tie = F.xxhash64("text") if tie is None else tie
+    sized = docs.select(F.col("doc_id"), tie.alias("tie"), word_count(F.col("text")).alias("size"), pattern(sources).alias("pattern"))
     sized = shared.materialise(sized, "mix-sizes")
     found = sized.groupBy("pattern").agg(F.sum("size").alias("words")).limit(MAX_PATTERNS + 1).collect()
     if len(found) > MAX_PATTERNS:
@@ -315,8 +342,8 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
     flat = shared.numbered(docs, "mix-rows")
     at = {n: F.col(f"_c{docs.columns.index(n)}") for n in ("text", "source")}
     # The row's number stands for the doc_id, so that repeated doc_ids stay apart.
-    keyed = flat.select("*", F.col("_rid").alias("doc_id"), pattern(F.array(at["source"])).alias("pattern"))
-    chosen, *_ = mix(keyed.select("doc_id", at["text"].alias("text"), at["source"].alias("source")), F.array("source"), **options)
+    keyed = flat.select("*", F.col("_rid").alias("doc_id"), F.lit(0).alias("tie"), pattern(F.array(at["source"])).alias("pattern"))
+    chosen, *_ = mix(keyed.select("doc_id", at["text"].alias("text"), at["source"].alias("source")), F.array("source"), tie=F.lit(0), **options)
     top = chosen.rows.join(chosen.topped, ["pattern", "ordinal"], "left_semi").select(F.col("doc_id").alias("_top"))
     top = shared.materialise(top, "mix-topped-rows")
     bucket, order = _bucket_and_order(chosen.buckets, chosen.seed)

@@ -1,10 +1,12 @@
 import hashlib
+import json
 from fractions import Fraction
 
 import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from siftline.llm import chat, mixing, shared, token_counts, tokens
 
@@ -148,6 +150,86 @@ def test_flow_is_feasible_and_full(patterns, quotas):
     assert sum(got.values()) == min(cuts)
 
 
+@settings(max_examples=80, deadline=None)
+@given(
+    st.dictionaries(st.frozensets(st.sampled_from("abc"), min_size=1), st.integers(0, 3), min_size=1, max_size=4),
+    st.lists(st.integers(0, 6), min_size=3, max_size=3),
+    st.integers(1, 3),
+)
+def test_flow_has_least_cost(patterns, quotas, copies):
+    from itertools import combinations, product
+
+    wanted = {n: Fraction(q) for n, q in zip("abc", quotas) if any(n in p for p in patterns)}
+    got = mixing.route(patterns, wanted, copies)
+    sets = [set(c) for k in range(len(wanted) + 1) for c in combinations(wanted, k)]
+
+    def cost(taken):
+        # The k-th copy of a word costs k.
+        return sum(k * min(max(taken[p] - (k - 1) * patterns[p], 0), patterns[p]) for p in patterns for k in range(1, copies + 1))
+
+    def fits(taken):
+        return all(sum(t for p, t in taken.items() if p <= s) <= sum(wanted[n] for n in s) for s in sets)
+
+    every = [dict(zip(patterns, t)) for t in product(*(range(copies * n + 1) for n in patterns.values()))]
+    fitting = [t for t in every if fits(t)]
+    most = max(sum(t.values()) for t in fitting)
+    assert fits(got) and sum(got.values()) == most
+    assert cost(got) == min(cost(t) for t in fitting if sum(t.values()) == most)
+
+
+def test_flow_of_many_patterns_and_of_fractions():
+    from itertools import combinations
+    from time import perf_counter
+
+    names = [f"s{i}" for i in range(60)]
+    patterns = {frozenset(c): 3 + len(c) for k in (1, 2, 3) for c in combinations(names, k)}
+    wanted = {n: Fraction(10**6, 7) for n in names}
+    start = perf_counter()
+    got = mixing.route(patterns, wanted, 2)
+    assert perf_counter() - start < 60 and len(got) == 36_050
+    assert all(got[p] == 2 * n for p, n in patterns.items())
+    assert mixing.route({frozenset("a"): 10}, {"a": Fraction(44, 3)}, 2) == {frozenset("a"): Fraction(44, 3)}
+
+
+def test_single_sources_go_through_the_flow(spark, monkeypatch):
+    parts = []
+    flow = mixing._min_cost_flow
+    monkeypatch.setattr(mixing, "_min_cost_flow", lambda part, *a: parts.append(part) or flow(part, *a))
+    mixing.mix_sources(spark.createDataFrame([(1, "a b", "x"), (2, "c", "y"), (3, "c", None)], "doc_id long, text string, source string"))
+    assert len(parts) == 3
+
+
+def test_overlapping_sources_on_a_table(spark):
+    rows = [(i, words(1 + i % 5), [x for x, m in (("a", 2), ("b", 3), ("c", 5)) if i % m == 0] or ["d"]) for i in range(600)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, sources array<string>")
+    chosen, sizes, wanted, keys = mixing.mix(docs, F.col("sources"))
+    patterns, taken = {}, {}
+    for (_, t, s), r in zip(rows, sorted(chosen.taken().collect(), key=lambda r: r.doc_id)):
+        patterns[frozenset(s)] = patterns.get(frozenset(s), 0) + r.size
+        taken[frozenset(s)] = taken.get(frozenset(s), 0) + r.taken
+        assert r.taken % r.size == 0 and r.taken <= 2 * r.size
+    flow = mixing.route(patterns, wanted, 2)
+    assert set(keys) == set(patterns) and all(0 <= flow[p] - taken[p] < 5 for p in patterns)
+    assert sizes == {n: sum(x for p, x in patterns.items() if n in p) for n in "abcd"}
+
+
+def test_mix_of_null_and_repeated_ids_and_long_texts(spark):
+    rows = [(None, words(1 + i % 9) + f" u{i}", "a") for i in range(400)] + [(7, words(2 + i % 9) + f" v{i}", "ab"[i % 2]) for i in range(400)]
+    rows += [(8, words(300_000), "a"), (9, words(3), "b"), (9, words(3), "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    first = sorted(map(str, mixing.mix_sources(docs.repartition(5)).collect()))
+    assert first == sorted(map(str, mixing.mix_sources(docs.repartition(2)).collect())) and len(first) == len(rows)
+    chosen, *_ = mixing.mix(docs, F.array("source"))
+    # Rows without a doc_id and rows of one doc_id are dealt to many buckets.
+    assert min(r.n for r in chosen.rows.groupBy("doc_id").agg(F.count_distinct("_bucket").alias("n")).where("doc_id is null or doc_id = 7").collect()) > 30
+    want = {"a": 0, "b": 0}
+    for r in chosen.taken().collect():
+        want[json.loads(r.pattern)[0]] += r.taken
+    sizes = {s: sum(len(t.split()) for _, t, x in rows if x == s) for s in "ab"}
+    wanted = mixing.targets(sizes, sum(sizes.values()), (3, 1, 2), Fraction(3, 2), 2)
+    assert all(0 <= wanted[s] - want[s] < 12 for s in "ab")
+
+
 def words(n):
     return " ".join(["w"] * n)
 
