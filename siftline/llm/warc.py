@@ -90,8 +90,8 @@ def _skip(f, n: int) -> None:
         n -= len(got)
 
 
-def read_records(f, name: str, wanted: dict[str, list[str]], payload: bool, digest: bool) -> Iterator[tuple]:
-    """Records of one open archive as rows of SCHEMA; wanted: accepted values by column."""
+def read_records(f, name: str, wanted: dict[str, list[str] | None], payload: bool, digest: bool) -> Iterator[tuple]:
+    """Records of one open archive as rows of SCHEMA; wanted: accepted values by column, None for any but null."""
     while True:
         offset = f.tell()
         lines = _lines(f)
@@ -102,7 +102,7 @@ def read_records(f, name: str, wanted: dict[str, list[str]], payload: bool, dige
         head = _fields(lines[1:])
         length = int(head.get("content-length", "0"))
         values = {c: head.get(h.lower()) for c, h in HEADERS.items()}
-        if any(values[c] not in accepted for c, accepted in wanted.items()):
+        if any(values[c] is None or accepted is not None and values[c] not in accepted for c, accepted in wanted.items()):
             _skip(f, length)
             continue
         size, sha1, data = length, None, None
@@ -129,19 +129,20 @@ class WarcReader(DataSourceReader):
         self.payload = options.get("payload", "true") == "true"
         self.digest = options.get("digest", "true") == "true"
         self.partition_bytes = int(options.get("partitionbytes", options.get("partitionBytes", PARTITION_BYTES)))
-        self.wanted: dict[str, list[str]] = {}
+        self.wanted: dict[str, list[str] | None] = {}
 
     def pushFilters(self, filters: list[Filter]):
-        """Equality and membership on record type and header columns are decided on headers; the rest stays with Spark."""
+        """Equality, membership and presence of record type and header columns are decided on headers; the rest stays with Spark."""
         for x in filters:
-            if isinstance(x, (EqualTo, In)) and len(x.attribute) == 1 and x.attribute[0] in HEADERS:
-                values = [x.value] if isinstance(x, EqualTo) else list(x.value)
-                before = self.wanted.get(x.attribute[0], values)
-                self.wanted[x.attribute[0]] = [v for v in values if v in before and v is not None]
-            else:
-                if isinstance(x, IsNotNull) and x.attribute[0] == "record_type":
-                    continue
+            if not isinstance(x, (EqualTo, In, IsNotNull)) or len(x.attribute) != 1 or x.attribute[0] not in HEADERS:
                 yield x
+                continue
+            before = self.wanted.get(x.attribute[0])
+            if isinstance(x, IsNotNull):
+                self.wanted[x.attribute[0]] = before
+                continue
+            values = [v for v in ([x.value] if isinstance(x, EqualTo) else x.value) if v is not None]
+            self.wanted[x.attribute[0]] = values if before is None else [v for v in values if v in before]
 
     def partitions(self) -> list[InputPartition]:
         out, held, size = [], [], 0
@@ -207,7 +208,9 @@ def read_warc(spark: SparkSession, path: str, payload: bool = True, digest: bool
     """Every record of the archives below path (SCHEMA). Filters on header columns are pushed into the reader.
 
     Without `payload` the payload column is null; without `digest` as well, blocks are
-    skipped unread. An empty folder gives no rows.
+    skipped unread. A header that a record lacks is null, its type included. An empty folder
+    gives no rows. Files are the units of work (a record's end is known only from its
+    start): one task reads a file, so archives should be of the usual size, about 1 GB.
     """
     shared.ship(spark)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
@@ -229,16 +232,15 @@ def write_warc(pages: DataFrame, path: str) -> None:
         {"_c0": "page_id", "_c1": "url", "_c2": "html", "_rid": "_row"}
     )
     rows = rows.withColumn("html", F.coalesce("html", F.lit(""))).withColumn("_size", F.octet_length("html"))
-    keys = rows.select("page_id", "_row", "_size", F.sha1("html").alias("_sha1"), F.sha2("html", 256).alias("_sha2"))
-    keys = shared.materialise(keys, "warc-keys")
-    large = keys.where(F.col("_size") >= REVISIT_BYTES)
-    first = large.groupBy("_sha2", "_size").agg(
+    payload = F.concat_ws(":", F.sha2("html", 256), "_size").alias("_payload")
+    large = shared.materialise(rows.where(F.col("_size") >= REVISIT_BYTES).select("page_id", "_row", payload), "warc-keys")
+    first = large.groupBy("_payload").agg(
         F.max(F.struct(F.col("page_id").isNotNull().alias("known"), "page_id", "_row")).alias("top"), F.count("*").alias("n")
     )
-    first = first.where("n > 1").select("_sha2", "_size", F.col("top.page_id").alias("_of"), F.col("top._row").alias("_keeper"))
-    revisits = (
-        large.join(first, ["_sha2", "_size"]).where("_row <> _keeper").select("_row", "_of", F.lit(True).alias("_revisit"))
-    )
+    first = first.where("n > 1").select("_payload", "n", F.col("top.page_id").alias("_of"), F.col("top._row").alias("_keeper"))
+    first = shared.materialise(first, "warc-first")
+    found = shared.join_skewed(large, first, "_payload").where("_row <> _keeper")
+    revisits = found.select("_row", "_of", F.lit(True).alias("_revisit"))
     # As a table its size is known when the join is planned: a small one is broadcast under
     # Spark's own threshold, so payloads aren't shuffled; a large one is a shuffled join.
     revisits = shared.materialise(revisits, "warc-revisits")
@@ -288,15 +290,17 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Writes pages to archives in the shared folder and reads them back.
 
     One row per page: page_id, payload_bytes, payload_digest (hex SHA-1), record_type,
-    refers_to. For responses size and digest are taken from the payload bytes read; revisit
-    records carry those of the full payload in their headers. Cases are as for write_warc.
+    refers_to. Two reads, each with its record type pushed into the reader: responses with
+    size and digest of the payload bytes read, revisits, which carry those of the full
+    payload in their headers, without a look at any block. Cases are as for write_warc.
     """
     spark = pages.sparkSession
     path = shared.work_path(spark, "warc")
     write_warc(pages, path)
-    records = read_warc(spark, path, payload=False)
+    responses = read_warc(spark, path, payload=False).where(F.col("record_type") == "response")
+    revisits = read_warc(spark, path, payload=False, digest=False).where(F.col("record_type") == "revisit")
     declared = F.regexp_replace("payload_digest", "^sha1:", "")
-    return records.select(
+    return responses.unionByName(revisits).select(
         page_id("record_id").alias("page_id"),
         "payload_bytes",
         F.coalesce("payload_sha1", declared).alias("payload_digest"),
