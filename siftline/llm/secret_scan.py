@@ -47,8 +47,13 @@ KEYWORDS = {
     "-----begin ": "pem",
 }
 
+#: A text may be one long run of keywords. How far a failed match also settles the keywords that follow it:
+#: those of the same run of token characters end at the same place and go on in the same way.
+_SETTLES = {"jwt": re.compile(r"[A-Za-z0-9_-]*")}
+
 _HEX_CLASS = bytes(104 if chr(c) in "0123456789abcdef" else 46 for c in range(256))
 _HEX_RUN = b"h" * HEX_CHARS
+_HEX_REST = re.compile(rb"h*")
 
 Span = tuple[str, int, int]
 
@@ -115,13 +120,13 @@ def find_spans(text: str | None) -> list[Span]:
             after[kind] = m.end()
             if accepts(m):
                 found.append((kind, start, m.end()))
+        elif kind in _SETTLES:
+            after[kind] = _SETTLES[kind].match(text, start).end()
     classes = raw.translate(_HEX_CLASS)
     at, chars, counted = classes.find(_HEX_RUN), 0, 0
     while at >= 0:
         # A run is ASCII; the code points before it are the bytes that don't continue a character.
-        end = at + HEX_CHARS
-        while end < len(classes) and classes[end] == 104:
-            end += 1
+        end = _HEX_REST.match(classes, at + HEX_CHARS).end()
         chars += len(raw[counted:at].decode("utf-8", "surrogatepass"))
         counted = at
         found.append(("hex", chars, chars + end - at))
