@@ -24,12 +24,12 @@ from __future__ import annotations
 
 import random
 from collections.abc import Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -180,14 +180,14 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, b
     empty table gives no rows.
     """
     prints = shared.materialise(fingerprints(docs, shingle), "fingerprints")
-    nodes = shared.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = shared.materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")), "nodes")
     found = components(links(nodes.select("fp"), radius, bucket))
     rooted = shared.materialise(nodes.join(found, nodes["fp"] == found["node"]).select("fp", "root", "first"), "rooted")
     lowest = shared.materialise(rooted.groupBy("root").agg(F.min("first").alias("component")), "lowest")
     member = shared.materialise(rooted.join(lowest, "root").select("fp", "component"), "members")
-    named = nodes.join(member, "fp", "left").select("fp", F.coalesce("component", "first").alias("component_id"))
+    named = nodes.join(member, "fp", "left").select("fp", "n", F.coalesce("component", "first").alias("component_id"))
     named = shared.materialise(named, "components")
-    return prints.join(named, "fp").select(
+    return shared.join_skewed(prints, named, "fp").select(
         "doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id"
     )
 
@@ -197,12 +197,12 @@ def near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, b
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 #: Sampled fingerprints, and minima in each: a pair of similarity 0.8 shares one with probability 0.998.
 SAMPLES, MINIMA = 16, 5
-#: Rows of a bucket that are compared within it, and elections of a larger one before its rest is worked off.
-REST, ELECTIONS = 1024, 3
+#: Rows, and shingles in all, that are compared with each other in one go.
+REST, GROUP_SHINGLES = 1024, 4 << 20
+#: Elections in a larger bucket before it is dealt anew.
+ELECTIONS = 3
 #: Finer keys per row when a bucket is dealt anew, minima in each, and how often that may happen.
 SPLITS, SPLIT_MINIMA, SPLIT_DEPTH = 16, 3, 4
-#: Standard deviations below the similarity at which a pair's agreement in minima still counts as a candidate.
-SLACK = 3.2
 
 _SALT = np.random.default_rng(SEED).integers(1, 1 << 63, (2, SAMPLES * MINIMA), dtype=np.uint64)
 _FEATURES = T.StructType(
@@ -267,31 +267,6 @@ def _features(batches: Iterator[pa.RecordBatch], shingle: int, table_masks: list
         )
 
 
-def _rest_forest(batches: Iterator[pa.RecordBatch], least: int, similarity: float) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the links between a bucket's members (at most REST).
-
-    Pairs that agree in fewer than `least` minima or are connected already are skipped; the
-    others are verified on their full shingle sets.
-    """
-    for batch in batches:
-        found: list[tuple[int, int]] = []
-        for members in batch.column(0):
-            rows = members.as_py()
-            low = np.array([r["minima"] for r in rows], np.int32)
-            sets = [np.array(r["shingles"], np.int32) for r in rows]
-            group = np.arange(len(rows))
-            for i in range(1, len(rows)):
-                for j in np.flatnonzero((low[:i] == low[i]).sum(axis=1) >= least).tolist():
-                    if group[i] == group[j]:
-                        continue
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if both >= (len(sets[i]) + len(sets[j]) - both) * similarity:
-                        found.append((rows[i]["rid"], rows[j]["rid"]))
-                        group[group == group[i]] = group[j]
-        a, b = zip(*found) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], _EDGES.names)
-
-
 class _Sets:
     """Shingle sets of some rows, smallest first and laid end to end, to be compared whole with one set at a time."""
 
@@ -324,12 +299,70 @@ class _Sets:
         return _Sets(self.rids[stay], self.flat[np.repeat(stay, self.size)], self.size[stay], self.similarity)
 
 
-def _members(members: pa.Scalar) -> tuple[pa.StructArray, np.ndarray, np.ndarray, int]:
-    """Rows of one group, their shingles coded from 0 and laid end to end, sizes, and the number of codes."""
+def _coded(members: pa.Scalar) -> tuple[pa.StructArray, np.ndarray, np.ndarray, np.ndarray]:
+    """Rows of one group, their shingles coded from 0 and laid end to end, sizes, and a zero for each code."""
     rows = members.values
     shingles = rows.field("shingles")
     codes, flat = np.unique(shingles.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-    return rows, flat, shingles.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), len(codes)
+    return rows, flat, shingles.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), np.zeros(len(codes), np.int32)
+
+
+def _field(rows: pa.StructArray, name: str) -> np.ndarray:
+    return rows.field(name).to_numpy(zero_copy_only=False)
+
+
+def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    a, b = zip(*found) if found else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], _EDGES.names)
+
+
+def _group_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """A spanning forest of the links between each group's rows, by their full shingle sets: what is linked leaves, and is compared with the rest."""
+    for batch in batches:
+        found: list[tuple[int, int]] = []
+        for members in batch.column(0):
+            rows, flat, sizes, mark = _coded(members)
+            rest, todo = _Sets(_field(rows, "rid"), flat, sizes, similarity), []
+            while todo or len(rest.rids) > 1:
+                if not todo:
+                    todo.append((rest.rids[0], rest.set(0)))
+                    rest = rest.without(np.array([0]))
+                rid, own = todo.pop()
+                like = rest.like(own, mark)
+                if len(like):
+                    todo += [(rest.rids[i], rest.set(i)) for i in like]
+                    found += [(int(rest.rids[i]), int(rid)) for i in like]
+                    rest = rest.without(like)
+                if not len(rest.rids):
+                    break
+        yield _edges(found)
+
+
+_COMPARED = T.StructType(
+    [
+        T.StructField("a", T.LongType()),
+        T.StructField("b", T.LongType()),
+        T.StructField("size", T.IntegerType()),
+        T.StructField("linked", T.BooleanType()),
+        T.StructField("distance", T.DoubleType()),
+    ]
+)
+
+
+def _head_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
+    """Each group's rows compared with its head."""
+    for batch in batches:
+        for head, members in zip(batch.column(0).to_pylist(), batch.column(1)):
+            rows, flat, sizes, mark = _coded(members)
+            rids = _field(rows, "rid")
+            at = int(np.flatnonzero(rids == head)[0])
+            starts = np.cumsum(sizes) - sizes
+            mark[flat[starts[at] : starts[at] + sizes[at]]] = 1
+            both = np.add.reduceat(mark[flat], starts)
+            either = sizes[at] + sizes - both
+            others = np.arange(len(rids)) != at
+            columns = [rids, np.full(len(rids), head), sizes.astype(np.int32), both >= either * similarity, 1 - both / either]
+            yield pa.RecordBatch.from_arrays([pa.array(c[others]) for c in columns], _COMPARED.names)
 
 
 def _across_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
@@ -337,12 +370,11 @@ def _across_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Itera
     for batch in batches:
         found: list[tuple[int, int]] = []
         for members in batch.column(0):
-            rows, flat, sizes, n = _members(members)
-            rids, linked = (rows.field(x).to_numpy(zero_copy_only=False) for x in ("rid", "linked"))
+            rows, flat, sizes, mark = _coded(members)
+            rids, linked = _field(rows, "rid"), _field(rows, "linked")
             of = np.repeat(linked, sizes)
             inner = _Sets(rids[linked], flat[of], sizes[linked], similarity)
             outer = _Sets(rids[~linked], flat[~of], sizes[~linked], similarity)
-            mark = np.zeros(n, np.int32)
             if len(outer.rids) < len(inner.rids):
                 for i in range(len(outer.rids)):
                     found += [(int(outer.rids[i]), int(inner.rids[j])) for j in inner.like(outer.set(i), mark)[:1]]
@@ -352,123 +384,144 @@ def _across_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Itera
                 if len(like):
                     found += [(int(x), int(inner.rids[i])) for x in outer.rids[like]]
                     outer = outer.without(like)
-        a, b = zip(*found) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], _EDGES.names)
+        yield _edges(found)
+
 
+def _parts(rows: str, shingles: str) -> Column:
+    """The number of groups of about REST rows and GROUP_SHINGLES shingles at most."""
+    return F.ceil(F.greatest(F.col(rows) / REST, F.col(shingles) / GROUP_SHINGLES)).cast("int")
 
-def _together(keyed: DataFrame) -> DataFrame:
-    """Rows (rid, key) whose key another row has."""
-    again = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return shared.materialise(keyed.join(again, "key", "left_semi").select("rid", "key"), "bucketed")
+
+def _sized(keyed: DataFrame) -> DataFrame:
+    """Rows (rid, size, key) whose key another row has, with the number of parts of their bucket."""
+    per = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("size").alias("shingles")).where("n > 1")
+    per = shared.materialise(per.select("key", "n", _parts("n", "shingles").alias("parts")), "buckets")
+    return shared.materialise(shared.join_skewed(keyed, per, "key").select("rid", "size", "key", "parts"), "bucketed")
 
 
 def _finer(rows: DataFrame, depth: int) -> DataFrame:
-    """Each row (rid, key, minima) under SPLITS finer keys: its key with some further minima."""
+    """Each row (rid, size, key, minima) under SPLITS finer keys: its key with some further minima."""
     size = SAMPLES * MINIMA
     at = [[(SPLIT_MINIMA * j + 7 * depth + i) % size for i in range(SPLIT_MINIMA)] for j in range(SPLITS)]
     keys = [F.xxhash64(F.col("key"), F.lit(j + SPLITS * depth), *[F.get("minima", F.lit(i)) for i in x]) for j, x in enumerate(at)]
-    return rows.select("rid", F.explode(F.array(*keys)).alias("key"))
-
-
-def similar_links(features: DataFrame, similarity: float) -> DataFrame:
-    """Edges a, b (row ids) of texts at least `similarity` alike, enough to connect what is alike.
-
-    A bucket of at most REST rows is compared within itself, on the minima first, and gives
-    a spanning forest of its links, not its pairs. A larger one is mostly one group: every
-    row is compared with the smallest one, rows that are alike leave the bucket linked, the
-    others elect anew. Before they leave, those that can be alike to a row that stays are
-    compared with it: 1 - similarity is a metric, so only rows that stay within twice the
-    allowed distance of the head can, and only with those that leave from far enough. What
-    is left after ELECTIONS rounds is worked off as a small bucket, or, if it is large
-    still, dealt anew under finer keys, which like texts still share. Buckets that stay
-    large at the last depth go on electing until none is left, so no candidate is dropped.
-    """
-    found = features.sparkSession.createDataFrame([], _EDGES)
-    open_ = _together(features.select("rid", F.explode("keys").alias("key")))
-    # The rows that share a key are a share of all rows: a shuffled join, at every size.
-    shared_rows = open_.select("rid").distinct().hint("merge")
-    sets = shared.materialise(features.select("rid", "minima", "shingles").join(shared_rows, "rid", "left_semi"), "sets")
-    alike = F.size(F.array_intersect("sa", "sb"))
-    least = int(SAMPLES * MINIMA * similarity - SLACK * (SAMPLES * MINIMA * similarity * (1 - similarity)) ** 0.5)
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        """pairs a, b with whether they are alike, and their distance."""
-        checked = (
-            pairs.select("a", "b")
-            .distinct()
-            .join(sets.select(F.col("rid").alias("a"), F.col("shingles").alias("sa")), "a")
-            .join(sets.select(F.col("rid").alias("b"), F.col("shingles").alias("sb")), "b")
-            .select("a", "b", alike.alias("both"), (F.size("sa") + F.size("sb")).alias("sizes"))
-            .select(
-                "a",
-                "b",
-                (F.col("both") >= (F.col("sizes") - F.col("both")) * similarity).alias("linked"),
-                (1 - F.col("both") / (F.col("sizes") - F.col("both"))).alias("distance"),
-            )
-        )
-        return shared.materialise(checked, "checked")
-
-    def within(rows: DataFrame) -> DataFrame:
-        """Links within the buckets of rows (rid, key); buckets of the same rows count once."""
-        sets_of_rows = rows.groupBy("key").agg(F.sort_array(F.collect_list("rid")).alias("rids")).select("rids").distinct()
-        groups = shared.materialise(sets_of_rows.withColumn("group", F.monotonically_increasing_id()), "groups")
-        members = groups.select("group", F.explode("rids").alias("rid")).join(sets, "rid")
-        gathered = members.groupBy("group").agg(F.collect_list(F.struct("rid", "minima", "shingles")).alias("members"))
-        forest = gathered.select("members").mapInArrow(partial(_rest_forest, least=least, similarity=similarity), _EDGES)
-        return shared.materialise(forest, "forest")
-
-    def across(checked: DataFrame) -> DataFrame | None:
-        """Links between rows a that are alike to a head b and rows that aren't; both sides meet in blocks of about REST rows."""
-        reach = 1 - similarity + 1e-9
+    return rows.select("rid", "size", F.explode(F.array(*keys)).alias("key"))
+
+
+class _Buckets:
+    """Comparisons of rows that share a bucket, by their shingle sets in `sets` (rid, minima, shingles)."""
+
+    def __init__(self, sets: DataFrame, similarity: float):
+        self.sets, self.similarity = sets, similarity
+
+    def gathered(self, members: DataFrame, *group: str) -> DataFrame:
+        """The rows of members (group columns, rid, ...) with their sets, one row per group."""
+        rows = members.join(self.sets.select("rid", "shingles"), "rid")
+        carried = [c for c in members.columns if c not in group]
+        return rows.groupBy(*group).agg(F.collect_list(F.struct(*carried, "shingles")).alias("members"))
+
+    def compared(self, groups: DataFrame, f, schema: T.StructType, tag: str) -> DataFrame:
+        return shared.materialise(groups.mapInArrow(partial(f, similarity=self.similarity), schema), tag)
+
+    def within(self, rows: DataFrame) -> DataFrame:
+        """Links within buckets of one part; buckets of the same rows count once."""
+        same = rows.groupBy("key").agg(F.sort_array(F.collect_list("rid")).alias("rids")).select("rids").distinct()
+        groups = shared.materialise(same.withColumn("group", F.monotonically_increasing_id()), "groups")
+        members = self.gathered(groups.select("group", F.explode("rids").alias("rid")), "group")
+        return self.compared(members.select("members"), _group_links, _EDGES, "forest")
+
+    def pairwise(self, rows: DataFrame) -> DataFrame:
+        """Links within buckets of any number of parts: each part with itself and with each other part."""
+        own = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
+        dealt = rows.select("key", "rid", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
+        dealt = dealt.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "rid")
+        return self.compared(self.gathered(dealt, "key", "i", "j").select("members"), _group_links, _EDGES, "forest")
+
+    def elect(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Each row's bucket, head (its smallest row) and size; and all rows compared with their heads."""
+        heads = shared.materialise(rows.groupBy("key").agg(F.min("rid").alias("b"), F.count("*").alias("n")), "heads")
+        pairs = shared.join_skewed(rows.select("key", "rid", "size"), heads, "key").where("rid <> b")
+        pairs = shared.materialise(pairs.select("key", F.col("rid").alias("a"), "b", "size"), "pairs")
+        once = pairs.select("a", "b", "size").distinct()
+        per = once.groupBy("b").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
+        per = shared.materialise(per.select("b", "n", _parts("n", "shingles").alias("parts")), "stars")
+        part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
+        others = shared.join_skewed(once, per, "b").select("b", part.alias("part"), F.col("a").alias("rid"))
+        members = others.unionByName(per.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("rid")))
+        stars = self.gathered(members, "b", "part").select("b", "members")
+        return pairs, self.compared(stars, _head_links, _COMPARED, "checked")
+
+    def across(self, checked: DataFrame) -> DataFrame | None:
+        """Links between rows that are alike to a head and rows that aren't; both sides meet part by part.
+
+        1 - similarity is a metric, so only rows within twice the allowed distance of the head
+        can be alike to one that leaves with it, and only to one that leaves from far enough.
+        """
+        reach = 1 - self.similarity + 1e-9
         linked, distance = F.col("linked"), F.col("distance")
         bounds = checked.groupBy("b").agg(
-            F.max(F.when(linked, distance)).alias("far"), F.min(F.when(~linked, distance)).alias("near")
+            F.max(F.when(linked, distance)).alias("far"), F.min(F.when(~linked, distance)).alias("near"), F.count("*").alias("n")
         ).where(F.col("near") <= F.col("far") + reach)
+        bounds = shared.materialise(bounds, "bounds")
         within_reach = F.when(linked, distance >= F.col("near") - reach).otherwise(distance <= F.col("far") + reach)
-        sides = checked.join(bounds, "b").where(within_reach).select("b", F.col("a").alias("rid"), "linked")
+        sides = shared.join_skewed(checked, bounds, "b").where(within_reach).select("b", F.col("a").alias("rid"), "size", "linked")
         sides = shared.materialise(sides, "sides")
         if sides.isEmpty():
             return None
-        blocks = sides.groupBy("b").agg(*[F.ceil(F.count_if(x) / REST).cast("int").alias(n) for x, n in ((linked, "inner"), (~linked, "outer"))])
-        blocks = shared.materialise(blocks, "blocks")
+        sums = [
+            F.sum(F.when(x, y).otherwise(0)).alias(n + what)
+            for x, n in ((linked, "inner"), (~linked, "outer"))
+            for y, what in ((F.lit(1), ""), (F.col("size"), "_shingles"))
+        ]
+        parts = [F.greatest(F.lit(1), _parts(n, n + "_shingles")).alias(n) for n in ("inner", "outer")]
+        blocks = shared.materialise(sides.groupBy("b").agg(F.count("*").alias("n"), *sums).select("b", "n", *parts), "blocks")
         own, other = (F.when(linked, F.col(x)).otherwise(F.col(y)) for x, y in (("inner", "outer"), ("outer", "inner")))
-        dealt = sides.join(blocks, "b").select(
+        dealt = shared.join_skewed(sides, blocks, "b").select(
             "b", "rid", "linked", F.pmod(F.xxhash64("rid"), own).cast("int").alias("at"), F.explode(F.sequence(F.lit(0), other - 1)).alias("to")
         )
-        group = F.struct("b", F.when(linked, F.col("at")).otherwise(F.col("to")).alias("i"), F.when(linked, F.col("to")).otherwise(F.col("at")).alias("j"))
-        members = dealt.select(group.alias("group"), "rid", "linked").join(sets.select("rid", "shingles"), "rid")
-        gathered = members.groupBy("group").agg(F.collect_list(F.struct("rid", "linked", "shingles")).alias("members"))
-        met = gathered.select("members").mapInArrow(partial(_across_links, similarity=similarity), _EDGES)
-        return shared.materialise(met, "across")
-
-    def by_size(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """rows (rid, key) of the buckets with at most REST rows, and of the others."""
-        sizes = shared.materialise(rows.groupBy("key").agg(F.count("*").alias("n")), "sizes")
-        small = rows.join(sizes.where(F.col("n") <= REST), "key", "left_semi")
-        return small, rows.join(sizes.where(F.col("n") > REST), "key", "left_semi")
-
-    small, large = by_size(open_)
-    found = found.unionByName(within(small))
-    open_ = shared.materialise(large.select("rid", "key"), "bucketed")
-    depth, election = 0, 0
-    while not open_.isEmpty():
-        heads = shared.materialise(open_.groupBy("key").agg(F.min("rid").alias("b")), "heads")
-        pairs = shared.materialise(open_.join(heads, "key").where("rid <> b").select("key", F.col("rid").alias("a"), "b"), "pairs")
-        checked = verified(pairs)
-        found = found.unionByName(checked.where("linked").select("a", "b"))
-        met = across(checked)
-        found = found.unionByName(met) if met else found
-        failed = pairs.join(checked.where("not linked"), ["a", "b"], "left_semi").select(F.col("a").alias("rid"), "key")
-        open_, election = _together(failed), election + 1
-        if election < ELECTIONS:
-            continue
-        small, large = by_size(open_)
-        found = found.unionByName(within(small))
-        if depth < SPLIT_DEPTH:
-            depth, election = depth + 1, 0
-            large = _finer(large.join(sets.select("rid", "minima"), "rid"), depth)
-        open_ = _together(large)
-    return found
+        i, j = (F.when(linked, F.col(x)).otherwise(F.col(y)) for x, y in (("at", "to"), ("to", "at")))
+        members = self.gathered(dealt.select("b", i.alias("i"), j.alias("j"), "rid", "linked"), "b", "i", "j")
+        return self.compared(members.select("members"), _across_links, _EDGES, "across")
+
+
+def similar_links(features: DataFrame, similarity: float) -> DataFrame:
+    """Edges a, b (row ids) of texts at least `similarity` alike, enough to connect what is alike.
+
+    All rows that share a bucket are compared, on their full shingle sets. A bucket of one
+    part (REST rows) gives a spanning forest of its links at once. A larger one is mostly one
+    group: every row is compared with the smallest one, rows that are alike to it leave the
+    bucket linked, once they have been compared with those that stay (see _Buckets.across),
+    and the others elect anew. What is still large after ELECTIONS rounds is dealt anew under
+    SPLITS finer keys, of which rows of the similarity share none with probability 0.00001;
+    what is large after SPLIT_DEPTH such deals is compared part by part. So there are at most
+    ELECTIONS * (SPLIT_DEPTH + 1) rounds.
+    """
+    shared_rows = _sized(features.select("rid", F.size("shingles").alias("size"), F.explode("keys").alias("key")))
+    # The rows that share a key are a share of all rows: a shuffled join, at every size.
+    sets = features.select("rid", "minima", "shingles").join(shared_rows.select("rid").distinct().hint("merge"), "rid", "left_semi")
+    buckets = _Buckets(shared.materialise(sets, "sets"), similarity)
+    found = []
+
+    def left_over(rows: DataFrame) -> DataFrame | None:
+        """Works off the buckets of one part; the rows of the others, if there are any."""
+        if not (small := rows.where("parts = 1")).isEmpty():
+            found.append(buckets.within(small))
+        large = rows.where("parts > 1")
+        return None if large.isEmpty() else large
+
+    large = left_over(shared_rows)
+    for depth in range(SPLIT_DEPTH + 1):
+        for _ in range(ELECTIONS):
+            if large is None:
+                break
+            pairs, checked = buckets.elect(large)
+            found += [checked.where("linked").select("a", "b"), *filter(None, [buckets.across(checked)])]
+            stay = pairs.join(checked.where("not linked"), ["a", "b"], "left_semi")
+            large = left_over(_sized(stay.select(F.col("a").alias("rid"), "size", "key")))
+        if large is not None and depth < SPLIT_DEPTH:
+            large = left_over(_sized(_finer(large.join(buckets.sets.select("rid", "minima"), "rid"), depth + 1)))
+    if large is not None:
+        found.append(buckets.pairwise(large))
+    return reduce(DataFrame.unionByName, found, features.sparkSession.createDataFrame([], _EDGES))
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = STAGE_SIMILARITY, shingle: int = STAGE_SHINGLE) -> DataFrame:

@@ -8,6 +8,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from xxhash import xxh64_intdigest
 
+from siftline.llm import shared
 from siftline.llm import simhash as s
 
 
@@ -184,3 +185,51 @@ def test_jaccard_of_samples():
     _, x = s.bucket_keys(a, s.masks(2))
     _, y = s.bucket_keys(b, s.masks(2))
     assert 0.6 < (x == y).mean() < 0.95
+
+
+def bucket_of(texts):
+    """Features of texts that share one bucket and no other."""
+    rows, sets = [], []
+    for i, words in enumerate(texts):
+        hashes = s.shingle_hashes(" ".join(words), 5)
+        _, minima = s.bucket_keys(hashes, s.masks(2))
+        own = np.unique((hashes >> np.uint64(32)).astype(np.uint32)).view(np.int32)
+        sets.append(set(own.tolist()))
+        rows.append((i, i, [7], minima.tolist(), own.tolist()))
+    return rows, sets
+
+
+@pytest.mark.parametrize("rest,depth", [(1024, 4), (3, 4), (3, 0), (40, 0)])
+def test_chains_in_one_large_bucket(spark, monkeypatch, rest, depth):
+    # Chains in which each row is alike to its neighbours only, in one bucket; without finer keys the parts are compared pair by pair.
+    monkeypatch.setattr(s, "REST", rest)
+    monkeypatch.setattr(s, "SPLIT_DEPTH", depth)
+    texts = [[f"c{c}w{w}" for w in range(12 * i, 12 * i + 124)] for c in range(6) for i in range(12)]
+    random.Random(4).shuffle(texts)
+    rows, sets = bucket_of(texts)
+    pairs = {(a, b) for a, b in combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    assert len(pairs) == 6 * 11
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in s.similar_links(spark.createDataFrame(rows, s._FEATURES).repartition(3), 0.8).collect()}
+    assert found <= pairs and union(range(len(rows)), found) == union(range(len(rows)), pairs)
+
+
+def test_parts_are_bounded_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(s, "GROUP_SHINGLES", 500)
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(204)]
+    texts = [[w if rng.random() > 0.004 else f"x{rng.random()}" for w in base] for _ in range(30)] + [[f"u{i}w{w}" for w in range(204)] for i in range(5)]
+    rows, sets = bucket_of(texts)
+    pairs = {(a, b) for a, b in combinations(range(len(rows)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    found = {(min(r.a, r.b), max(r.a, r.b)) for r in s.similar_links(spark.createDataFrame(rows, s._FEATURES), 0.8).collect()}
+    assert found <= pairs and union(range(len(rows)), found) == union(range(len(rows)), pairs)
+
+
+def test_hot_fingerprints_and_keys(spark, monkeypatch):
+    monkeypatch.setattr(shared, "HOT_ROWS", 5)
+    monkeypatch.setattr(shared, "HOT_KEYS", 4)
+    rows = corpus() + [(5000 + i, "the same text here") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    plain = {r.doc_id: r for r in s.near_copies(docs).collect()}
+    assert len(plain) == len({i for i, _ in rows}) and all(plain[5000 + i].component_id == 5000 for i in range(60))
+    kept = [r.doc_id for r in s.drop_near_copies(docs).collect()]
+    assert [i for i in kept if i is not None and i >= 5000] == [5000]
