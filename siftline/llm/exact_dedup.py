@@ -5,20 +5,22 @@ representative per distinct normalised text with a count and the smallest identi
 text held by a third of all rows is shuffled once per window, not once per row. The
 representatives are dealt by (byte length, content hash); the owner of a partition inserts
 the full byte strings into a compressed radix trie whose terminal nodes hold the smallest
-identifier. Equality is decided by the bytes alone; the hash only deals. A trie that grows
-over its budget spills whole subtrees to the task's temporary folder and works them off one
-by one. The owners return one small row per representative, which is joined back.
+identifier. A text that over HOT_REPS windows hold goes through a tree of owners: parts of
+about HOT_REPS representatives each return one, and only those meet. Equality is decided by
+the bytes alone; the hash only deals. A trie that grows over its budget spills whole
+subtrees to unnamed files of the task, which are gone with it however it ends, and works
+them off one by one. The owners return one small row per representative, which is joined back.
 """
 
 from __future__ import annotations
 
 import hashlib
-import os
 import pickle
 import re
 import tempfile
 from collections.abc import Iterator
 from functools import partial
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,9 +29,13 @@ from pyspark.sql import types as T
 
 from . import shared
 
-#: Bytes of rows that a map task folds at once, and bytes of labels that an owner's trie holds.
+#: Bytes of rows that a map task folds at once, and bytes that an owner's trie holds.
 WINDOW_BYTES = 32 << 20
 TRIE_BYTES = 64 << 20
+#: What a node of a trie takes beside its label and the values of its entry, roughly.
+NODE_BYTES = 500
+#: Representatives of one text that an owner takes from the windows themselves; texts with more are at most HOT_TEXTS.
+HOT_REPS, HOT_TEXTS = 1000, 1_000_000
 
 #: Every run of white space that is not already one plain space.
 _RUNS = re.compile(rb"[\x09-\x0d][\x20\x09-\x0d]*|\x20[\x20\x09-\x0d]+")
@@ -64,15 +70,16 @@ def _shared_length(a: bytes, b: bytes) -> int:
 class PatriciaTrie:
     """Byte strings to merged entries, in bounded memory.
 
-    `merge(old, new)` folds two entries of one string. When the labels exceed `budget`
-    bytes, the root's largest subtree goes to a file, and later strings below it follow; a
-    spilled subtree is read again as a trie of its own when the items are listed.
+    `merge(old, new)` folds two entries of one string, `weigh(entry)` are the bytes of its
+    values. When nodes, labels and entries exceed `budget` bytes, the root's largest subtree
+    goes to a file, and later strings below it follow; a spilled subtree is read again as a
+    trie of its own when the items are listed.
     """
 
-    def __init__(self, merge, budget: int = TRIE_BYTES, folder: str | None = None):
-        self.merge, self.budget, self.folder = merge, budget, folder
+    def __init__(self, merge, budget: int = TRIE_BYTES, folder: str | None = None, weigh=None):
+        self.merge, self.budget, self.folder, self.weigh = merge, budget, folder, weigh or (lambda _: 0)
         self.root, self.held = _Node(b""), 0
-        self.spilled: dict[int, str] = {}
+        self.spilled: dict[int, BinaryIO] = {}
 
     def insert(self, key: bytes, entry) -> None:
         if key and key[0] in self.spilled:
@@ -86,7 +93,7 @@ class PatriciaTrie:
             child = node.children.get(key[at])
             if child is None:
                 node.children[key[at]] = _Node(key[at:], entry)
-                self.held += len(key) - at
+                self.held += len(key) - at + NODE_BYTES + self.weigh(entry)
                 break
             if key.startswith(child.label, at):
                 node, at = child, at + len(child.label)
@@ -96,6 +103,7 @@ class PatriciaTrie:
             child.label = child.label[n:]
             middle.children[child.label[0]] = child
             node.children[middle.label[0]] = middle
+            self.held += NODE_BYTES
             node, at = middle, at + n
         while self.held > self.budget and len(self.root.children) > 0:
             self._spill()
@@ -104,22 +112,19 @@ class PatriciaTrie:
         sizes = {b: self._size(c) for b, c in self.root.children.items()}
         first = max(sizes, key=sizes.get)
         child = self.root.children.pop(first)
-        fd, self.spilled[first] = tempfile.mkstemp(prefix="subtree-", dir=self.folder)
-        os.close(fd)
+        self.spilled[first] = tempfile.TemporaryFile(prefix="subtree-", dir=self.folder)
         self._append(first, self._walk(child, b""))
         self.held -= sizes[first]
 
     def _append(self, first: int, items) -> None:
-        with open(self.spilled[first], "ab") as f:
-            for item in items:
-                pickle.dump(item, f)
+        for item in items:
+            pickle.dump(item, self.spilled[first])
 
-    @staticmethod
-    def _size(node: _Node) -> int:
+    def _size(self, node: _Node) -> int:
         total, todo = 0, [node]
         while todo:
             x = todo.pop()
-            total += len(x.label)
+            total += len(x.label) + NODE_BYTES + (self.weigh(x.entry) if x.entry is not None else 0)
             todo += x.children.values()
         return total
 
@@ -137,30 +142,29 @@ class PatriciaTrie:
         """Every (string, entry), in no order; ends the trie."""
         yield from self._walk(self.root, b"")
         self.root = _Node(b"")
-        for first, path in list(self.spilled.items()):
-            yield from self._reread(path)
-            del self.spilled[first]
+        while self.spilled:
+            with self.spilled.popitem()[1] as file:
+                yield from self._reread(file)
 
-    def _reread(self, path: str) -> Iterator[tuple[bytes, object]]:
+    def _reread(self, file: BinaryIO) -> Iterator[tuple[bytes, object]]:
         """A spilled subtree, read as a trie without the prefix that all its strings share."""
         prefix = None
-        for key, _ in self._load(path):
+        for key, _ in self._load(file):
             prefix = key if prefix is None else prefix[: _shared_length(prefix, key)]
-        below = PatriciaTrie(self.merge, self.budget, self.folder)
-        for key, entry in self._load(path):
+        below = PatriciaTrie(self.merge, self.budget, self.folder, self.weigh)
+        for key, entry in self._load(file):
             below.insert(key[len(prefix) :], entry)
-        os.remove(path)
         for rest, entry in below.items():
             yield prefix + rest, entry
 
     @staticmethod
-    def _load(path: str) -> Iterator[tuple[bytes, object]]:
-        with open(path, "rb") as f:
-            while True:
-                try:
-                    yield pickle.load(f)
-                except EOFError:
-                    return
+    def _load(file: BinaryIO) -> Iterator[tuple[bytes, object]]:
+        file.seek(0)
+        while True:
+            try:
+                yield pickle.load(file)
+            except EOFError:
+                return
 
 
 # ---------------------------------------------------------------- map side
@@ -241,7 +245,9 @@ _OWN = ["_rid", "_rep", "_count", "_length", "_content"]
 def _merge(a: list, b: list) -> list:
     """Entries are [doc_id, row, rows, representatives]; the smaller identifier stays."""
     low = a if _order(a[0], a[1]) <= _order(b[0], b[1]) else b
-    return [low[0], low[1], a[2] + b[2], a[3] + b[3]]
+    more, fewer = (a[3], b[3]) if len(a[3]) >= len(b[3]) else (b[3], a[3])
+    more += fewer
+    return [low[0], low[1], a[2] + b[2], more]
 
 
 _OWNED = T.StructType(
@@ -255,15 +261,39 @@ _OWNED = T.StructType(
 )
 
 
-def _own(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+def _owner(batches: Iterator[pa.RecordBatch], budget: int) -> PatriciaTrie:
+    """A trie of rows (doc_id, text, rep, count)."""
     trie = PatriciaTrie(_merge, budget)
     for batch in batches:
         for doc_id, text, rep, count in zip(
             batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), batch.column(3).to_pylist()
         ):
             trie.insert(normalise(text.as_py()), [doc_id, rep, count, [rep]])
+    return trie
+
+
+_PART = T.StructType(
+    [
+        T.StructField("_c0", T.LongType()),
+        T.StructField("_c1", T.StringType()),
+        T.StructField("_rep", T.LongType()),
+        T.StructField("_count", T.LongType()),
+        T.StructField("_of", T.LongType()),
+    ]
+)
+
+
+def _own_part(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
+    """One representative per text, and for every representative that came in which one that is (_of)."""
+    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+    for key, (doc_id, row, count, reps) in _owner(batches, budget).items():
+        rows = [(doc_id, key.decode("utf-8", "surrogatepass"), row, count, None), *((None, None, rep, 0, row) for rep in reps)]
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], _PART.names)
+
+
+def _own(batches: Iterator[pa.RecordBatch], budget: int) -> Iterator[pa.RecordBatch]:
     out: list[tuple] = []
-    for key, (doc_id, row, count, reps) in trie.items():
+    for key, (doc_id, row, count, reps) in _owner(batches, budget).items():
         digest = hashlib.sha256(key).hexdigest()
         out += [(rep, doc_id, row, count, digest) for rep in reps]
         if len(out) >= 20_000:
@@ -283,8 +313,13 @@ def _merge_rows(a: list, b: list) -> list:
     return a if _order(a[0], a[1]) <= _order(b[0], b[1]) else b
 
 
+def _row_bytes(entry: list) -> int:
+    return sum(64 + (len(v) if isinstance(v, (str, bytes)) else 0) for v in entry[2])
+
+
 def _own_rows(batches: Iterator[pa.RecordBatch], budget: int, schema: pa.Schema) -> Iterator[pa.RecordBatch]:
-    trie = PatriciaTrie(_merge_rows, budget)
+    """The row with the smallest identifier of each text, with the columns of schema."""
+    trie = PatriciaTrie(_merge_rows, budget, weigh=_row_bytes)
     for batch in batches:
         ids, texts, rows = batch.column(0).to_pylist(), batch.column(1), batch.column("_rep").to_pylist()
         columns = [batch.column(n).to_pylist() for n in schema.names]
@@ -321,6 +356,23 @@ def _folded(flat: DataFrame, window_bytes: int, report: bool) -> DataFrame:
     return flat.mapInArrow(partial(_fold, limit=window_bytes, report=report), T.StructType(fields))
 
 
+_DEALT = ("_length", "_content")
+
+
+def _hot_texts(reps: DataFrame) -> DataFrame | None:
+    """_length, _content and _parts of the texts that more windows hold than one owner should take, if there are any."""
+    per = reps.groupBy(*_DEALT).agg(F.count("*").alias("n"))
+    least = max(HOT_REPS, reps.count() // HOT_TEXTS)
+    hot = shared.materialise(per.where(F.col("n") > least).select(*_DEALT, F.ceil(F.col("n") / least).cast("int").alias("_parts")), "hot-texts")
+    return None if hot.isEmpty() else F.broadcast(hot)
+
+
+def _in_parts(reps: DataFrame, hot: DataFrame) -> DataFrame:
+    """The representatives of hot texts, dealt in parts."""
+    part = F.pmod(F.xxhash64("_rep"), F.col("_parts")).alias("_part")
+    return reps.join(hot, list(_DEALT)).select(*reps.columns, part).repartition(*_DEALT, "_part").drop("_part")
+
+
 def exact_dedup(docs: DataFrame, window_bytes: int = WINDOW_BYTES, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -331,15 +383,23 @@ def exact_dedup(docs: DataFrame, window_bytes: int = WINDOW_BYTES, trie_bytes: i
     """
     flat, _ = _positional(shared.pick(docs, "doc_id", "text"))
     folded = shared.materialise(_folded(flat, window_bytes, True), "folded")
-    owned = (
-        folded.where("_length is not null")
-        .select("_c0", "_c1", "_rep", "_count", "_length", "_content")
-        .repartition("_length", "_content")
-        .select("_c0", "_c1", "_rep", "_count")
-        .mapInArrow(partial(_own, budget=trie_bytes), _OWNED)
-    )
+    reps = folded.where("_length is not null").select("_c0", "_c1", "_rep", "_count", *_DEALT)
+    entry = ["_c0", "_c1", "_rep", "_count"]
+
+    def owned(rows: DataFrame, f, schema: T.StructType) -> DataFrame:
+        return rows.select(*entry).mapInArrow(partial(f, budget=trie_bytes), schema)
+
+    if (hot := _hot_texts(reps)) is None:
+        found = owned(reps.repartition(*_DEALT), _own, _OWNED)
+    else:
+        parts = shared.materialise(owned(_in_parts(reps, hot), _own_part, _PART), "hot-parts")
+        of = parts.where("_of is not null").select("_rep", F.col("_of").alias("_top"))
+        # Dealt by the text's own digest: a hot text's parts are few by now.
+        tops = owned(parts.where("_of is null").repartition(F.sha2("_c1", 256)), _own, _OWNED).withColumnRenamed("_rep", "_top")
+        cold = owned(reps.join(hot, list(_DEALT), "left_anti").repartition(*_DEALT), _own, _OWNED)
+        found = cold.unionByName(of.join(tops, "_top").drop("_top"))
     rows = folded.where("_length is null").select(F.col("_c0").alias("doc_id"), "_rid", "_rep")
-    return rows.join(owned, "_rep").select(
+    return rows.join(found, "_rep").select(
         "doc_id", "keep_id", "group_size", (F.col("_rid") == F.col("_keep_rid")).alias("kept"), "text_sha256"
     )
 
@@ -347,17 +407,21 @@ def exact_dedup(docs: DataFrame, window_bytes: int = WINDOW_BYTES, trie_bytes: i
 def drop_copies(docs: DataFrame, window_bytes: int = WINDOW_BYTES, trie_bytes: int = TRIE_BYTES) -> DataFrame:
     """The rows that exact_dedup keeps, whole, with the columns of docs in their order.
 
-    One pass and one shuffle: the representatives go to their owners with all their columns,
-    and an owner returns the row of each terminal node.
+    The representatives go to their owners with all their columns, and an owner returns the
+    row of each terminal node.
     """
     from pyspark.sql.pandas.types import to_arrow_schema
 
     flat, names = _positional(docs)
     kinds = {f.name: f.dataType for f in docs.schema}
-    out = T.StructType([T.StructField(f.name, f.dataType, True) for f in flat.schema])
-    kept = (
-        _folded(flat, window_bytes, False)
-        .repartition("_length", "_content")
-        .mapInArrow(partial(_own_rows, budget=trie_bytes, schema=to_arrow_schema(out)), out)
-    )
+    reps = shared.materialise(_folded(flat, window_bytes, False), "folded")
+
+    def owned(rows: DataFrame, schema: T.StructType) -> DataFrame:
+        out = T.StructType([T.StructField(f.name, f.dataType, True) for f in schema])
+        return rows.mapInArrow(partial(_own_rows, budget=trie_bytes, schema=to_arrow_schema(out)), out)
+
+    if (hot := _hot_texts(reps)) is not None:
+        cold = reps.join(hot, list(_DEALT), "left_anti").select(*reps.columns)
+        reps = cold.unionByName(owned(_in_parts(reps, hot), reps.schema))
+    kept = owned(reps.repartition(*_DEALT), flat.schema)
     return kept.select(*[F.col(f"_c{names.index(n)}").cast(kinds[n]).alias(n) for n in docs.columns])

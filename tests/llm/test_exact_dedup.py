@@ -2,6 +2,7 @@ import re
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from siftline.llm import exact_dedup as e
 
@@ -29,9 +30,28 @@ def test_trie_spills_and_cleans_up(tmp_path):
     keys = [bytes([97 + i % 3]) + b"x" * 20 + str(i).encode() for i in range(60)] * 2
     for k in keys:
         trie.insert(k, 1)
-    assert trie.spilled and list(tmp_path.iterdir())
+    # The files have no name, so that they are gone however the task ends.
+    assert trie.spilled and list(tmp_path.iterdir()) == []
+    files = list(trie.spilled.values())
     assert dict(trie.items()) == {k: 2 for k in keys}
-    assert list(tmp_path.iterdir()) == []
+    assert all(f.closed for f in files) and not trie.spilled
+
+
+def test_trie_counts_nodes_and_entries():
+    trie = e.PatriciaTrie(e._merge_rows, 20_000, weigh=e._row_bytes)
+    for i in range(1000):
+        trie.insert(f"{i % 7}{i}".encode(), [i, i, (i, "v" * 100)])
+        assert trie.held <= 20_000 and trie.held >= 600 * sum(trie._size(c) > 0 for c in trie.root.children.values())
+    assert trie.spilled and len(dict(trie.items())) == 1000
+
+
+def test_merging_many_representatives_is_linear():
+    entry = [5, 5, 1, [5]]
+    kept = entry[3]
+    for i in range(6, 50_000):
+        entry = e._merge(entry, [i, i, 1, [i]])
+        assert entry[3] is kept
+    assert entry[:3] == [5, 5, 49_995] and sorted(entry[3]) == list(range(5, 50_000))
 
 
 def test_normalise():
@@ -75,6 +95,27 @@ def test_one_group(spark):
     check(spark, [(i, "same") for i in range(300)], window_bytes=1)
 
 
+def test_texts_in_a_thousand_windows(spark, monkeypatch):
+    # Batches of one row are windows of one row, so each row is a representative.
+    monkeypatch.setattr(e, "HOT_REPS", 20)
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        rows = [(5000 - i if i % 9 else None, "hot  text" if i % 2 else "hot text") for i in range(1000)]
+        check(spark, rows + [(i, None if i % 2 else "") for i in range(60)] + [(i, f"t{i % 30}") for i in range(100)], window_bytes=1)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+
+
+def test_parts_of_hot_texts_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(e, "HOT_REPS", 20)
+    reps = spark.range(1010).selectExpr("id as _c0", "'x' as _c1", "id as _rep", "1L as _count", "1L as _length", "if(id < 1000, 7L, id) as _content")
+    hot = e._hot_texts(reps)
+    assert [(r._content, r._parts) for r in hot.collect()] == [(7, 50)]
+    sizes = [r.n for r in e._in_parts(reps, hot).selectExpr("pmod(xxhash64(_rep), 50) as p").groupBy("p").agg(F.count("*").alias("n")).collect()]
+    assert sum(sizes) == 1000 and max(sizes) < 50
+
+
 def test_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert e.exact_dedup(docs).collect() == [] and e.drop_copies(docs).collect() == []
