@@ -16,7 +16,7 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -24,8 +24,10 @@ from . import shared
 
 BUCKETS = 1 << 16
 ORDERS = (1, 2, 3)
-#: Expected number of labelled rows that the classifier is fitted on, dealt evenly to the languages.
+#: Labelled rows that the classifier is fitted on, at most, dealt evenly to the languages.
 SAMPLE_ROWS = 4000
+#: More languages than this are refused: the model's dense rows take 4 bytes a bucket and language.
+MAX_LANGUAGES = 1000
 EPOCHS = 3
 ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.1
 #: One in so many sample rows is kept for the temperature.
@@ -183,16 +185,25 @@ def _train(batches: Iterator[pa.RecordBatch], langs: list[str], idf: np.ndarray)
 
 
 class Model:
-    """Languages, inverse document frequencies, weights and temperature."""
+    """Languages, inverse document frequencies, weights and temperature.
 
-    def __init__(self, langs: list[str], idf: np.ndarray, weights: np.ndarray, temperature: float):
-        self.langs, self.idf, self.weights, self.temperature = langs, idf, weights, temperature
+    Of the weights only the rows of buckets with any are held (`row_of`: a bucket's row, the
+    last one, of zeros, for all others), so its size is bounded by the weights that L1 left.
+    """
+
+    def __init__(self, langs: list[str], idf: np.ndarray, at: np.ndarray, classes: np.ndarray, values: np.ndarray, temperature: float):
+        self.langs, self.idf, self.temperature = langs, idf, temperature
+        used = np.unique(at)
+        self.row_of = np.full(BUCKETS, len(used), np.int32)
+        self.row_of[used] = np.arange(len(used), dtype=np.int32)
+        self.weights = np.zeros((len(used) + 1, len(langs)))
+        self.weights[self.row_of[at], classes] = values
 
     def predict(self, text: str | None) -> tuple[str, float]:
         found = features(text)
         if found is None or not self.langs:
             return UNDETERMINED, 0.0
-        p = softmax(weighted(found, self.idf) @ self.weights[found[0]] / self.temperature)
+        p = softmax(weighted(found, self.idf) @ self.weights[self.row_of[found[0]]] / self.temperature)
         best = int(p.argmax())
         return self.langs[best], float(p[best])
 
@@ -210,9 +221,11 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     )
     # At most BUCKETS rows and a row per language.
     counted = known.select("text", "lang").mapInArrow(_count, _COUNTS).groupBy("bucket", "lang").agg(F.sum("n").alias("n"))
-    table = counted.toArrow()
+    table = counted.limit(BUCKETS + MAX_LANGUAGES + 1).toArrow()
     bucket, lang, n = (table[c].to_pylist() for c in ("bucket", "lang", "n"))
     sizes = {name: k for b, name, k in zip(bucket, lang, n) if b is None}
+    if len(sizes) > MAX_LANGUAGES or table.num_rows > BUCKETS + MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages")
     langs, total = sorted(sizes), sum(sizes.values())
     seen = np.zeros(BUCKETS)
     for b, k in zip(bucket, n):
@@ -220,15 +233,29 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
             seen[b] = k
     idf = np.log((1 + total) / (1 + seen)) + 1
     if not langs:
-        return Model([], idf, np.zeros((BUCKETS, 0)), 1.0)
-    share = [F.lit(x) for name in langs for x in (name, min(1.0, sample_rows / len(langs) / sizes[name]))]
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(SEED)), F.lit(1 << 30)) / float(1 << 30)
-    sample = known.where(draw < F.create_map(*share)[F.col("lang")]).select("text", "lang")
+        none = np.empty(0, int)
+        return Model([], idf, none, none, none, 1.0)
+    sample = draw(known, sizes, sample_rows)
     rows = sample.repartition(1).mapInArrow(partial(_train, langs=langs, idf=idf), _WEIGHTS).toArrow()
     at, c, value = (rows[x].to_numpy() for x in ("bucket", "class", "value"))
-    weights = np.zeros((BUCKETS, len(langs)))
-    weights[at[at >= 0], c[at >= 0]] = value[at >= 0]
-    return Model(langs, idf, weights, float(value[at < 0][0]))
+    return Model(langs, idf, at[at >= 0], c[at >= 0], value[at >= 0], float(value[at < 0][0]))
+
+
+def draw(known: DataFrame, sizes: dict[str, int], sample_rows: int) -> DataFrame:
+    """text and lang of at most sample_rows rows of known (doc_id, text, lang), evenly by language of `sizes` rows.
+
+    The order is a hash of doc_id and text. Rows that share it are equal rows and count
+    once, folded before the shuffle, so that no repeated row makes the sample larger.
+    """
+    each = max(1, sample_rows // len(sizes))
+    # Somewhat more than the language's share is drawn, then cut to it.
+    share = [F.lit(x) for name, n in sizes.items() for x in (name, min(1.0, 1.5 * each / n))]
+    order = F.xxhash64("doc_id", "text", F.lit(SEED))
+    unit = F.pmod(order, F.lit(1 << 30)) / float(1 << 30)
+    drawn = known.withColumn("_order", order).where(unit < F.create_map(*share)[F.col("lang")])
+    once = drawn.groupBy("lang", "_order").agg(F.min("text").alias("text"))
+    within = Window.partitionBy("lang").orderBy("_order")
+    return once.withColumn("_n", F.row_number().over(within)).where(F.col("_n") <= each).select("text", "lang")
 
 
 _PREDICTED = T.StructType(

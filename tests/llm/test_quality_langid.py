@@ -73,7 +73,8 @@ def test_lines_of_many_marks(spark, mark):
 def test_counts_of_marks(spark):
     from pyspark.sql import functions as F
 
-    rows = [("a | b | c.", True), ("a | b | c > d.", False), ("so!! much!! news.", True), ("so!! much!! news!!", False), ("wow!!!!! fine!", True), ("ends well.\r", True)]
+    menu = "All news of today · and of the week before · in order"
+    rows = [(menu + ".", True), (menu + " · or not.", False), ("so!! much!! news.", True), ("so!! much!! news!!", False), ("wow!!!!! fine!", True), ("ends well.\r", True)]
     got = spark.createDataFrame(rows, "x string, ok boolean").select("x", "ok", q.line_passes(F.col("x")).alias("is")).collect()
     assert [(r.x, r["is"]) for r in got] == rows
 
@@ -176,3 +177,101 @@ def test_lang_is_no_input_of_a_prediction(spark):
     a = {r.doc_id: r.lang_pred for r in li.predict(docs, model).collect()}
     b = {r.doc_id: r.lang_pred for r in li.predict(docs.drop("lang", "source"), model).collect()}
     assert a == b
+
+
+def plain_features(text):
+    letters = [c if c.isalpha() else " " for c in (text or "").lower()]
+    if not any(c.isalpha() for c in letters):
+        return None
+    counts = {}
+    for n in (1, 2, 3):
+        for i in range(len(letters) - n + 1):
+            h = n
+            for c in letters[i : i + n]:
+                h = ((h ^ ord(c)) * 0x9E3779B1) & 0xFFFFFFFF
+                h ^= h >> 15
+            counts[h % li.BUCKETS] = counts.get(h % li.BUCKETS, 0) + 1
+    return counts
+
+
+def plain_model(rows):
+    """Brute force: dictionaries and loops over single weights; rows are (text, lang)."""
+    rows = [(t, lang, plain_features(t)) for t, lang in rows]
+    seen = {}
+    for _, _, f in rows:
+        for b in f:
+            seen[b] = seen.get(b, 0) + 1
+    langs = sorted({lang for _, lang, _ in rows})
+    idf = lambda b: math.log((1 + len(rows)) / (1 + seen.get(b, 0))) + 1
+
+    def vector(f):
+        x = {b: (1 + math.log(c)) * idf(b) for b, c in f.items()}
+        norm = math.sqrt(sum(v * v for v in x.values()))
+        return {b: v / norm for b, v in x.items()}
+
+    z, n = {}, {}
+
+    def weight(b, k):
+        v = z.get((b, k), 0.0)
+        return 0.0 if abs(v) <= li.L1 else (math.copysign(li.L1, v) - v) / ((li.BETA + math.sqrt(n.get((b, k), 0.0))) / li.ALPHA + li.L2)
+
+    def scores(x, t=1.0):
+        s = [sum(v * weight(b, k) for b, v in x.items()) / t for k in range(len(langs))]
+        e = [math.exp(v - max(s)) for v in s]
+        return [v / sum(e) for v in e]
+
+    rows.sort(key=lambda r: (zlib.crc32(r[0].encode()), langs.index(r[1])))
+    order = np.random.default_rng(li.SEED).permutation(len(rows)).tolist()
+    kept, used = order[:: li.CALIBRATE], [i for k, i in enumerate(order) if k % li.CALIBRATE]
+    for _ in range(li.EPOCHS):
+        for i in used:
+            x = vector(rows[i][2])
+            p = scores(x)
+            steps = [((b, k), v * (p[k] - (langs[k] == rows[i][1])), weight(b, k)) for b, v in x.items() for k in range(len(langs))]
+            for at, g, w in steps:
+                before = n.get(at, 0.0)
+                n[at] = before + g * g
+                z[at] = z.get(at, 0.0) + g - (math.sqrt(n[at]) - math.sqrt(before)) / li.ALPHA * w
+    logits = np.array([[sum(v * weight(b, k) for b, v in vector(rows[i][2]).items()) for k in range(len(langs))] for i in kept])
+    t = li.temperature(logits, np.array([langs.index(rows[i][1]) for i in kept]))
+
+    def predict(text):
+        f = plain_features(text)
+        if f is None:
+            return "und", 0.0
+        p = scores(vector(f), t)
+        return langs[p.index(max(p))], max(p)
+
+    return predict
+
+
+def test_identify_is_brute_force(spark):
+    words = {"en": "the cat sat on a mat and saw her hat", "de": "der Hund lief über die Straße und bellte laut", "fr": "le chat est sur la table près du mur"}
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice(words[lang].split(), 6)), lang) for i in range(80) for lang in [("en", "de", "fr")[i % 3]]]
+    rows += [(200, None, "en"), (201, "12", "de"), (202, "mat Hund table", None), (None, "le mur", "de"), (203, "", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    learned = [(t, lang) for i, t, lang in rows if i is not None and lang and plain_features(t) and not held(i)]
+    assert len(learned) >= 50  # enough for a temperature
+    predict = plain_model(learned)
+    for r, (i, t, _) in zip(sorted(li.identify(docs).collect(), key=lambda r: (r.doc_id is None, r.doc_id)), sorted(rows, key=lambda r: (r[0] is None, r[0]))):
+        lang, score = predict(t)
+        assert (r.doc_id, r.held_out, r.lang_pred) == (i, held(i), lang) and abs(r.score - score) < 1e-6
+
+
+def test_sample_is_bounded(spark):
+    # A third of the rows are one repeated row, another third share its doc_id.
+    rows = [(1, "same text", "en")] * 1000 + [(1, f"other {i}", "en") for i in range(1000)] + [(2 + i, f"text {i}", "ende"[2 * (i % 2) :][:2]) for i in range(1000)]
+    known = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    got = li.draw(known, {"en": 2500, "de": 500}, 200).collect()
+    per = {lang: sum(r.lang == lang for r in got) for lang in ("en", "de")}
+    assert per["de"] == 100 and 50 <= per["en"] <= 100 and sum(r.text == "same text" for r in got) <= 1
+    assert sorted(map(tuple, got)) == sorted(map(tuple, li.draw(known.repartition(2), {"en": 2500, "de": 500}, 200).collect()))
+
+
+def test_too_many_languages(spark, monkeypatch):
+    monkeypatch.setattr(li, "MAX_LANGUAGES", 3)
+    rows = [(i, "some words", f"l{i % 4}") for i in range(40)]
+    with pytest.raises(ValueError):
+        li.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
