@@ -10,12 +10,17 @@ EMAIL_PATTERN = (
     r"[A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?"
     r"(?:\.[A-Za-z0-9](?:[A-Za-z0-9-]{0,61}[A-Za-z0-9])?)+"
 )
+#: The same addresses for Java's matcher, in linear time and without recursion: a run of local characters is tried
+#: from its start alone (what follows it is the same from every place in it), and labels are never given back.
+_JAVA_EMAIL = r"(?<![A-Za-z0-9.!#$%&'*+/=?^_`{|}~-])" + EMAIL_PATTERN.replace("~-]+@", "~-]++@")[: -len(")+")] + ")++"
 NUMBER_PATTERN = r"(?U)[-+]?\d+(?:[,.]\d+)?"
 TRUE_WORDS = ("true", "yes", "in stock", "available", "1")
 FALSE_WORDS = ("false", "no", "out of stock", "unavailable", "0")
 FORMULA_START = r"(?U)^\s*[=+\-@]"
 SAFE_NAME_PATTERN = r"^[a-z][a-z0-9_]{0,63}$"
 FORBIDDEN_PATTERN = r"(?i)(selector|xpath|javascript:|<script|\b(shell|sql|python)\b|system prompt|ignore.*instruction)"
+#: The same for Java's matcher in linear time: of the instructions to ignore only the first "ignore" of a line is tried.
+_JAVA_FORBIDDEN = FORBIDDEN_PATTERN.replace("ignore.*instruction", "(?m:^(?:(?!ignore).)*+ignore.*instruction)")
 INJECTION_PATTERN = (
     r"(?i)(?:ignore|disregard|override)\s+(?:all\s+|previous\s+|prior\s+)?instructions?|"
     r"reveal\s+(?:the\s+)?(?:system\s+)?prompt|"
@@ -33,7 +38,7 @@ def collapse(text: Column) -> Column:
 
 
 def first_email(text: Column) -> Column:
-    return F.lower(F.regexp_substr(text, F.lit(EMAIL_PATTERN)))
+    return F.lower(F.regexp_substr(text, F.lit(_JAVA_EMAIL)))
 
 
 def number_token(text: Column) -> Column:
@@ -77,7 +82,7 @@ def has_injection(text: Column) -> Column:
 
 
 def has_forbidden(text: Column) -> Column:
-    return text.rlike(FORBIDDEN_PATTERN)
+    return text.rlike(_JAVA_FORBIDDEN)
 
 
 def is_safe_name(text: Column) -> Column:

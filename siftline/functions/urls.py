@@ -9,10 +9,11 @@ from __future__ import annotations
 
 import ipaddress
 import posixpath
+from typing import NamedTuple
 from urllib.parse import quote, unquote, urljoin, urlsplit, urlunsplit
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -83,7 +84,7 @@ def _netloc(url: Column) -> Column:
 def host(url: Column) -> Column:
     """Lower-case host without a trailing dot, '' if there is none."""
     bare = F.regexp_replace(F.regexp_replace(_netloc(url), r"^.*@", ""), r":\d*$", "")
-    return F.lower(F.regexp_replace(bare, r"\.+$", ""))
+    return F.lower(F.rtrim(bare, F.lit(".")))
 
 
 def port(url: Column) -> Column:
@@ -113,7 +114,7 @@ def origin(url: Column) -> Column:
 
 def site(name: Column) -> Column:
     """The last two labels of a host."""
-    return F.substring_index(F.regexp_replace(F.lower(name), r"\.+$", ""), ".", -2)
+    return F.substring_index(F.rtrim(F.lower(name), F.lit(".")), ".", -2)
 
 
 def simple_canonical(url: Column) -> Column:
@@ -223,25 +224,58 @@ def sitemap_url(source: Column) -> Column:
     return F.when(origin(source).isNotNull(), simple_canonical(F.concat(scheme(source), F.lit("://"), _netloc(source), F.lit("/sitemap.xml"))))
 
 
-def join_url(text: Column, base: Column) -> Column:
+#: References of more path segments than this are not resolved.
+MAX_SEGMENTS = 10_000
+
+
+class Base(NamedTuple):
+    """What references are resolved against, as columns: computed once per row, however many references it holds."""
+
+    scheme: Column
+    root: Column
+    path: Column
+    bare: Column
+
+    @classmethod
+    def of(cls, url: Column) -> Base:
+        return cls(scheme(url), F.concat(scheme(url), F.lit("://"), _netloc(url)), path(url), F.regexp_replace(url, "(?s)#.*$", ""))
+
+    @classmethod
+    def add(cls, df: DataFrame, url: Column, prefix: str = "_base") -> tuple[DataFrame, Base]:
+        """df with the parts of url as columns of their own, and the base that names them."""
+        names = [f"{prefix}_{n}" for n in cls._fields]
+        return df.select("*", *[c.alias(n) for c, n in zip(cls.of(url), names)]), cls(*map(F.col, names))
+
+
+def _walked(path: Column) -> Column:
+    """A rooted path without its "." and ".." segments."""
+    steps = F.split(F.substring(path, 2, 2**31 - 1), "/")
+    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
+    step = lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.array_append(a, x))
+    kept = F.aggregate(steps, F.array().cast("array<string>"), step)
+    end = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
+    walked = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, end).otherwise(""))
+    slashes = F.length(path) - F.length(F.translate(path, "/", ""))
+    return F.when(~F.contains(path, F.lit("/.")), path).when(slashes <= MAX_SEGMENTS, walked)
+
+
+def join_url(text: Column, base: Column | Base) -> Column:
     """text resolved against base and kept if it is http(s), JVM-side, so that it works inside array functions.
 
     Handles absolute, scheme-relative, rooted, query-only, fragment-only and relative
-    references; "./" and up to eight "../" are taken out of relative ones.
+    references; "." and ".." segments are taken out of relative and rooted ones. Null where
+    there are more than MAX_SEGMENTS segments with such among them.
     """
-    root = F.concat(scheme(base), F.lit("://"), _netloc(base))
-    folder = F.regexp_replace(F.coalesce(F.nullif(path(base), F.lit("")), F.lit("/")), r"[^/]*$", "")
-    walked = F.regexp_replace(F.concat(folder, text), r"(?<=/)\./", "")
-    for _ in range(8):
-        walked = F.regexp_replace(walked, r"^((?:/[^/?#]+)*?)/(?!\.\./)[^/?#]+/\.\./", "$1/")
-    walked = F.regexp_replace(walked, r"^(/\.\.)+/", "/")
+    base = base if isinstance(base, Base) else Base.of(base)
+    folder = F.regexp_replace(F.coalesce(F.nullif(base.path, F.lit("")), F.lit("/")), r"[^/]*$", "")
+    place, rest = (F.regexp_extract(text, r"(?s)^([^?#]*)(.*)$", i) for i in (1, 2))
+    rooted = F.when(F.startswith(text, F.lit("/")), place).otherwise(F.concat(folder, place))
     made = (
         F.when(text.rlike(r"(?i)^https?://"), text)
         .when(text.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None).cast("string"))
-        .when(F.startswith(text, F.lit("//")), F.concat(scheme(base), F.lit(":"), text))
-        .when(F.startswith(text, F.lit("/")), F.concat(root, text))
-        .when(F.startswith(text, F.lit("?")), F.concat(root, path(base), text))
-        .when(F.startswith(text, F.lit("#")), F.concat(F.regexp_replace(base, "#.*$", ""), text))
-        .otherwise(F.concat(root, walked))
+        .when(F.startswith(text, F.lit("//")), F.concat(base.scheme, F.lit(":"), text))
+        .when(F.startswith(text, F.lit("?")), F.concat(base.root, base.path, text))
+        .when(F.startswith(text, F.lit("#")), F.concat(base.bare, text))
+        .otherwise(F.concat(base.root, _walked(rooted), rest))
     )
     return F.when(made.rlike(r"^https?://"), made)

@@ -1,8 +1,9 @@
 """Plan-driven extraction as one lazy projection over parsed pages.
 
 The plan is compiled into Column expressions once. All four strategies (structured data,
-tables, repeated blocks, detail page) are arrays on the page's row, tried in that order by
-one coalesce, and exploded once: no join and no shuffle.
+tables, repeated blocks, detail page) give candidates in one array on the page's row, whose
+raw values are typed once; the first strategy with a value is kept and exploded: no join
+and no shuffle.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftline.functions import text as txt
-from siftline.functions import values
+from siftline.functions import urls, values
 from siftline.plans.plan import Plan, PlanField
 from siftline.sources.structured import entity_values, malformed_count
 
@@ -20,6 +21,7 @@ EVIDENCE_CHARS = 500
 LEAST_BLOCK_CHARS = 3
 LEAST_BLOCKS = 2
 RAWS = "array<string>"
+CANDIDATES = "array<struct<strategy:string,location:string,raws:array<string>>>"
 
 
 def _raw_columns(plan: Plan, given: list[Column], text: Column, url: Column) -> Column:
@@ -34,11 +36,9 @@ def _raw_columns(plan: Plan, given: list[Column], text: Column, url: Column) ->
     return F.array(*out).cast(RAWS)
 
 
-def _has_value(plan: Plan, raws: Column, base: Column) -> Column:
-    found = F.lit(False)
-    for i, f in enumerate(plan.fields):
-        found = found | values.normalised(F.get(raws, F.lit(i)), f.type, base).isNotNull()
-    return found
+def has_value(values: list[Column]) -> Column:
+    """Whether any of a record's typed values is there."""
+    return F.coalesce(*[F.when(v.isNotNull(), True) for v in values], F.lit(False))
 
 
 def _candidate(strategy: str, location: Column, raws: Column) -> Column:
@@ -101,7 +101,7 @@ def block_candidates(plan: Plan, document: Column, page_url: Column) -> Column:
         given = [_first_named(f, list(source.items())) for f in plan.fields]
         return _candidate("repeated_block", F.format_string("block[%d]", i), _raw_columns(plan, given, b["text"], href))
 
-    return F.when(F.size(useful) >= LEAST_BLOCKS, F.transform(useful, one))
+    return F.when(F.size(useful) >= LEAST_BLOCKS, F.transform(useful, one)).otherwise(F.array().cast(CANDIDATES))
 
 
 def _first_named(field: PlanField, pairs: list[tuple[str, Column]]) -> Column:
@@ -134,37 +134,47 @@ def extract(parsed: DataFrame, plan: Plan, page_id: str = "page_id", page_url: s
     record_identity, malformed_json_ld, truncated and fields, a struct with a struct of raw,
     value, type, missing, confidence, source_text and location per plan field.
     """
-    url, document = F.col(page_url), F.col("document")
-    with_entities = parsed.withColumn("_entities", entity_values(plan)(F.col("document.json_ld")))
-    with_entities = with_entities.withColumn("_malformed", malformed_count(F.col("document.json_ld")))
-
-    def good(candidates: Column) -> Column:
-        kept = F.filter(candidates, lambda c: _has_value(plan, c["raws"], url))
-        return F.when(F.size(kept) > 0, kept)
-
-    structured = good(structured_candidates(plan, document, F.col("_entities")))
-    blocks = good(block_candidates(plan, document, url))
-    chosen = F.coalesce(
-        structured,
-        good(table_candidates(plan, document)),
-        F.when(F.size(blocks) >= LEAST_BLOCKS, blocks),
+    rows = parsed.select(
+        F.col(page_id).cast("string").alias("page_id"),
+        F.col(page_url).alias("page_url"),
+        "document",
+        entity_values(plan)(F.col("document.json_ld")).alias("_entities"),
+        malformed_count(F.col("document.json_ld")).alias("malformed_json_ld"),
+    )
+    rows, base = urls.Base.add(rows, F.col("page_url"))
+    url, document = F.col("page_url"), F.col("document")
+    found = F.concat(
+        structured_candidates(plan, document, F.col("_entities")),
+        table_candidates(plan, document),
+        block_candidates(plan, document, url),
         detail_candidate(plan, document, url),
     )
-    rows = with_entities.select(
-        F.col(page_id).cast("string").alias("page_id"),
-        url.alias("page_url"),
-        F.col("_malformed").alias("malformed_json_ld"),
+
+    def typed(c: Column) -> Column:
+        values_ = [values.normalised(F.get(c["raws"], F.lit(i)), f.type, base).alias(f"_v{i}") for i, f in enumerate(plan.fields)]
+        return F.struct(c["strategy"].alias("strategy"), c["location"].alias("location"), c["raws"].alias("raws"), *values_)
+
+    def good(c: Column) -> Column:
+        return (c["strategy"] == "detail_page") | has_value([c[f"_v{i}"] for i in range(len(plan.fields))])
+
+    kept = rows.withColumn("_found", F.filter(F.transform(found, typed), good))
+    of = lambda name: F.size(F.filter("_found", lambda c: c["strategy"] == name))
+    least = {name: LEAST_BLOCKS if name == "repeated_block" else 1 for name in STRATEGIES}
+    chosen = F.coalesce(*[F.when(of(name) >= least[name], name) for name in STRATEGIES])
+    rows = kept.withColumn("_chosen", chosen).select(
+        "page_id",
+        "page_url",
+        "malformed_json_ld",
         F.col("document.truncated").alias("truncated"),
-        F.posexplode(F.slice(chosen, 1, plan.limits.max_records)).alias("record_index", "_c"),
+        # There always is one. Without "outer" Spark would filter by the array's size first, and so make the array twice.
+        F.posexplode_outer(F.slice(F.filter("_found", lambda c: c["strategy"] == F.col("_chosen")), 1, plan.limits.max_records)).alias("record_index", "_c"),
     )
-    return _records(rows, plan)
+    return _records(rows.select("*", *[F.col(f"_c._v{i}") for i in range(len(plan.fields))]), plan)
 
 
 def _records(rows: DataFrame, plan: Plan) -> DataFrame:
-    """Typed fields, identity and provenance of exploded candidates."""
+    """Fields, identity and provenance of exploded candidates with their typed values in _v0, _v1, ..."""
     url, strategy = F.col("page_url"), F.col("_c.strategy")
-    typed = [values.normalised(F.get(F.col("_c.raws"), F.lit(i)), f.type, url) for i, f in enumerate(plan.fields)]
-    rows = rows.select("*", *[v.alias(f"_v{i}") for i, v in enumerate(typed)])
     fields = []
     for i, f in enumerate(plan.fields):
         raw, value = F.get(F.col("_c.raws"), F.lit(i)), F.col(f"_v{i}")
@@ -208,7 +218,9 @@ def records_from_table(df: DataFrame, plan: Plan, key: Column, source: dict[str,
         F.lit(0).alias("record_index"),
         _candidate("table", F.lit("table[0]"), raws).alias("_c"),
     )
-    return _records(rows, plan)
+    rows, base = urls.Base.add(rows, F.col("page_url"))
+    typed = [values.normalised(F.get(F.col("_c.raws"), F.lit(i)), f.type, base).alias(f"_v{i}") for i, f in enumerate(plan.fields)]
+    return _records(rows.select("*", *typed), plan)
 
 
 def flat(records: DataFrame, plan: Plan, *keep: str) -> DataFrame:

@@ -74,7 +74,10 @@ def needs_review(warn: Column, unresolved: Column) -> Column:
 
 
 def result_columns(df: DataFrame, data: str, order: list[str]) -> DataFrame:
-    """Keys of a map column in order of first appearance: key, first_seen."""
+    """Keys of a map column in order of first appearance: key, position.
+
+    The keys are the fields of plans (64 at most in one), so their window is a small one.
+    """
     w = Window.orderBy("_at", "_i")
     keys = df.select(F.struct(*order).alias("_at"), F.posexplode(F.map_keys(data)).alias("_i", "key"))
     first = keys.groupBy("key").agg(F.min(F.struct("_at", "_i")).alias("_first")).select("key", "_first._at", "_first._i")
@@ -110,6 +113,14 @@ def job_status(jobs: DataFrame, plans: DataFrame) -> DataFrame:
     return jobs.join(plan, jobs["id"] == plan["job_id"], "left").drop("job_id").withColumn("error", error)
 
 
+def accepted_job(jobs: DataFrame) -> DataFrame:
+    """What the creator of a job is told: its ids, state, and progress as it stood at creation."""
+    progress = F.struct(
+        F.col("progress_percent").alias("percent"), F.col("status").alias("stage"), F.lit("Job accepted").alias("message"), F.col("created_at").alias("updated_at")
+    )
+    return jobs.select(F.col("id").alias("job_id"), "project_id", "status", progress.alias("progress"), "created_at")
+
+
 def events_after(events: DataFrame, cursor: int) -> DataFrame:
     return events.where(F.col("sequence_no") > cursor).orderBy("job_id", "sequence_no")
 

@@ -8,6 +8,7 @@ typed product records, pages captured pages.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -19,6 +20,7 @@ from siftline.operators import dataset, discovery, extraction, lifecycle, reads,
 from siftline.plans.plan import Limits, Navigation, Plan, PlanField
 from siftline.sinks import writers
 from siftline.sources import pages as html_pages
+from siftline.sources.structured import SITEMAP_URLS
 from siftline.streaming import jobs as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -72,6 +74,8 @@ PAGE_PLAN = Plan(
     limits=Limits(100, 10_000),
 )
 
+ID_PLAN = Plan(source_url="https://docs.example.com/", summary="Documents", fields=(PlanField("id", "integer", "Id"),))
+
 STATUS_SQL = "CASE quality WHEN 1 THEN 'PASS' WHEN 0 THEN 'FAIL' END"
 
 
@@ -119,8 +123,17 @@ def results_summary(spark, sf):
 
 @query("SELECT user_id, count(*) AS n, coalesce(max(try_cast(json_extract_string(props, '$.k') AS BIGINT)), 0) AS max_k FROM events GROUP BY user_id")
 def summary_defaults(spark, sf):
-    k = F.coalesce(F.get_json_object("props", "$.k").try_cast("long"), F.lit(0))
-    return table(spark, sf, "events").groupBy("user_id").agg(F.count("*").alias("n"), F.max(k).alias("max_k"))
+    summary = reads.summary_with_defaults(F.replace("props", F.lit('"k"'), F.lit('"pass"')))
+    rows = table(spark, sf, "events").select("user_id", summary.alias("s"))
+    return rows.groupBy("user_id").agg(F.count("*").alias("n"), F.max("s.pass").alias("max_k"))
+
+
+@query("SELECT doc_id AS id, lang, source FROM documents")
+def record_values(spark, sf):
+    cell = lambda c: F.struct(F.col(c).alias("value"), F.upper(c).alias("raw"))
+    fields = F.create_map(F.lit("lang"), cell("lang"), F.lit("source"), cell("source"))
+    rows = _records(spark, sf).select("id", fields.alias("fields")).select("id", reads.values_only().alias("v"))
+    return rows.select("id", F.col("v")["lang"].alias("lang"), F.col("v")["source"].alias("source"))
 
 
 @query("""
@@ -181,8 +194,10 @@ def ownership_chain(spark, sf):
     SELECT doc_id AS id, coalesce('r-' || lang, doc_id::VARCHAR) AS record_identity, {STATUS_SQL} AS status FROM documents JOIN labels USING (doc_id)
 """)
 def export_source_join(spark, sf):
-    joined = _records(spark, sf).join(_results(spark, sf), F.col("id") == F.col("record_id"))
-    return joined.select("id", F.coalesce(F.concat(F.lit("r-"), "lang"), F.col("id").cast("string")).alias("record_identity"), "status")
+    results = _results(spark, sf).withColumn("validation_run_id", F.lit("run-1"))
+    records = _records(spark, sf).withColumn("record_identity", F.concat(F.lit("r-"), "lang"))
+    made = dataset.load_dataset(records, results, ID_PLAN, "run-1", dataset.Options("ALL_RECORDS", True, True), None)
+    return made.rows.select("id", "record_identity", F.col("validation_status").alias("status"))
 
 
 @query("""
@@ -198,13 +213,41 @@ def live_files(spark, sf):
     return found.select("id", "download_url", "format")
 
 
+@query("""
+    SELECT l_orderkey || '-' || l_linenumber || '-' || l_partkey AS id, o_custkey AS job_id
+    FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+    WHERE n_regionkey = 2 AND l_shipdate > TIMESTAMP '1998-01-01'
+""")
+def owned_files(spark, sf):
+    ident = F.concat_ws("-", "l_orderkey", "l_linenumber", "l_partkey").alias("id")
+    generated = table(spark, sf, "lineitem").select(ident, F.col("l_orderkey").alias("export_job_id"), F.col("l_shipdate").alias("expires_at"), F.col("l_shipdate").alias("created_at"))
+    exports = table(spark, sf, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("job_id"), F.col("o_orderpriority").alias("format"))
+    jobs = table(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("project_id"))
+    projects = table(spark, sf, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_regionkey").alias("owner_id"))
+    return reads.owned_files(generated, exports, jobs, projects, F.lit(2), F.lit("1998-01-01").cast("timestamp_ntz")).select("id", "job_id")
+
+
+@query("""
+    SELECT o_orderkey AS job_id, o_custkey AS project_id, o_orderstatus AS status, l AS percent, o_orderstatus AS stage, 'Job accepted' AS message
+    FROM orders LEFT JOIN (SELECT l_orderkey, count(*) AS l FROM lineitem GROUP BY l_orderkey) ON l_orderkey = o_orderkey
+""")
+def accepted_jobs(spark, sf):
+    done = table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.count("*").alias("progress_percent"))
+    jobs = table(spark, sf, "orders").select(
+        F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("project_id"), F.col("o_orderstatus").alias("status"), F.col("o_orderdate").alias("created_at")
+    )
+    made = reads.accepted_job(jobs.join(done, "id", "left"))
+    return made.select("job_id", "project_id", "status", "progress.percent", "progress.stage", "progress.message")
+
+
 @query("""
     SELECT o_custkey AS job_id, max(o_orderkey) FILTER (o_orderstatus = 'F') AS latest_run FROM orders
     WHERE o_orderstatus = 'F' GROUP BY o_custkey
 """)
 def latest_run_backfill(spark, sf):
-    done = table(spark, sf, "orders").where("o_orderstatus = 'F'")
-    return done.groupBy(F.col("o_custkey").alias("job_id")).agg(F.max_by("o_orderkey", "o_orderkey").alias("latest_run"))
+    status = F.when(F.col("o_orderstatus") == "F", "COMPLETED").otherwise("RUNNING")
+    runs = table(spark, sf, "orders").select(F.col("o_custkey").alias("job_id"), F.col("o_orderkey").alias("run_number"), status.alias("status"))
+    return reads.latest_run(runs).select("job_id", F.col("run_number").alias("latest_run"))
 
 
 # ---------------------------------------------------------------- events and windows
@@ -224,7 +267,7 @@ def latest_per_job(spark, sf):
 @query("SELECT user_id AS job_id, arg_max(event_id, (ts, event_id)) AS id FROM events WHERE event_type = 'purchase' GROUP BY user_id")
 def latest_completed(spark, sf):
     done = _events(spark, sf).where("event_type = 'purchase'")
-    return done.groupBy("job_id").agg(F.max_by("id", F.struct("occurred_at", "id")).alias("id"))
+    return reads.latest(done, ["job_id"], [F.desc("occurred_at"), F.desc("id")]).select("job_id", "id")
 
 
 @query("SELECT user_id AS job_id, event_id AS id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sequence_no FROM events")
@@ -305,7 +348,19 @@ def rate_limit_window(spark, sf):
     return rows.select("id", lifecycle.trailing_hits(rows, "job_id", "occurred_at", 86_400).alias("hits"))
 
 
-@query()
+_ADMITTED_SQL = """
+    WITH RECURSIVE e AS (SELECT event_id AS id, user_id AS job_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (
+      SELECT id, job_id, n, true AS allowed, [t] AS held FROM e WHERE n = 1
+      UNION ALL
+      SELECT id, job_id, n, len(kept) < 2, CASE WHEN len(kept) < 2 THEN list_append(kept, t) ELSE kept END
+      FROM (SELECT e.*, list_filter(r.held, lambda x: x > e.t - 86400000000) AS kept FROM r JOIN e ON e.job_id = r.job_id AND e.n = r.n + 1)
+    )
+    SELECT job_id, id, allowed FROM r
+"""
+
+
+@query(_ADMITTED_SQL)
 def rate_limit_admitted(spark, sf):
     hits = _events(spark, sf).select("id", "job_id", "occurred_at")
     return lifecycle.admitted(hits, "job_id", "occurred_at", 2, 86_400).select("id", "job_id", "allowed")
@@ -489,9 +544,13 @@ def exports_all_done(spark, sf):
     return lifecycle.exports_done(table(spark, sf, "orders").select(F.col("o_custkey").alias("job_id"), state.alias("status")))
 
 
-@query()
+@query("SELECT CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in _RETRYABLE_TYPES.items()) + " END AS code, "
+       "event_type IN ('error', 'view', 'purchase') AS retryable, count(*) AS failures FROM events GROUP BY ALL")
 def failure_taxonomy(spark, sf):
-    return lifecycle.failure_table(spark)
+    """The failures of a table of events by code, with whether the code is tried again; codes that aren't known are not."""
+    failures = _events(spark, sf).select(lifecycle.lookup(F.col("event_type"), _RETRYABLE_TYPES).alias("code"))
+    known = failures.join(F.broadcast(lifecycle.failure_table(spark)), "code", "left").withColumn("retryable", F.coalesce("retryable", F.lit(False)))
+    return known.groupBy("code", "retryable").agg(F.count("*").alias("failures"))
 
 
 @query(f"""
@@ -677,6 +736,20 @@ def anchors(spark, sf):
     return rows.select("page_id", F.posexplode("hrefs").alias("position", "href"))
 
 
+@query(r"""
+    SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'https://start.example.com/' ELSE url END AS requested_url, url AS final_url, (200 + page_id % 2)::INT AS status,
+      CASE WHEN page_id % 2 = 0 THEN 'text/html; charset=utf-8' END AS content_type,
+      nullif(left(trim(regexp_replace(regexp_extract(html, '(?is)<title>([^<]*)', 1), '\s+', ' ', 'g')), 500), '') AS title,
+      1440 AS viewport_width, 900 AS viewport_height, CASE WHEN page_id % 3 = 0 THEN 1 ELSE 0 END AS redirect_count FROM pages
+""")
+def navigation_records(spark, sf):
+    chain = F.when(F.col("page_id") % 3 == 0, F.array(F.lit("https://start.example.com/"), "url")).otherwise(F.array("url"))
+    kind = F.when(F.col("page_id") % 2 == 0, "text/html; charset=utf-8")
+    captures = table(spark, sf, "pages").select("page_id", "html", chain.alias("chain"), (200 + F.col("page_id") % 2).alias("status"), kind.alias("content_type"))
+    made = html_pages.navigation_record(captures)
+    return made.select("*", F.col("viewport.width").alias("viewport_width"), F.col("viewport.height").alias("viewport_height")).drop("viewport")
+
+
 def _parsed(spark, sf):
     return html_pages.parse_pages(table(spark, sf, "pages"))
 
@@ -702,10 +775,34 @@ def discover_candidates(spark, sf):
     )
 
 
-@query()
+_TOKEN_LIST = "[" + ", ".join(f"'{t}'" for t in txt.key_tokens(PAGE_PLAN.summary)) + "]"
+_ANCHORS_SQL = f"""
+    a AS (SELECT page_id, split_part(url, ':', 1) || '://' || {_HOST} AS root,
+      regexp_extract_all(html, '(?is)<a\\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 1) AS hrefs, regexp_extract_all(html, '(?is)<a\\s[^>]*href="([^"]*)"[^>]*>(.*?)</a>', 2) AS said FROM pages),
+    l AS (SELECT page_id, root, unnest(generate_series(0, len(hrefs) - 1)) AS position, unnest(hrefs) AS href,
+      unnest(list_transform(said, lambda x: trim(regexp_replace(x, '\\s+', ' ', 'g')))) AS said FROM a WHERE len(hrefs) > 0)
+"""
+
+
+@query(f"""
+    WITH {_ANCHORS_SQL}, c AS (
+      SELECT page_id, position, root || replace(url_encode(href), '%2F', '/') AS canonical_url, lower(said) AS said,
+        list_filter({_TOKEN_LIST}, lambda t: contains(lower(said || ' ' || root || href || ' {PAGE_PLAN.summary.lower()}'), t)) AS m
+      FROM l
+    ), d AS (
+      SELECT *, contains(said, 'next') OR regexp_matches(said, '\\bpage\\s*\\d+\\b') AS paging,
+        row_number() OVER (PARTITION BY page_id, canonical_url ORDER BY position) AS n FROM c
+    )
+    SELECT page_id, position, canonical_url, CASE WHEN n > 1 THEN 'duplicate' ELSE 'candidate' END AS decision, 'ALLOWED' AS policy_decision,
+      CASE WHEN paging THEN 'PAGINATION' ELSE 'RELEVANT_LINK' END AS discovered_via,
+      CASE WHEN NOT paging THEN CASE WHEN len(m) > 0 THEN least(1.0, round(0.25 + 0.15 * len(m), 6)) ELSE 0.1 END END::DOUBLE AS relevance_score,
+      CASE WHEN paging THEN 'pagination signal' WHEN len(m) > 0 THEN 'keyword overlap' ELSE 'same-scope navigation link' END AS relevance_reason, 1 AS link_depth
+    FROM d
+""")
 def discovery_decisions(spark, sf):
     rows = _decisions(spark, sf)
-    return rows.select("page_id", "position", "canonical_url", "decision", "policy_decision", "discovered_via", "relevance_score", "relevance_reason", "link_depth")
+    score = F.round("relevance_score", 6).alias("relevance_score")
+    return rows.select("page_id", "position", "canonical_url", "decision", "policy_decision", "discovered_via", score, "relevance_reason", "link_depth")
 
 
 @query(f"WITH {_LINKS_SQL} SELECT page_id, count(*) AS rejected FROM l WHERE root <> 'https://therin.example.net' GROUP BY page_id")
@@ -716,21 +813,34 @@ def rejected_candidates(spark, sf):
 
 
 @query("""
-    WITH RECURSIVE e AS (SELECT DISTINCT l_orderkey % 500 AS parent, l_partkey % 500 AS child FROM lineitem),
-    r AS (SELECT 0 AS url, 0 AS depth UNION SELECT e.child, r.depth + 1 FROM r JOIN e ON e.parent = r.url WHERE r.depth < 2)
-    SELECT url::BIGINT AS url, min(depth)::INT AS depth FROM r GROUP BY url
+    WITH RECURSIVE e AS (
+      SELECT 'o' || l_orderkey AS parent, 'p' || l_partkey AS child FROM lineitem UNION SELECT 'p' || l_partkey, 'o' || l_orderkey FROM lineitem
+    ), r AS (
+      SELECT 'o' || min(l_orderkey) AS url, 0 AS depth FROM lineitem
+      UNION SELECT e.child, r.depth + 1 FROM r JOIN e ON e.parent = r.url WHERE r.depth < 3
+    )
+    SELECT url, min(depth)::INT AS depth FROM r GROUP BY url
 """)
 def link_depth_bfs(spark, sf):
-    edges = table(spark, sf, "lineitem").select((F.col("l_orderkey") % 500).alias("parent"), (F.col("l_partkey") % 500).alias("child"))
-    return discovery.levels(edges, spark.range(1).select(F.col("id").alias("url")), 2)
+    """Orders and parts as pages that link to each other, breadth-first from the first order."""
+    lines = table(spark, sf, "lineitem").select(F.concat(F.lit("o"), "l_orderkey").alias("a"), F.concat(F.lit("p"), "l_partkey").alias("b"), "l_orderkey")
+    edges = lines.select(F.col("a").alias("parent"), F.col("b").alias("child")).unionByName(lines.select(F.col("b").alias("parent"), F.col("a").alias("child")))
+    return discovery.levels(edges, lines.agg(F.concat(F.lit("o"), F.min("l_orderkey")).alias("url")), 3)
 
 
-@query()
+@query(f"""
+    WITH p AS (SELECT {_HOST} AS host, {_CANON} AS canonical_url, url LIKE 'https:%' AS secure FROM pages),
+    n AS (SELECT *, row_number() OVER (PARTITION BY host, canonical_url) AS n FROM p)
+    SELECT host, canonical_url, CASE WHEN NOT secure THEN 'rejected' WHEN n > 1 THEN 'duplicate' ELSE 'candidate' END AS decision FROM n
+""")
 def sitemap_candidates(spark, sf):
+    """The pages of each host as sitemaps of at most as many locations as are read of one."""
+    part = F.floor((F.row_number().over(Window.partitionBy("host").orderBy("loc", "page_id")) - 1) / SITEMAP_URLS)
     per = table(spark, sf, "pages").select("page_id", urls.host(F.col("url")).alias("host"), F.col("url").alias("loc"))
     loc = F.concat(F.lit("<url><loc> "), F.replace("loc", F.lit("&"), F.lit("&amp;")), F.lit(" </loc></url>"))
-    maps = per.groupBy("host").agg(F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.array_sort(F.collect_list(loc)), ""), F.lit("</urlset>")).alias("xml"))
-    rows = discovery.sitemap_links(maps, "xml")
+    xml = F.concat(F.lit('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">'), F.array_join(F.array_sort(F.collect_list(loc)), ""), F.lit("</urlset>"))
+    maps = per.withColumn("part", part).groupBy("host", "part").agg(xml.alias("xml"))
+    rows = discovery.sitemap_links(maps, "xml").withColumn("position", F.col("part") * SITEMAP_URLS + F.col("position"))
     source = F.concat(F.lit("https://"), F.col("host"), F.lit("/"))
     made = urls.canonical_url("href", F.lit(None).cast("string"))
     return discovery.decide(rows, PAGE_PLAN, key="host", canonical=made, source=source).select("host", "canonical_url", "decision")
@@ -749,7 +859,28 @@ def native_blocks(spark, sf):
     return rows.select("page_id", F.posexplode("t").alias("position", "text"))
 
 
-@query()
+# Text of an element: tags that break lines are a space, others nothing; then white space is squeezed.
+_TEXT_SQL = (
+    r"trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(regexp_replace({}, '(?i)</?(p|br|li|ul|h1|h2|div|article)(\s[^>]*)?/?>', ' ', 'g'), "
+    r"'<[^>]*>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', chr(34)), '&#x27;', chr(39)), '&amp;', '&'), '\s+', ' ', 'g'))"
+)
+
+
+@query(rf"""
+    WITH b AS (
+      SELECT page_id::VARCHAR AS page_id, url, split_part(url, ':', 1) || '://' || {_HOST} AS root,
+        regexp_extract_all(html, '(?is)<(?:li|article)(?:\s[^>]*)?>.*?</(?:li|article)>') AS blocks FROM pages
+    ), t AS (
+      SELECT page_id, url, root, unnest(blocks) AS block, generate_subscripts(blocks, 1) AS i FROM b
+    ), u AS (
+      SELECT *, left({_TEXT_SQL.format('block')}, 4000) AS said, regexp_extract(block, 'href="([^"]*)"', 1) AS href FROM t
+    ), k AS (
+      SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) - 1 AS record_index, CASE WHEN href = '' THEN url ELSE root || href END AS link FROM u WHERE length(said) >= 3
+    )
+    SELECT page_id, record_index, 'repeated_block' AS strategy, 'block[' || record_index || ']' AS location,
+      sha256(page_id || '|' || url || '|' || trim(said) || '|' || link || '|') AS record_identity, trim(said) AS heading, link, NULL::DOUBLE AS amount
+    FROM k
+""")
 def extract_records(spark, sf):
     records = extraction.extract(_parsed(spark, sf), PAGE_PLAN)
     return extraction.flat(records, PAGE_PLAN, "page_id", "record_index", "strategy", "location", "record_identity")
@@ -809,8 +940,8 @@ def extract_detail(spark, sf):
 
 @query("SELECT p_partkey AS id FROM part WHERE p_size % 3 = 0 OR p_size % 5 = 0")
 def has_value_filter(spark, sf):
-    cells = F.array(F.when(F.col("p_size") % 3 == 0, "a"), F.when(F.col("p_size") % 5 == 0, "b"))
-    return table(spark, sf, "part").where(F.exists(cells, lambda c: c.isNotNull())).select(F.col("p_partkey").alias("id"))
+    cells = [F.when(F.col("p_size") % 3 == 0, "a"), F.when(F.col("p_size") % 5 == 0, "b")]
+    return table(spark, sf, "part").where(extraction.has_value(cells)).select(F.col("p_partkey").alias("id"))
 
 
 # ---------------------------------------------------------------- validation
@@ -865,6 +996,19 @@ def run_summary(spark, sf):
     return validation.run_summary(validation.validate(_part_records(spark, sf), PART_PLAN))
 
 
+@query(f"WITH {_RULES_SQL} SELECT page_id, status, quality, pass, CASE WHEN fail > 0 THEN 'FAIL' ELSE 'PASS' END AS worst FROM v")
+def record_findings(spark, sf):
+    rows = _part_records(spark, sf).withColumn("record_identity", F.col("page_id"))
+    made = validation.findings(validation.validate(rows, PART_PLAN))
+    said = lambda path: F.get_json_object("findings", path)
+    outcomes = F.from_json(said("$.outcomes"), "array<struct<field:string,rule_id:string,status:string>>")
+    worst = F.when(F.exists(outcomes, lambda o: o["status"] == "FAIL"), "FAIL").otherwise("PASS")
+    return made.select(
+        F.col("record_identity").alias("page_id"), said("$.status").alias("status"), said("$.quality").alias("quality"),
+        said("$.summary.pass").cast("long").alias("pass"), worst.alias("worst"),
+    )
+
+
 @query(f"""
     WITH {_RULES_SQL} SELECT * FROM (
       SELECT '' AS field, 'cross_field.min_price.max_price.v1' AS rule_id, 'FAIL' AS status, count(*) FILTER (crossed) AS n FROM r
@@ -873,8 +1017,8 @@ def run_summary(spark, sf):
       UNION ALL SELECT 'price', 'required.v1', 'FAIL', count(*) FILTER (no_price) FROM r) WHERE n > 0
 """)
 def rule_violations(spark, sf):
-    rows = validation.validate(_part_records(spark, sf), PART_PLAN).select(F.inline("outcomes"))
-    return rows.where("status in ('FAIL', 'WARN')").groupBy("field", "rule_id", "status").agg(F.count("*").alias("n"))
+    rows = validation.violations(validation.validate(_part_records(spark, sf), PART_PLAN))
+    return rows.groupBy("field", "rule_id", "status").agg(F.count("*").alias("n"))
 
 
 @query(f"WITH {_RULES_SQL} SELECT page_id, CASE WHEN no_price THEN 'FAIL' ELSE 'PASS' END AS price, CASE WHEN no_brand THEN 'WARN' ELSE 'PASS' END AS brand, CASE WHEN part_size THEN 'FAIL' ELSE 'PASS' END AS size FROM r")
@@ -961,44 +1105,56 @@ def column_widths(spark, sf):
     return writers.column_widths(table(spark, sf, "part").select("p_name", "p_type"))
 
 
-#: One file of a whole table: the writers' record limit is a parameter.
-WHOLE = 10_000_000
+def _parts_dataset(spark, sf, *columns, **options):
+    return dataset.Dataset(table(spark, sf, "part").select(*columns), columns, "run-1", 1, dataset.Options(**options))
 
 
-def _lines(spark, sf, name):
-    rows = table(spark, sf, "part").orderBy("p_partkey").select("p_name", "p_size")
-    made = dataset.Dataset(rows, ("p_name", "p_size"), "run-1", 1, dataset.Options())
-    text = writers.render(made, name, max_records=WHOLE).decode()
-    return spark.createDataFrame(list(enumerate(text.split("\n"))), "n long, line string")
+def _part_lines(spark, sf, name):
+    return writers.document_lines(_parts_dataset(spark, sf, "p_partkey", "p_name", "p_size"), name, ["p_partkey"])
 
 
 @query("""
-    WITH p AS (SELECT p_partkey, p_name, p_size FROM part), r AS (SELECT row_number() OVER (ORDER BY p_partkey) AS n, p_name || ',' || p_size AS line FROM p)
-    SELECT 0::BIGINT AS n, 'p_name,p_size' AS line UNION ALL SELECT n, line FROM r UNION ALL SELECT count(*) + 1, '' FROM p
+    WITH r AS (SELECT row_number() OVER (ORDER BY p_partkey) AS n, p_partkey || ',' || p_name || ',' || p_size AS line FROM part)
+    SELECT 0::BIGINT AS n, 'p_partkey,p_name,p_size' AS line UNION ALL SELECT n, line FROM r UNION ALL SELECT count(*) + 1, '' FROM r
 """)
 def export_csv(spark, sf):
-    return _lines(spark, sf, "csv")
+    return _part_lines(spark, sf, "csv")
 
 
-@query()
+@query("""
+    WITH c AS (SELECT count(*) AS total FROM part), h AS (
+      SELECT ['{', '  "schema_version": "export.v1",', '  "format": "json",', '  "record_count": ' || total || ',', '  "fields": [', '    "p_partkey",', '    "p_name",', '    "p_size"',
+        '  ],', '  "validation_run_id": "run-1",', '  "plan_version": 1,', '  "records": ['] AS head, total FROM c
+    ), r AS (
+      SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, total, ['    {', '      "p_partkey": ' || p_partkey || ',', '      "p_name": "' || p_name || '",', '      "p_size": ' || p_size,
+        CASE WHEN row_number() OVER (ORDER BY p_partkey) = total THEN '    }' ELSE '    },' END] AS lines FROM part, c
+    )
+    SELECT generate_subscripts(head, 1) - 1 AS n, unnest(head) AS line FROM h
+    UNION ALL SELECT 12 + i * 5 + generate_subscripts(lines, 1) - 1, unnest(lines) FROM r
+    UNION ALL SELECT 12 + total * 5 + k, CASE k WHEN 0 THEN '  ]' ELSE '}' END FROM c, (SELECT unnest([0, 1]) AS k)
+""")
 def export_json(spark, sf):
-    return _lines(spark, sf, "json")
+    return _part_lines(spark, sf, "json")
 
 
-@query()
+@query("""
+    WITH c AS (SELECT count(*) AS total FROM part), h AS (
+      SELECT ['Extraction results', '', 'Summary', '- Records: ' || total, '- Validation run: run-1', '', 'Records', '', '  p_partkey   p_name   p_size  ', ' --- --- --- '] AS head FROM c
+    )
+    SELECT generate_subscripts(head, 1) - 1 AS n, unnest(head) AS line FROM h
+    UNION ALL SELECT 9 + row_number() OVER (ORDER BY p_partkey), '  ' || p_partkey || '   ' || p_name || '   ' || p_size || '  ' FROM part
+    UNION ALL SELECT 10 + total, '' FROM c
+""")
 def export_txt(spark, sf):
-    return _lines(spark, sf, "txt")
+    return _part_lines(spark, sf, "txt")
 
 
 @query()
 def export_files(spark, sf):
-    """Size and checksum of every format of one dataset."""
-    import hashlib
-
-    rows = table(spark, sf, "part").orderBy("p_partkey").select("p_name", "p_size", "p_retailprice")
-    made = dataset.Dataset(rows, tuple(rows.columns), "run-1", 1, dataset.Options(include_validation_metadata=True))
-    out = [(n, len(b := writers.render(made, n, max_records=WHOLE)), "sha256:" + hashlib.sha256(b).hexdigest()) for n in writers.WRITERS]
-    return spark.createDataFrame(out, "format string, byte_size long, checksum string")
+    """Number of records, size and checksum of every format's files of the whole table, 10,000 records in each."""
+    made = _parts_dataset(spark, sf, "p_partkey", "p_name", "p_size", "p_retailprice", include_validation_metadata=True)
+    parts = [writers.render_parts(made, n, ["p_partkey"]).select(F.lit(n).alias("format"), "part", "records", "byte_size", "checksum") for n in writers.WRITERS]
+    return reduce(DataFrame.unionByName, parts)
 
 
 @query("SELECT o_orderkey AS id, 'validated-export-' || left(sha256(o_orderkey::VARCHAR), 8) || '.csv' AS filename FROM orders")
@@ -1050,7 +1206,7 @@ def stream_outbox(spark, sf):
     return streams.run_available(streams.dispatched(rows, "40 days")).groupBy("operation_key").agg(F.count("*").alias("n"))
 
 
-@query()
+@query(_ADMITTED_SQL)
 def stream_rate_limit(spark, sf):
     rows = _stream(spark, sf).select(F.col("job_id").alias("key"), "id", F.col("occurred_at").alias("ts"))
     return streams.run_available(streams.rate_limited(rows, 2, 86_400)).select(F.col("key").alias("job_id"), "id", "allowed")
@@ -1058,5 +1214,6 @@ def stream_rate_limit(spark, sf):
 
 @query("SELECT event_id AS id, user_id AS job_id FROM events WHERE event_id > 100")
 def stream_tail(spark, sf):
-    rows = _stream(spark, sf).where(F.col("id") > 100)
-    return streams.run_available(rows.select("id", "job_id"))
+    kinds = table(spark, sf, "events").schema
+    rows = streams.tail(spark, f"{sf}/events.parquet", kinds, cursor=100, sequence="event_id")
+    return streams.run_available(rows.select(F.col("event_id").alias("id"), F.col("user_id").alias("job_id")))

@@ -22,7 +22,7 @@ from siftline.plans.schemas import PARSED
 TEXT_CHARS, ITEMS, LINKS = 200_000, 500, 200
 HREF_CHARS, LABEL_CHARS, REL_CHARS, META_CHARS, BLOCK_CHARS, CELL_CHARS, TITLE_CHARS = 2048, 240, 120, 2000, 4000, 2000, 500
 BLOCK_TAGS = ("article", "li")
-BLOCK_CLASS = re.compile(r"(^|\s)card(\s|$)|card|product")
+BLOCK_CLASS = re.compile(r"card|product")
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SILENT = {"script", "style", "noscript", "template", "head", "title"}
 BREAKING = {
@@ -207,9 +207,39 @@ def read_pages(spark: SparkSession, path: str, max_bytes: int | None = None) ->
     return pages if max_bytes is None else pages.where(F.octet_length("html") <= max_bytes)
 
 
+# The viewport that pages are captured with.
+VIEWPORT = (1440, 900)
+
+
+def navigation_record(captures: DataFrame) -> DataFrame:
+    """One row per capture: page_id, requested_url, final_url, status, content_type, title, viewport, redirect_count.
+
+    Input: page_id, chain (array of URLs: the one asked for, redirects, the one reached),
+    status, content_type and html; `title` if the page is parsed already. A capture without
+    a chain has no URLs and no redirects; without a response status and type are null.
+    """
+    title = F.col("title") if "title" in captures.columns else page_title(F.col("html"))
+    return captures.select(
+        "page_id",
+        F.get("chain", F.lit(0)).alias("requested_url"),
+        F.get("chain", F.size("chain") - 1).alias("final_url"),
+        F.col("status").cast("int").alias("status"),
+        "content_type",
+        F.nullif(F.left(title, F.lit(TITLE_CHARS)), F.lit("")).alias("title"),
+        F.struct(F.lit(VIEWPORT[0]).alias("width"), F.lit(VIEWPORT[1]).alias("height")).alias("viewport"),
+        F.coalesce(redirect_hops(F.col("chain")), F.lit(0)).alias("redirect_count"),
+    )
+
+
+def page_title(html: Column) -> Column:
+    """The first title element's text, extra space removed, JVM-side: for pages that spell no entities there."""
+    inner = F.regexp_extract(html, r"(?is)<title(?:\s[^<>]*)?>([^<]*)", 1)
+    return F.trim(F.regexp_replace(inner, r"(?U)\s+", " "))
+
+
 def native_anchors(html: Column) -> Column:
     """href values of anchors in order, JVM-side: for pages whose hrefs are double-quoted."""
-    return F.regexp_extract_all(html, F.lit(r'(?is)<a\s[^>]*href="([^"]*)"'), F.lit(1))
+    return F.regexp_extract_all(html, F.lit(r'(?is)<a\s[^<>]*href="([^"]*)"'), F.lit(1))
 
 
 def native_block_texts(html: Column, tag: str) -> Column:

@@ -38,17 +38,25 @@ def entities(texts: list[str]) -> tuple[list[tuple[str, dict]], int]:
 
 
 def find_value(names: list[str], source: dict[str, Any]) -> Any:
-    """The value of the first key, in source order and depth first, that is or contains one of the names."""
-    for key, value in source.items():
-        plain = str(key).lower().replace("@", "")
-        if any(n in plain for n in names):
-            if isinstance(value, dict):
-                return next((value[k] for k in NESTED_KEYS if k in value), value)
-            return value
-        below = [value] if isinstance(value, dict) else value if isinstance(value, list) else []
-        for item in below:
-            if isinstance(item, dict) and (found := find_value(names, item)) is not None:
+    """The value of the first key, in source order and depth first, that is or contains one of the names.
+
+    Objects still to be looked through are a stack of item iterators, so nesting of any depth
+    is fine. A null under such a key ends the search of its own object, at the top the search.
+    """
+    open_ = [iter(source.items())]
+    while open_:
+        key, value = next(open_[-1], (None, None))
+        if key is None:
+            open_.pop()
+        elif any(n in key.lower().replace("@", "") for n in names):
+            stands = [value[k] for k in NESTED_KEYS if k in value] if isinstance(value, dict) else []
+            found = stands[0] if stands else value
+            if found is not None or len(open_) == 1:
                 return found
+            open_.pop()
+        else:
+            inner = value if isinstance(value, list) else [value]
+            open_ += [iter(x.items()) for x in reversed(inner) if isinstance(x, dict)]
     return None
 
 

@@ -2,30 +2,57 @@
 
 from __future__ import annotations
 
-import uuid
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
+from siftline import workspace
 
-def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A Parquet table as a stream, be it a folder of files or one file."""
+
+#: Bytes of files in a micro-batch. The stateful forms sort a key's rows of one micro-batch, so this bounds what they hold.
+BATCH_BYTES = 1 << 30
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType, max_bytes: int = BATCH_BYTES) -> DataFrame:
+    """A Parquet table as a stream, be it a folder of files or one file, at most about max_bytes at a time."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    reader = spark.readStream.schema(schema)
+    reader = spark.readStream.schema(schema).option("maxBytesPerTrigger", max_bytes)
     if system.getFileStatus(where).isFile():
         return reader.option("pathGlobFilter", where.getName()).parquet(where.getParent().toString())
     return reader.parquet(path)
 
 
-def tail(spark: SparkSession, path: str, schema: StructType, cursor: int = 0, max_files: int = 100) -> DataFrame:
-    """Progress events with sequence_no after the cursor, as files arrive."""
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files)
-    return reader.parquet(path).where(F.col("sequence_no") > cursor)
+def tail(spark: SparkSession, path: str, schema: StructType, cursor: int = 0, sequence: str = "sequence_no", max_bytes: int = BATCH_BYTES) -> DataFrame:
+    """Progress events whose sequence number is after the cursor, as files arrive."""
+    return read_table(spark, path, schema, max_bytes).where(F.col(sequence) > cursor)
+
+
+def follow(events: DataFrame, path: str, checkpoint: str, ended: Column, poll: str = "500 milliseconds") -> None:
+    """Writes events to path, batch by batch, until a batch holds one that ends the job; that batch is written too.
+
+    Each batch has its own folder below path, written anew if it is repeated, so nothing is
+    there twice.
+    """
+    over = threading.Event()
+
+    def handle(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
+        if not batch.where(ended).isEmpty():
+            over.set()
+
+    query = events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=poll).start()
+    try:
+        while not over.wait(0.1):
+            if query.awaitTermination(0):
+                return
+    finally:
+        query.stop()
 
 
 def numbered(events: DataFrame) -> DataFrame:
@@ -103,12 +130,11 @@ def expiring_leases(leases: DataFrame, delay: str = "0 seconds") -> DataFrame:
     )
 
 
-def run_available(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Process all that is there now and return it as a batch table (for bounded results)."""
-    name = f"stream_{uuid.uuid4().hex}"
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_available(stream: DataFrame) -> DataFrame:
+    """Process all that is there now into a table in the shared folder and return that as a batch table."""
+    path = workspace.work_path(stream.sparkSession, "stream")
+    write_available(stream, f"{path}/data", f"{path}/checkpoint")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/data")
 
 
 def write_available(stream: DataFrame, path: str, checkpoint: str) -> None:
