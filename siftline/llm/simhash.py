@@ -199,6 +199,8 @@ STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 SAMPLES, MINIMA = 16, 5
 #: Rows, and shingles in all, that are compared with each other in one go.
 REST, GROUP_SHINGLES = 1024, 4 << 20
+#: Buckets of up to this many such parts are compared part by part.
+PAIRWISE = 16
 #: Elections in a larger bucket before it is dealt anew.
 ELECTIONS = 3
 #: Finer keys per row when a bucket is dealt anew, minima in each, and how often that may happen.
@@ -487,13 +489,14 @@ def similar_links(features: DataFrame, similarity: float) -> DataFrame:
     """Edges a, b (row ids) of texts at least `similarity` alike, enough to connect what is alike.
 
     All rows that share a bucket are compared, on their full shingle sets. A bucket of one
-    part (REST rows) gives a spanning forest of its links at once. A larger one is mostly one
-    group: every row is compared with the smallest one, rows that are alike to it leave the
-    bucket linked, once they have been compared with those that stay (see _Buckets.across),
-    and the others elect anew. What is still large after ELECTIONS rounds is dealt anew under
-    SPLITS finer keys, of which rows of the similarity share none with probability 0.00001;
-    what is large after SPLIT_DEPTH such deals is compared part by part. So there are at most
-    ELECTIONS * (SPLIT_DEPTH + 1) rounds.
+    part (REST rows) gives a spanning forest of its links at once, one of up to PAIRWISE parts
+    a forest for each two parts. A larger one is mostly one group: every row is compared with
+    the smallest one, rows that are alike to it leave the bucket linked, once they have been
+    compared with those that stay (see _Buckets.across), and the others elect anew. What is
+    still large after ELECTIONS rounds is dealt anew under SPLITS finer keys, of which rows
+    of the similarity share none with probability 0.00001; what is large after SPLIT_DEPTH
+    such deals is compared part by part. So there are at most ELECTIONS * (SPLIT_DEPTH + 1)
+    rounds.
     """
     shared_rows = _sized(features.select("rid", F.size("shingles").alias("size"), F.explode("keys").alias("key")))
     # The rows that share a key are a share of all rows: a shuffled join, at every size.
@@ -502,11 +505,13 @@ def similar_links(features: DataFrame, similarity: float) -> DataFrame:
     found = []
 
     def left_over(rows: DataFrame) -> DataFrame | None:
-        """Works off the buckets of one part; the rows of the others, if there are any."""
-        if not (small := rows.where("parts = 1")).isEmpty():
-            found.append(buckets.within(small))
-        large = rows.where("parts > 1")
-        return None if large.isEmpty() else large
+        """Works off the buckets of up to PAIRWISE parts; the rows of the others, if there are any."""
+        most = rows.agg(F.min("parts"), F.count_if((F.col("parts") > 1) & (F.col("parts") <= PAIRWISE)), F.max("parts")).first()
+        if most[0] == 1:
+            found.append(buckets.within(rows.where("parts = 1")))
+        if most[1]:
+            found.append(buckets.pairwise(rows.where((F.col("parts") > 1) & (F.col("parts") <= PAIRWISE))))
+        return rows.where(F.col("parts") > PAIRWISE) if (most[2] or 0) > PAIRWISE else None
 
     large = left_over(shared_rows)
     for depth in range(SPLIT_DEPTH + 1):

@@ -135,9 +135,10 @@ def shingles(text, k=5):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-@pytest.mark.parametrize("rest", [1024, 3])
-def test_drop_near_copies_is_brute_force(spark, monkeypatch, rest):
+@pytest.mark.parametrize("rest,pairwise", [(1024, 16), (3, 16), (3, 1)])
+def test_drop_near_copies_is_brute_force(spark, monkeypatch, rest, pairwise):
     monkeypatch.setattr(s, "REST", rest)
+    monkeypatch.setattr(s, "PAIRWISE", pairwise)
     rows = corpus()
     docs = spark.createDataFrame([(t, i, 5) for i, t in rows], "text string, doc_id long, rid int").repartition(3)
     sets = [shingles(t) for _, t in rows]
@@ -155,9 +156,11 @@ def test_drop_near_copies_is_brute_force(spark, monkeypatch, rest):
 
 
 @pytest.mark.parametrize("hub", [120])
-def test_links_to_rows_that_leave_a_large_bucket(spark, monkeypatch, hub):
+@pytest.mark.parametrize("pairwise", [16, 1])
+def test_links_to_rows_that_leave_a_large_bucket(spark, monkeypatch, hub, pairwise):
     # One bucket of a hub and over REST copies, each alike to the hub and to no other copy.
     monkeypatch.setattr(s, "REST", 128)
+    monkeypatch.setattr(s, "PAIRWISE", pairwise)
     rng, rows, sets = random.Random(11), [], []
     for c in range(200):
         words = [f"w{i}" for i in range(300)]
@@ -199,10 +202,11 @@ def bucket_of(texts):
     return rows, sets
 
 
-@pytest.mark.parametrize("rest,depth", [(1024, 4), (3, 4), (3, 0), (40, 0)])
-def test_chains_in_one_large_bucket(spark, monkeypatch, rest, depth):
+@pytest.mark.parametrize("rest,depth,pairwise", [(1024, 4, 16), (3, 4, 1), (3, 0, 1), (40, 0, 16)])
+def test_chains_in_one_large_bucket(spark, monkeypatch, rest, depth, pairwise):
     # Chains in which each row is alike to its neighbours only, in one bucket; without finer keys the parts are compared pair by pair.
     monkeypatch.setattr(s, "REST", rest)
+    monkeypatch.setattr(s, "PAIRWISE", pairwise)
     monkeypatch.setattr(s, "SPLIT_DEPTH", depth)
     texts = [[f"c{c}w{w}" for w in range(12 * i, 12 * i + 124)] for c in range(6) for i in range(12)]
     random.Random(4).shuffle(texts)
