@@ -1,20 +1,16 @@
-"""What the training-data operators share: shared work folder, column picking."""
+"""What the training-data operators share: tables in the work folder, hot keys, column picking."""
 
 from __future__ import annotations
 
-import atexit
 import re
-import uuid
-from collections.abc import Iterator
-from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftline import deploy
+from siftline.workspace import discard, materialise, temporary, work_dir, work_path
 
-#: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
-LOCAL_WORK_DIR = "file:///tmp/checkpoints/siftline"
+__all__ = ["discard", "materialise", "temporary", "work_dir", "work_path"]
 
 #: ASCII white space of the contracts, as a Java / Python character class.
 SPACE = r"[\x20\x09-\x0D]"
@@ -23,66 +19,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: Keys with over 1/HOT_KEYS of all rows, and at least HOT_ROWS: there are at most HOT_KEYS of them, so they can be broadcast.
 HOT_ROWS, HOT_KEYS = 10_000, 10_000
 
-_made: list[tuple[SparkSession, str]] = []
-_scopes: list[list[str]] = []
-
-
-def work_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from spark.checkpoint.dir; set here only if unset, and on one machine only."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        base = LOCAL_WORK_DIR
-        spark.conf.set("spark.checkpoint.dir", base)
-        spark.sparkContext.setCheckpointDir(base)
-    return base.rstrip("/")
-
-
-def work_path(spark: SparkSession, tag: str) -> str:
-    """A new folder name below work_dir, removed when the interpreter ends."""
-    path = f"{work_dir(spark)}/siftline/{tag}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def discard(spark: SparkSession, path: str) -> None:
-    """Remove a work folder through Spark's own file system layer."""
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-@atexit.register
-def _discard_all() -> None:
-    for spark, path in _made:
-        try:
-            discard(spark, path)
-        except Exception:  # the JVM may be gone by now
-            return
-
-
-@contextmanager
-def temporary(spark: SparkSession) -> Iterator[None]:
-    """Tables that are materialised inside are removed at the end, but for those to keep."""
-    _scopes.append([])
-    try:
-        yield
-    finally:
-        for path in _scopes.pop():
-            discard(spark, path)
-
-
-def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
-    """Write df once as Parquet in the shared folder and read it back: cuts lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = work_path(spark, tag)
-    if _scopes and not keep:
-        _scopes[-1].append(path)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 #: Rows and bytes in an Arrow batch, at most: texts may be long, and a worker holds a batch or two at once.
 BATCH_ROWS, BATCH_BYTES = 1000, 32 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
