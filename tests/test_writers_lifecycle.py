@@ -224,3 +224,55 @@ def test_leases_expire(spark, tmp_path):
         spark.createDataFrame(batch, kinds).coalesce(1).write.mode("append").parquet(source)
         jobs.write_available(jobs.expiring_leases(jobs.read_table(spark, source, spark.createDataFrame([], kinds).schema)), out, check)
     assert [r.job_id for r in spark.read.parquet(out).collect()] == ["a"]
+
+
+@pytest.mark.parametrize("name", ["csv", "json", "md", "txt"])
+def test_document_lines_are_the_file(spark, name):
+    rows = spark.createDataFrame([(i % 7, f'n{i} "q", | é=\\' if i % 3 else None, i * 1.5) for i in range(40)], "a long, b string, c double")
+    rows = rows.withColumn("k", F.monotonically_increasing_id())
+    for some in (rows, rows.where("a > 100")):
+        fields = ("a", "b", "c", "k")
+        want = writers.render(ds.Dataset(some.orderBy("k"), fields, "run-9", 3, ds.Options(), "T"), name).decode().split("\n")
+        got = writers.document_lines(ds.Dataset(some.repartition(3), fields, "run-9", 3, ds.Options(), "T"), name, ["k"]).orderBy("n").collect()
+        assert [r.n for r in got] == list(range(len(want))) and [r.line for r in got] == want
+
+
+def test_parts_of_an_export(spark):
+    rows = spark.range(25).selectExpr("id as k", "concat('n', id) as name").repartition(4)
+    made = ds.Dataset(rows, ("k", "name"), "run-9", 3, ds.Options())
+    for name in writers.WRITERS:
+        got = writers.render_parts(made, name, ["k"], per_file=10).orderBy("part").collect()
+        assert [(r.part, r.records) for r in got] == [(0, 10), (1, 10), (2, 5)]
+        for r in got:
+            part = ds.Dataset(rows.where(f"k >= {r.part * 10} and k < {r.part * 10 + 10}").orderBy("k"), made.fields, "run-9", 3, ds.Options())
+            assert bytes(r.content) == writers.render(part, name) and r.byte_size == len(r.content)
+
+
+def test_positions(spark):
+    from siftline import workspace
+
+    rows = spark.range(1000).selectExpr("id", "id % 10 as x").repartition(7)
+    got = workspace.positioned(rows, ["x", "id"]).collect()
+    assert [r.id for r in sorted(got, key=lambda r: r.n)] == sorted(range(1000), key=lambda i: (i % 10, i)) and {r.n for r in got} == set(range(1000))
+    assert workspace.positioned(rows.limit(0), ["x"]).collect() == []
+
+
+def test_follow_stops_at_the_end_of_a_job(spark, tmp_path):
+    kinds = "job_id string, sequence_no long, event_type string"
+    source, out, check = (f"{tmp_path}/{n}" for n in ("in", "out", "check"))
+    for i, kind in enumerate(["job_queued", "planning_started", "job_completed"]):
+        spark.createDataFrame([("j", i, kind)], kinds).coalesce(1).write.mode("append").parquet(source)
+    events = jobs.tail(spark, source, spark.createDataFrame([], kinds).schema, cursor=0)
+    jobs.follow(events, out, check, F.col("event_type").isin("job_completed", "job_failed", "job_cancelled"))
+    assert sorted(r.sequence_no for r in spark.read.parquet(out).collect()) == [1, 2]
+
+
+def test_captured_page_record(spark):
+    from siftline.sources import pages
+
+    rows = [(1, ["http://a/", "http://b/", "http://c/"], 200, "text/html; charset=utf-8", "<TITLE lang=x> A\n  b </TITLE><title>z</title>"), (2, None, None, None, None), (3, ["http://a/"], 404, "text/plain", "<p>")]
+    captures = spark.createDataFrame(rows, "page_id long, chain array<string>, status int, content_type string, html string")
+    got = {r.page_id: r for r in pages.navigation_record(captures).collect()}
+    assert (got[1].requested_url, got[1].final_url, got[1].redirect_count, got[1].title) == ("http://a/", "http://c/", 2, "A b")
+    assert (got[2].requested_url, got[2].final_url, got[2].status, got[2].title, got[2].redirect_count) == (None, None, None, None, 0)
+    assert (got[3].status, got[3].content_type, got[3].title, got[3].viewport.width) == (404, "text/plain", None, 1440)
