@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -23,5 +24,6 @@ def ship(spark: SparkSession) -> None:
     with zipfile.ZipFile(name, "w") as z:
         for p in sorted(package.rglob("*.py")):
             z.write(p, str(p.relative_to(package.parent)))
+    atexit.register(Path(name).unlink, missing_ok=True)
     spark.sparkContext.addPyFile(name)
     _shipped.add(app)
