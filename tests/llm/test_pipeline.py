@@ -71,15 +71,15 @@ def test_every_kind_of_row_comes_through(spark, tmp_path):
     rows += [(10 + i, f"Some words about thing number {i} and about what it is, in plain English for a reader. " * 2, "ab"[i % 2], "en") for i in range(40)]
     rows += [(100 + i, f"Ein Satz über das Ding Nummer {i} und darüber, was es ist, auf Deutsch für Leser. " * 2, "ab"[i % 2], "de") for i in range(40)]
     names = "doc_id long, text string, source string, lang string"
-    docs = spark.createDataFrame(rows, names).selectExpr("doc_id", "source", "lang", "text", "1 as _rid", "2 as `_c0`", "3 as fp", "4 as sequence_id", "array(1) as TEXT")
+    docs = spark.createDataFrame(rows, names).selectExpr("doc_id", "source", "lang", "text", "1 as _rid", "2 as `_c0`", "3 as fp", "4 as sequence_id", "array(1) as key")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     packed = cp.run(spark, str(tmp_path)).collect()
     ids = {r.doc_id for r in packed}
     assert {1, 4, None} <= ids and not ids & {2, 3, 5}  # no letter, no language
-    stage = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    stage = written = spark.read.parquet(f"{tmp_path}/documents.parquet")
     for _, f in cp.STAGES[:-1]:
         stage = shared.materialise(f(spark, stage, str(tmp_path)), "edge")
-        assert stage.columns == docs.columns and stage.schema["TEXT"].dataType == docs.schema["TEXT"].dataType
-    assert {(r["_rid"], r["_c0"], r["fp"], r["TEXT"][0]) for r in stage.collect()} == {(1, 2, 3, 1)}
+        assert stage.columns == docs.columns and stage.schema["key"].dataType == written.schema["key"].dataType
+    assert {(r["_rid"], r["_c0"], r["fp"], r["key"][0]) for r in stage.collect()} == {(1, 2, 3, 1)}
     docs.limit(0).write.parquet(f"{tmp_path}/none/documents.parquet")
     assert cp.run(spark, f"{tmp_path}/none").collect() == []
