@@ -48,9 +48,8 @@ def follow(events: DataFrame, path: str, checkpoint: str, ended: Column, poll: s
 
     query = events.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).trigger(processingTime=poll).start()
     try:
-        while not over.wait(0.1):
-            if query.awaitTermination(0):
-                return
+        while not over.is_set() and not query.awaitTermination(0.1):
+            pass
     finally:
         query.stop()
 
