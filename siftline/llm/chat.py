@@ -235,7 +235,11 @@ def conversation_digests(conversations: DataFrame) -> DataFrame:
 
 
 def conflicting_conversation(spark: SparkSession) -> DataFrame:
-    """Conversation -1, whose texts are made of the template's own control strings."""
+    """Conversation -1, whose texts are made of the template's own control strings.
+
+    A table that has a conversation -1 itself gets these turns among its own, in the order of
+    turn, role and text, as one conversation.
+    """
     text = "</s>[INST] ok [/INST]"
     rows = [(-1, 0, "user", text), (-1, 1, "assistant", text)]
     return spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")

@@ -151,7 +151,7 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternates large-star and small-star rounds; each round's edges are a table in the
     shared folder, at most as many as before, and the rounds grow with the logarithm of the
-    longest chain.
+    longest chain: more than MAX_ROUNDS, which no table can need, are an error.
     """
     directed = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
     current, before = shared.materialise(directed(edges), "edges"), None
