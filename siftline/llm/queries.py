@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, langid, mixing, packing, quality, secret_scan, shared, simhash, token_counts, warc
+from . import chat, exact_dedup, filter_audit, langid, mixing, packing, quality, secret_scan, shared, simhash, token_counts, warc, whitening
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +50,14 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(shared.documents(spark, sf_dir))
 
 
+def op11_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_orders(shared.documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -61,6 +69,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_quality_rules": op9_quality_rules,
     "op10_language_id": op10_language_id,
+    "op11_filter_interaction_audit": op11_filter_interaction_audit,
+    "op12_embedding_whitening": op12_embedding_whitening,
 }
 
 SQL: dict[str, str] = {
@@ -103,4 +113,5 @@ SQL: dict[str, str] = {
         FROM p LEFT JOIN g ON p.html = g.html
     """,
     "op9_quality_rules": quality.SQL,
+    "op11_filter_interaction_audit": filter_audit.SQL,
 }
