@@ -35,10 +35,6 @@ LEAST_DISTINCT_PERCENT = 50
 MOST_CAPITALS_PERCENT = 2
 MARKS = b"#$%&*|"
 
-#: Bytes of a text that are split into words at once.
-SLICE = 1 << 20
-
-_SPACES = b" \t\n\x0b\x0c\r"
 _CAPITALS = bytes(range(65, 91))
 _LATER_BYTES = bytes(range(0x80, 0xC0))  # of a code point in UTF-8
 
@@ -53,22 +49,10 @@ _FEATURES = T.StructType(
 COUNTS = ("kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost")
 
 
-def word_slices(text: bytes) -> Iterator[list[bytes]]:
-    """The words of a text, in lists of about SLICE bytes; a word is never cut."""
-    at = 0
-    while at < len(text):
-        end = at + SLICE
-        if end < len(text):
-            ends = [x for x in (text.find(s, end) for s in (b"%c" % c for c in _SPACES)) if x >= 0]
-            end = min(ends, default=len(text))
-        yield text[at:end].split()
-        at = end
-
-
 def failures(text: bytes) -> int:
     """Bits of the filters A to D that a text fails."""
     words, distinct = 0, set()
-    for part in word_slices(text):
+    for part in shared.word_slices(text):
         words += len(part)
         distinct.update(part)
     code_points = len(text.translate(None, _LATER_BYTES))

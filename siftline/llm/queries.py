@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, exact_dedup, filter_audit, langid, mixing, packing, quality, secret_scan, shared, simhash, token_counts, warc, whitening
+from . import chat, exact_dedup, filter_audit, jaccard_join, langid, mixing, packing, quality, secret_scan, shared, simhash, token_counts, warc, whitening
 
 
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +58,10 @@ def op12_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_components(shared.documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_exact_dedup": op2_exact_dedup,
@@ -71,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
     "op11_filter_interaction_audit": op11_filter_interaction_audit,
     "op12_embedding_whitening": op12_embedding_whitening,
+    "op13_ngram_jaccard_join": op13_ngram_jaccard_join,
 }
 
 SQL: dict[str, str] = {
@@ -114,4 +119,5 @@ SQL: dict[str, str] = {
     """,
     "op9_quality_rules": quality.SQL,
     "op11_filter_interaction_audit": filter_audit.SQL,
+    "op13_ngram_jaccard_join": jaccard_join.SQL,
 }

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -78,6 +79,22 @@ def join_skewed(rows: DataFrame, per_key: DataFrame, key: str, rows_of_key: str
     return rows.join(few, key).unionByName(rows.join(few.select(key), key, "left_anti").join(others, key))
 
 
+#: Bytes of a text that are split into words at once.
+SLICE = 1 << 20
+_SPACES = [b"%c" % c for c in b" \t\n\x0b\x0c\r"]
+
+
+def word_slices(text: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, in lists of about SLICE bytes; a word is never cut."""
+    at = 0
+    while at < len(text):
+        end = at + SLICE
+        if end < len(text):
+            end = min((x for x in (text.find(s, end) for s in _SPACES) if x >= 0), default=len(text))
+        yield text[at:end].split()
+        at = end
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path) of a URI in the shared folder, on any executor."""
     from pyarrow import fs
