@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import ipaddress
 import posixpath
+from collections.abc import Callable
 from typing import NamedTuple
 from urllib.parse import quote, unquote, urljoin, urlsplit, urlunsplit
 
@@ -224,10 +225,6 @@ def sitemap_url(source: Column) -> Column:
     return F.when(origin(source).isNotNull(), simple_canonical(F.concat(scheme(source), F.lit("://"), _netloc(source), F.lit("/sitemap.xml"))))
 
 
-#: References of more path segments than this are not resolved.
-MAX_SEGMENTS = 10_000
-
-
 class Base(NamedTuple):
     """What references are resolved against, as columns: computed once per row, however many references it holds."""
 
@@ -247,24 +244,47 @@ class Base(NamedTuple):
         return df.select("*", *[c.alias(n) for c, n in zip(cls.of(url), names)]), cls(*map(F.col, names))
 
 
+def _let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of a value that is computed once, however often f names it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def _walked(path: Column) -> Column:
-    """A rooted path without its "." and ".." segments."""
-    steps = F.split(F.substring(path, 2, 2**31 - 1), "/")
-    up = lambda a: F.slice(a, 1, F.greatest(F.size(a) - 1, F.lit(0)))
-    step = lambda a, x: F.when(x == "..", up(a)).when(x == ".", a).otherwise(F.array_append(a, x))
-    kept = F.aggregate(steps, F.array().cast("array<string>"), step)
+    """A rooted path without its "." and ".." segments, however many.
+
+    What a run of segments does is a number of steps up and the segments that it then goes
+    down. Runs of about the cube root of all segments are walked first, then as many of these
+    joined in order, then those, so that no long array is copied for each segment.
+    """
+    walk = "struct<up: int, down: array<string>>"
+    here = F.struct(F.lit(0).alias("up"), F.array().cast("array<string>").alias("down")).cast(walk)
+    made = lambda up, down: F.struct(up.cast("int").alias("up"), down.alias("down"))
+    fewer = lambda a, n: F.slice(a, 1, F.greatest(F.size(a) - n, F.lit(0)))
+
+    def step(a: Column, x: Column) -> Column:
+        back = F.when(F.size(a["down"]) > 0, 0).otherwise(1)
+        return F.when(x == "..", made(a["up"] + back, fewer(a["down"], F.lit(1)))).when(x == ".", a).otherwise(made(a["up"], F.array_append(a["down"], x)))
+
+    def joined(a: Column, b: Column) -> Column:
+        over = F.greatest(b["up"] - F.size(a["down"]), F.lit(0))
+        return made(a["up"] + over, F.concat(fewer(a["down"], b["up"]), b["down"]))
+
+    def walked(segments: Column) -> Column:
+        length = F.ceil(F.cbrt(F.size(segments))).cast("int")
+        each = lambda a, f: F.transform(F.sequence(F.lit(1), F.size(a), length), lambda i: F.aggregate(F.slice(a, i, length), here, f))
+        return F.aggregate(_let(each(segments, step), lambda runs: each(runs, joined)), here, joined)["down"]
+
+    kept = _let(F.split(F.substring(path, 2, 2**31 - 1), "/"), walked)
     end = F.when(path.rlike(r"/\.\.?$"), "/").otherwise("")
-    walked = F.concat(F.lit("/"), F.array_join(kept, "/"), F.when(F.size(kept) > 0, end).otherwise(""))
-    slashes = F.length(path) - F.length(F.translate(path, "/", ""))
-    return F.when(~F.contains(path, F.lit("/.")), path).when(slashes <= MAX_SEGMENTS, walked)
+    made = _let(kept, lambda a: F.concat(F.lit("/"), F.array_join(a, "/"), F.when(F.size(a) > 0, end).otherwise("")))
+    return F.when(F.contains(path, F.lit("/.")), made).otherwise(path)
 
 
 def join_url(text: Column, base: Column | Base) -> Column:
     """text resolved against base and kept if it is http(s), JVM-side, so that it works inside array functions.
 
     Handles absolute, scheme-relative, rooted, query-only, fragment-only and relative
-    references; "." and ".." segments are taken out of relative and rooted ones. Null where
-    there are more than MAX_SEGMENTS segments with such among them.
+    references; "." and ".." segments are taken out of relative and rooted ones.
     """
     base = base if isinstance(base, Base) else Base.of(base)
     folder = F.regexp_replace(F.coalesce(F.nullif(base.path, F.lit("")), F.lit("/")), r"[^/]*$", "")
@@ -278,4 +298,4 @@ def join_url(text: Column, base: Column | Base) -> Column:
         .when(F.startswith(text, F.lit("#")), F.concat(base.bare, text))
         .otherwise(F.concat(base.root, _walked(rooted), rest))
     )
-    return F.when(made.rlike(r"^https?://"), made)
+    return _let(made, lambda url: F.when(url.rlike(r"^https?://"), url))

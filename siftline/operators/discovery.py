@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from siftline.functions import text as txt
 from siftline.functions import urls
 from siftline.plans.plan import Plan
 from siftline.sources.pages import LINKS
 from siftline.sources.structured import SITEMAP_URLS, sitemap_locations
+from siftline.workspace import work_path
 
 MAX_DEPTH = 2
 MAX_LEVELS = 100
@@ -115,15 +117,26 @@ def inventory(candidates: DataFrame, cap: int, *, job: str, order: list[str], ex
 
 
 def levels(edges: DataFrame, roots: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """url, depth of all pages reached breadth-first over edges (parent, child) from roots (url)."""
+    """url, depth of all pages reached breadth-first over edges (parent, child) from roots (url).
+
+    Each level is written once, as a partition of one table in the work folder, so that it
+    costs a scan of edges, of the last level and of what is reached, whatever the depth. Ends with
+    the first level that is empty.
+    """
     if max_depth > MAX_LEVELS:
         raise ValueError("too many levels")
-    reached = roots.select("url").distinct().withColumn("depth", F.lit(0))
-    frontier = reached
-    for depth in range(1, max_depth + 1):
-        nxt = edges.join(frontier, edges["parent"] == frontier["url"], "left_semi").select(F.col("child").alias("url")).distinct()
-        frontier = nxt.join(reached, "url", "left_anti").withColumn("depth", F.lit(depth))
-        reached = reached.unionByName(frontier)
+    spark = edges.sparkSession
+    table = work_path(spark, "levels")
+    schema = T.StructType([roots.schema["url"], T.StructField("depth", T.IntegerType())])
+    found = roots.select("url").distinct()
+    for depth in range(max_depth + 1):
+        found.write.option("compression", "zstd").parquet(f"{table}/depth={depth}")
+        reached = spark.read.schema(schema).parquet(table)
+        frontier = reached.where(F.col("depth") == depth)
+        if depth == max_depth or frontier.isEmpty():
+            break
+        children = edges.join(frontier, edges["parent"] == frontier["url"], "left_semi").select(F.col("child").alias("url")).distinct()
+        found = children.where("url is not null").join(reached, "url", "left_anti")
     return reached
 
 

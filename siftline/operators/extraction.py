@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from siftline.functions import text as txt
 from siftline.functions import urls, values
 from siftline.plans.plan import Plan, PlanField
-from siftline.sources.structured import entity_values, malformed_count
+from siftline.sources.structured import script_values
 
 STRATEGIES = ("structured_data", "table", "repeated_block", "detail_page")
 EVIDENCE_CHARS = 500
@@ -138,9 +138,8 @@ def extract(parsed: DataFrame, plan: Plan, page_id: str = "page_id", page_url: s
         F.col(page_id).cast("string").alias("page_id"),
         F.col(page_url).alias("page_url"),
         "document",
-        entity_values(plan)(F.col("document.json_ld")).alias("_entities"),
-        malformed_count(F.col("document.json_ld")).alias("malformed_json_ld"),
-    )
+        script_values(plan)(F.col("document.json_ld")).alias("_scripts"),
+    ).select("page_id", "page_url", "document", F.col("_scripts.entities").alias("_entities"), F.col("_scripts.malformed").alias("malformed_json_ld"))
     rows, base = urls.Base.add(rows, F.col("page_url"))
     url, document = F.col("page_url"), F.col("document")
     found = F.concat(

@@ -13,12 +13,13 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from siftline import workspace
 from siftline.deploy import ship
 from siftline.functions import text as txt
 from siftline.functions import urls, values
 from siftline.operators import dataset, discovery, extraction, lifecycle, reads, validation
 from siftline.plans.plan import Limits, Navigation, Plan, PlanField
-from siftline.sinks import writers
+from siftline.sinks import assembly, writers
 from siftline.sources import pages as html_pages
 from siftline.sources.structured import SITEMAP_URLS
 from siftline.streaming import jobs as streams
@@ -895,6 +896,25 @@ def extract_blocks(spark, sf):
     return extraction.extract(_parsed(spark, sf), PAGE_PLAN).groupBy("page_id", "strategy").agg(F.count("*").alias("records"))
 
 
+@query("""
+    SELECT p_partkey AS page_id, 'block' AS kind, 0 AS position, p_brand || ' ' || p_name || ' size ' || p_size AS text FROM part
+    UNION ALL SELECT p_partkey, 'block', 1, p_name FROM part
+    UNION ALL SELECT p_partkey, 'table', 0, 'Brand,Name: ' || p_brand || ' Name ' || p_name || ' of ' || p_size || ',' || p_name || ';' || p_name FROM part
+    UNION ALL SELECT p_partkey, 'table', 1, 'Name: ' || p_name FROM part
+""")
+def nested_structures(spark, sf):
+    """Lists in lists and tables in tables, without the end tags that HTML lets out."""
+    html = F.concat(
+        F.lit("<ul><li>"), "p_brand", F.lit(" <ul><li><b>"), "p_name", F.lit("</b></ul> size "), F.col("p_size").cast("string"), F.lit("</ul><table><tr><th>Brand<tr><td>"),
+        "p_brand", F.lit("<table><tr><th>Name<tr><td>"), "p_name", F.lit("</table> of "), F.col("p_size").cast("string"), F.lit("</table>"),
+    )
+    pages = table(spark, sf, "part").select(F.col("p_partkey").alias("page_id"), F.lit("https://shop.example.com/").alias("url"), html.alias("html"))
+    document = html_pages.parse_pages(pages).select("page_id", "document")
+    cells = F.transform("document.tables", lambda t: F.concat(F.array_join(t["headers"], ","), F.lit(": "), F.array_join(F.transform(t["rows"], lambda r: F.array_join(r, ",")), ";")))
+    of = lambda kind, texts: document.select("page_id", F.lit(kind).alias("kind"), F.posexplode(texts).alias("position", "text"))
+    return of("block", F.col("document.blocks.text")).unionByName(of("table", cells))
+
+
 def _document(spark, sf, **parts):
     empty = {
         "page_text": F.lit(""),
@@ -927,7 +947,8 @@ def extract_tables(spark, sf):
 @query("SELECT p_partkey::VARCHAR AS page_id, 'json_ld[0]' AS location, p_name AS name, p_retailprice AS price, 'https://shop.example.com/p/' || p_partkey AS link FROM part")
 def extract_jsonld(spark, sf):
     text = F.to_json(F.struct(F.lit("Product").alias("@type"), F.col("p_name").alias("name"), F.struct(F.col("p_retailprice").cast("string").alias("price")).alias("offers"), F.col("p_partkey").cast("string").alias("link")))
-    records = extraction.extract(_document(spark, sf, json_ld=F.array(text, F.lit("{broken"))), SHOP_PLAN)
+    nested = F.repeat(F.lit("["), F.lit(100_000))
+    records = extraction.extract(_document(spark, sf, json_ld=F.array(text, F.lit("{broken"), nested)), SHOP_PLAN)
     return extraction.flat(records, SHOP_PLAN, "page_id", "location")
 
 
@@ -1149,12 +1170,70 @@ def export_txt(spark, sf):
     return _part_lines(spark, sf, "txt")
 
 
-@query()
+_FILE_COLUMNS = ("p_partkey", "p_name", "p_size", "p_retailprice")
+
+
+@query(r"""
+    WITH r AS (SELECT *, (row_number() OVER (ORDER BY p_partkey) - 1) // 10000 AS part, row_number() OVER (ORDER BY p_partkey) AS n FROM part), g AS (
+      SELECT part, count(*) AS records,
+        string_agg(p_partkey || ',' || p_name || ',' || p_size || ',' || p_retailprice || chr(10), '' ORDER BY n) AS csv,
+        string_agg('| ' || p_partkey || ' | ' || p_name || ' | ' || p_size || ' | ' || p_retailprice || ' |' || chr(10), '' ORDER BY n) AS md,
+        string_agg('<tr><td>' || p_partkey || '</td><td>' || p_name || '</td><td>' || p_size || '</td><td>' || p_retailprice || '</td></tr>', '' ORDER BY n) AS html,
+        string_agg('    {' || chr(10) || '      "p_partkey": ' || p_partkey || ',' || chr(10) || '      "p_name": "' || p_name || '",' || chr(10) || '      "p_size": ' || p_size
+          || ',' || chr(10) || '      "p_retailprice": ' || p_retailprice || chr(10) || '    }', ',' || chr(10) ORDER BY n) AS json
+      FROM r GROUP BY part
+    ), f AS (
+      SELECT part, records, 'csv' AS format, 'p_partkey,p_name,p_size,p_retailprice' || chr(10) || csv AS content FROM g
+      UNION ALL SELECT part, records, 'md', '# Extraction results' || repeat(chr(10), 2) || '## Summary' || chr(10) || '- Records: ' || records || chr(10) || '- Validation run: run-1' || repeat(chr(10), 2)
+        || '## Records' || repeat(chr(10), 2) || '| p_partkey | p_name | p_size | p_retailprice |' || chr(10) || '|---|---|---|---|' || chr(10) || md FROM g
+      UNION ALL SELECT part, records, 'txt', 'Extraction results' || repeat(chr(10), 2) || 'Summary' || chr(10) || '- Records: ' || records || chr(10) || '- Validation run: run-1' || repeat(chr(10), 2)
+        || 'Records' || repeat(chr(10), 2) || '  p_partkey   p_name   p_size   p_retailprice  ' || chr(10) || ' --- --- --- --- ' || chr(10) || replace(md, '|', ' ') FROM g
+      UNION ALL SELECT part, records, 'html', '<!doctype html><html><head><meta charset=''utf-8''><title>Extraction results</title></head><body><h1>Extraction results</h1><p>Records: ' || records
+        || '</p><table><thead><tr><th>p_partkey</th><th>p_name</th><th>p_size</th><th>p_retailprice</th></tr></thead><tbody>' || html || '</tbody></table></body></html>' FROM g
+      UNION ALL SELECT part, records, 'json', '{' || chr(10) || '  "schema_version": "export.v1",' || chr(10) || '  "format": "json",' || chr(10) || '  "record_count": ' || records || ',' || chr(10)
+        || '  "fields": [' || chr(10) || '    "p_partkey",' || chr(10) || '    "p_name",' || chr(10) || '    "p_size",' || chr(10) || '    "p_retailprice"' || chr(10) || '  ],' || chr(10)
+        || '  "validation_run_id": "run-1",' || chr(10) || '  "plan_version": 1,' || chr(10) || '  "records": [' || chr(10) || json || chr(10) || '  ]' || chr(10) || '}' FROM g
+    )
+    SELECT format, part, records, strlen(content) AS byte_size, 'sha256:' || sha256(content) AS checksum FROM f
+""")
 def export_files(spark, sf):
-    """Number of records, size and checksum of every format's files of the whole table, 10,000 records in each."""
-    made = _parts_dataset(spark, sf, "p_partkey", "p_name", "p_size", "p_retailprice", include_validation_metadata=True)
-    parts = [writers.render_parts(made, n, ["p_partkey"]).select(F.lit(n).alias("format"), "part", "records", "byte_size", "checksum") for n in writers.WRITERS]
-    return reduce(DataFrame.unionByName, parts)
+    """Number of records, size and checksum of the text formats' files of the whole table, 10,000 records in each."""
+    made = _parts_dataset(spark, sf, *_FILE_COLUMNS, include_validation_metadata=True)
+    return writers.render_parts(made, ("csv", "json", "md", "txt", "html"), ["p_partkey"]).drop("content")
+
+
+@query("""
+    WITH r AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, p_partkey || '|' || p_name || '|' || p_size || '|' || p_retailprice AS line FROM part),
+    f AS (SELECT unnest(['xlsx', 'docx']) AS format)
+    SELECT format, i // 10000 AS part, i % 10000 + 1 AS n, line FROM r, f
+    UNION ALL SELECT format, part, 0, 'p_partkey|p_name|p_size|p_retailprice' FROM (SELECT DISTINCT i // 10000 AS part FROM r), f
+    UNION ALL SELECT 'pdf', i // 10000, 2 + i % 10000 + CASE WHEN i % 10000 < 70 THEN 1 ELSE 2 + (i % 10000 - 70) // 75 END, line FROM r
+    UNION ALL SELECT DISTINCT 'pdf', i // 10000, 2 + CASE WHEN i % 10000 < 70 THEN 0 ELSE 71 + (i % 10000 - 70) // 75 * 76 END, 'p_partkey|p_name|p_size|p_retailprice' FROM r
+    UNION ALL SELECT DISTINCT 'pdf', i // 10000, 0, 'Extraction results' FROM r
+    UNION ALL SELECT 'pdf', part, 1, 'Records: ' || records || ' | Validation run: run-1' FROM (SELECT i // 10000 AS part, count(*) AS records FROM r GROUP BY ALL)
+""")
+def export_packed_files(spark, sf):
+    """The packed formats' files of the whole table, 10,000 records in each, read back as lines."""
+    made = _parts_dataset(spark, sf, *_FILE_COLUMNS, include_validation_metadata=True)
+    return assembly.part_lines(writers.render_parts(made, ("xlsx", "docx", "pdf"), ["p_partkey"]))
+
+
+@query("""
+    WITH r AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS i, p_partkey || '|' || p_name || '|' || p_size AS line FROM part),
+    f AS (SELECT unnest(['html', 'xlsx', 'docx']) AS format)
+    SELECT format, i + 1 AS n, line FROM r, f
+    UNION ALL SELECT format, 0, 'p_partkey|p_name|p_size' FROM f
+    UNION ALL SELECT 'pdf', 2 + i + CASE WHEN i < 70 THEN 1 ELSE 2 + (i - 70) // 75 END, line FROM r
+    UNION ALL SELECT DISTINCT 'pdf', 2 + CASE WHEN i < 70 THEN 0 ELSE 71 + (i - 70) // 75 * 76 END, 'p_partkey|p_name|p_size' FROM r
+    UNION ALL SELECT 'pdf', 0, 'Extraction results' UNION ALL SELECT 'pdf', 1, 'Records: ' || count(*) || ' | Validation run: run-1' FROM r
+""")
+def export_whole_files(spark, sf):
+    """One file of each format, put together from parts, read back as lines."""
+    made, folder = _parts_dataset(spark, sf, "p_partkey", "p_name", "p_size"), workspace.work_path(spark, "whole-files")
+    files = {n: f"{folder}/all.{n}" for n in ("html", "xlsx", "docx", "pdf")}
+    for n, uri in files.items():
+        assembly.assemble(made, n, ["p_partkey"], uri)
+    return assembly.file_lines(spark, files)
 
 
 @query("SELECT o_orderkey AS id, 'validated-export-' || left(sha256(o_orderkey::VARCHAR), 8) || '.csv' AS filename FROM orders")

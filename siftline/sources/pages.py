@@ -7,8 +7,12 @@ yields both the anchors for discovery and the document for extraction.
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import accumulate, islice
+from operator import attrgetter
 from urllib.parse import urljoin
 
 import pyarrow as pa
@@ -23,47 +27,105 @@ TEXT_CHARS, ITEMS, LINKS = 200_000, 500, 200
 HREF_CHARS, LABEL_CHARS, REL_CHARS, META_CHARS, BLOCK_CHARS, CELL_CHARS, TITLE_CHARS = 2048, 240, 120, 2000, 4000, 2000, 500
 BLOCK_TAGS = ("article", "li")
 BLOCK_CLASS = re.compile(r"card|product")
+# Elements of HTML.
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 SILENT = {"script", "style", "noscript", "template", "head", "title"}
 BREAKING = {
     "address", "article", "aside", "blockquote", "br", "dd", "div", "dl", "dt", "fieldset", "figure", "footer", "form", "h1", "h2",
     "h3", "h4", "h5", "h6", "header", "hr", "li", "main", "nav", "ol", "p", "pre", "section", "table", "td", "th", "tr", "ul",
 }
-#: Elements that an opening tag of the same kind ends.
-SELF_ENDING = {"li", "p", "tr", "td", "th", "dt", "dd", "option"}
+#: Open elements that an opening tag ends, if they are in its scope.
+ENDS = {
+    "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "a": ("a",), "tr": ("tr",), "td": ("td", "th"), "th": ("td", "th"),
+    "thead": ("thead", "tbody", "tfoot"), "tbody": ("thead", "tbody", "tfoot"), "tfoot": ("thead", "tbody", "tfoot"),
+    **{x: ("p",) for x in BREAKING - {"br", "li", "dt", "dd", "tr", "td", "th"}},
+}
+#: Elements that a tag doesn't reach through: those that hold content of their own, and for items the lists and sections too.
+WALLS = {"table", "td", "th", "caption", "template", "object", "button"}
+ITEM_WALLS = WALLS | {"ul", "ol", "menu", "dl", "article", "section", "aside", "nav", "header", "footer", "main", "figure", "form", "fieldset", "blockquote", "details"}
+ITEMS_OF_LISTS = {"li", "dt", "dd"}
+PARTS_OF_TABLES = {"tr", "td", "th", "thead", "tbody", "tfoot", "caption"}
+
+#: Characters that the cells of a page's tables are cut to in all: tables in tables repeat the inner cells.
+TABLE_CHARS = 2_000_000
 
 _SPACE = re.compile(r"\s+")
 
 
-def _squeezed(parts: list[str]) -> str:
-    return _SPACE.sub(" ", "".join(parts)).strip()
+class _Text:
+    """A text without extra space, cut by places in the text as it was read."""
+
+    def __init__(self, parts: list[str]):
+        read = "".join(parts)
+        self.clean = _SPACE.sub(" ", read)
+        runs = [m.span() for m in _SPACE.finditer(read) if m.end() - m.start() > 1]
+        self.starts = [a for a, _ in runs]
+        self.ends = [b for _, b in runs]
+        self.less = list(accumulate((b - a - 1 for a, b in runs), initial=0))
+
+    def _place(self, at: int) -> int:
+        i = bisect_right(self.starts, at - 1)  # runs that begin before
+        if i and at < self.ends[i - 1]:
+            return self.starts[i - 1] - self.less[i - 1] + 1
+        return at - self.less[i]
+
+    def cut(self, start: int, end: int, most: int) -> str:
+        """The text between two places, without space at its ends, up to a number of characters."""
+        a, b = self._place(start), self._place(end)
+        a += a < b and self.clean[a] == " "
+        b -= a < b and self.clean[b - 1] == " "
+        return self.clean[a : min(b, a + most)]
+
+
+class _Node:
+    """An element: its place in document order, its last descendant's, and where its text begins and ends."""
+
+    __slots__ = ("tag", "have", "at", "last", "start", "end")
+
+    def __init__(self, tag: str, have: dict[str, str], at: int, start: int):
+        self.tag, self.have, self.at, self.last, self.start, self.end = tag, have, at, at, start, start
+
+
+class _Nodes(list):
+    """Nodes in document order."""
+
+    def inside(self, node: _Node) -> Iterator[_Node]:
+        """The nodes among these that are descendants of a node, in order."""
+        i = bisect_right(self, node.at, key=attrgetter("at"))
+        while i < len(self) and self[i].at <= node.last:
+            yield self[i]
+            i += 1
 
 
 class _Page(HTMLParser):
-    """Collects anchors, blocks, tables, JSON-LD, OpenGraph and text while tags go by."""
+    """A page as one text and a flat table of the nodes that matter, each an interval of both.
+
+    Which open element a tag ends is told by the depths of open elements of its kind and of
+    the walls between, so a tag costs what it closes, at any nesting.
+    """
 
     def __init__(self, url: str):
         super().__init__(convert_charrefs=True)
-        self.url, self.stack = url, []
+        self.url, self.stack, self.count = url, [], 0
+        self.depths: dict[str, list[int]] = defaultdict(list)
+        self.walls: list[int] = []
+        self.item_walls: list[int] = []
+        self.silent = self.said = 0
         self.text: list[str] = []
         self.title: list[str] = []
         self.json_ld: list[str] = []
         self.open_graph: dict[str, str] = {}
-        self.anchors: list[dict] = []
-        self.blocks: list[dict] = []
-        self.tables: list[dict] = []
-        self.open_blocks: list[dict] = []
-        self.open_anchor: dict | None = None
-        self.open_table: dict | None = None
-        self.cell: list[str] | None = None
         self.script: list[str] | None = None
+        self.kept = {x: _Nodes() for x in ("anchor", "image", "block", "table", "tr", "td", "th")}
 
     def handle_starttag(self, tag: str, attrs) -> None:
         have = {k: v or "" for k, v in attrs}
-        if tag in SELF_ENDING and tag in self.stack:
-            self._close(tag)
+        for ended in ENDS.get(tag, ()):
+            self._end(ended, tag)
         if tag in BREAKING:
             self._say("\n")
+        node = _Node(tag, have, self.count, self.said)
+        self.count += 1
         if tag == "script":
             self.script = [] if have.get("type", "").strip().lower() == "application/ld+json" else None
         elif tag == "meta":
@@ -71,115 +133,153 @@ class _Page(HTMLParser):
             if name.startswith("og:") and have.get("content"):
                 self.open_graph.setdefault(name[3:], have["content"][:META_CHARS])
         elif tag == "a" and "href" in have:
-            self.open_anchor = {"href": have["href"], "text": [], "rel": have.get("rel", ""), "aria_label": have.get("aria-label", "")}
-            self.anchors.append(self.open_anchor)
-            for b in self.open_blocks:
-                b["href"] = b["href"] or self._absolute(have["href"])
-        elif tag == "img" and have.get("src"):
-            for b in self.open_blocks:
-                b["image_url"] = b["image_url"] or self._absolute(have["src"])
-        elif tag == "table":
-            self.open_table = {"headers": [], "rows": []}
-            self.tables.append(self.open_table)
-        elif tag == "tr" and self.open_table is not None:
-            self.open_table["rows"].append([])
-        elif tag in ("td", "th") and self.open_table is not None:
-            self.cell = []
+            self.kept["anchor"].append(node)
+        elif tag == "img" and "src" in have:
+            self.kept["image"].append(node)
+        elif tag in ("table", "tr", "td", "th"):
+            self.kept[tag].append(node)
+        if tag in BLOCK_TAGS or have.get("role") == "article" or BLOCK_CLASS.search(have.get("class", "")):
+            self.kept["block"].append(node)
         if tag in VOID:
             return
-        block = tag in BLOCK_TAGS or have.get("role") == "article" or BLOCK_CLASS.search(have.get("class", "")) is not None
-        self.stack.append(tag)
-        if block:
-            made = {"tag": tag, "text": [], "href": None, "image_url": None, "depth": len(self.stack)}
-            self.blocks.append(made)
-            self.open_blocks.append(made)
+        depth = len(self.stack)
+        self.stack.append(node)
+        self.depths[tag].append(depth)
+        self.silent += tag in SILENT
+        if tag in WALLS:
+            self.walls.append(depth)
+        if tag in ITEM_WALLS:
+            self.item_walls.append(depth)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
-        self.handle_starttag(tag, attrs)
-        if tag not in VOID:
-            self.handle_endtag(tag)
+        self.handle_starttag(tag, attrs)  # the slash means nothing in HTML
 
     def handle_endtag(self, tag: str) -> None:
-        if tag in self.stack:
-            self._close(tag)
+        self._end(tag, tag)
         if tag in BREAKING:
             self._say("\n")
 
-    def _close(self, tag: str) -> None:
-        while self.stack:
-            top = self.stack.pop()
-            self.open_blocks = [b for b in self.open_blocks if b["depth"] <= len(self.stack)]
-            if top == "a":
-                self.open_anchor = None
-            elif top in ("td", "th") and self.cell is not None and self.open_table is not None:
-                value = _squeezed(self.cell)[:CELL_CHARS]
-                if top == "th":
-                    self.open_table["headers"].append(value)
-                elif self.open_table["rows"]:
-                    self.open_table["rows"][-1].append(value)
-                self.cell = None
-            elif top == "table":
-                self.open_table = None
-            elif top == "script" and self.script is not None:
-                self.json_ld.append("".join(self.script))
-                self.script = None
-            if top == tag:
-                return
+    def _end(self, tag: str, by: str) -> None:
+        """Close the innermost open element of a kind, and what is open in it, unless a wall stands between."""
+        if not self.depths[tag]:
+            return
+        depth = self.depths[tag][-1]
+        if by in PARTS_OF_TABLES:
+            walls = self.depths["table"]
+        else:
+            walls = self.item_walls if by in ITEMS_OF_LISTS else self.walls
+        if tag != "table" and walls and walls[-1] > depth:
+            return
+        while len(self.stack) > depth:
+            self._pop()
+
+    def _pop(self) -> None:
+        node = self.stack.pop()
+        depth = len(self.stack)
+        self.depths[node.tag].pop()
+        self.silent -= node.tag in SILENT
+        for walls in (self.walls, self.item_walls):
+            if walls and walls[-1] == depth:
+                walls.pop()
+        node.last, node.end = self.count - 1, self.said
+        if node.tag == "script" and self.script is not None:
+            self.json_ld.append("".join(self.script))
+            self.script = None
 
     def handle_data(self, data: str) -> None:
         if self.script is not None:
             self.script.append(data)
-        elif self.stack and self.stack[-1] == "title":
+        elif self.stack and self.stack[-1].tag == "title":
             self.title.append(data)
-        elif not SILENT.intersection(self.stack):
+        elif not self.silent:
             self._say(data)
 
     def _say(self, data: str) -> None:
         self.text.append(data)
-        for b in self.open_blocks:
-            b["text"].append(data)
-        if self.open_anchor is not None:
-            self.open_anchor["text"].append(data)
-        if self.cell is not None:
-            self.cell.append(data)
-
-    def _absolute(self, href: str) -> str | None:
+        self.said += len(data)
+
+    def close(self) -> None:
+        super().close()
+        while self.stack:
+            self._pop()
+
+    def absolute(self, href: str) -> str | None:
         try:
             return urljoin(self.url, href)
         except ValueError:
             return None
 
 
+def _tables(page: _Page, text: _Text, items: int) -> tuple[list[dict], bool]:
+    """The page's tables with their header cells and rows, those of tables inside them as well; whether TABLE_CHARS was reached."""
+    left, out = TABLE_CHARS, []
+
+    def cells(kind: str, node: _Node) -> list[str]:
+        nonlocal left
+        found = []
+        for x in islice(page.kept[kind].inside(node), items):
+            found.append(text.cut(x.start, x.end, min(CELL_CHARS, left)))
+            left -= len(found[-1]) + 1
+            if left <= 0:
+                break
+        return found
+
+    for table in page.kept["table"][:items]:
+        if left <= 0:
+            break
+        headers = cells("th", table)
+        if headers:
+            rows = [cells("td", x) for x in islice(page.kept["tr"].inside(table), items) if left > 0]
+            out.append({"headers": headers, "rows": [x for x in rows if x]})
+    return [x for x in out if x["rows"]], left <= 0
+
+
+def _first(page: _Page, kind: str, attribute: str, node: _Node) -> str | None:
+    found = next(page.kept[kind].inside(node), None)
+    return page.absolute(found.have[attribute]) or None if found is not None and found.have[attribute] else None
+
+
 def parse_page(html: str | None, url: str | None, text_chars: int = TEXT_CHARS, items: int = ITEMS, links: int = LINKS) -> dict:
-    """signals, document and title of one page; null html is an empty page."""
+    """signals, document and title of one page; null html is an empty page.
+
+    Blocks and tables may lie in each other; each has all the text that is between its tags.
+    The first `items` of each kind count, `truncated` says if there was more of anything.
+    """
     page = _Page(url or "")
     page.feed(html or "")
     page.close()
-    text = _squeezed(page.text)
+    text = _Text(page.text)
+    whole = text.clean.strip()
     signals = [
         {
-            "href": (page._absolute(a["href"]) or "")[:HREF_CHARS],
-            "text": _squeezed(a["text"])[:LABEL_CHARS],
-            "rel": a["rel"][:REL_CHARS],
-            "aria_label": a["aria_label"][:LABEL_CHARS],
+            "href": (page.absolute(a.have["href"]) or "")[:HREF_CHARS],
+            "text": text.cut(a.start, a.end, LABEL_CHARS),
+            "rel": a.have.get("rel", "")[:REL_CHARS],
+            "aria_label": a.have.get("aria-label", "")[:LABEL_CHARS],
         }
-        for a in page.anchors[:links]
+        for a in page.kept["anchor"][:links]
     ]
-    tables = [{"headers": t["headers"], "rows": [r for r in t["rows"] if r][:items]} for t in page.tables]
     blocks = [
-        {"tag": b["tag"], "text": _squeezed(b["text"])[:BLOCK_CHARS], "href": b["href"], "image_url": b["image_url"]} for b in page.blocks
+        {
+            "tag": b.tag,
+            "text": text.cut(b.start, b.end, BLOCK_CHARS),
+            "href": _first(page, "anchor", "href", b),
+            "image_url": _first(page, "image", "src", b),
+        }
+        for b in page.kept["block"][:items]
     ]
-    blocks = [b for b in blocks if b["text"]]
+    tables, full = _tables(page, text, items)
+    more = any(len(x) > items for x in (page.kept["block"], page.kept["table"], page.json_ld))
     return {
-        "title": _squeezed(page.title)[:TITLE_CHARS],
+        "title": _SPACE.sub(" ", "".join(page.title)).strip()[:TITLE_CHARS],
         "signals": [s for s in signals if s["href"]],
         "document": {
-            "page_text": text[:text_chars],
+            "page_text": whole[:text_chars],
             "json_ld": page.json_ld[:items],
             "open_graph": list(page.open_graph.items())[:items],
-            "tables": [t for t in tables if t["headers"] and t["rows"]][:items],
-            "blocks": blocks[:items],
-            "truncated": len(text) > text_chars or len(blocks) > items or len(page.json_ld) > items,
+            "tables": tables,
+            "blocks": [b for b in blocks if b["text"]],
+            "truncated": len(whole) > text_chars or more or full,
         },
     }
 

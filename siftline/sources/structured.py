@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import xml.etree.ElementTree as ET
+from collections.abc import Iterator
 from typing import Any
 
 import pandas as pd
@@ -16,25 +17,34 @@ from siftline.plans.plan import Plan
 SITEMAP_BYTES, SITEMAP_URLS = 1_048_576, 500
 NESTED_KEYS = ("price", "value", "name", "url")
 
+#: Stands for the value of a script that isn't JSON.
+MALFORMED = object()
 
-def entities(texts: list[str]) -> tuple[list[tuple[str, dict]], int]:
-    """((location, entity) ..., number of malformed texts) of JSON-LD scripts in order."""
-    out: list[tuple[str, dict]] = []
-    bad = 0
-    for i, text in enumerate(texts):
-        try:
-            value = json.loads(text)
-        except ValueError:
-            bad += 1
-            continue
-        place = f"json_ld[{i}]"
-        if isinstance(value, list):
-            out += [(place, x) for x in value if isinstance(x, dict)]
-        elif isinstance(value, dict):
-            graph = value.get("@graph")
-            out += [(f"{place}.@graph", x) for x in graph if isinstance(x, dict)] if isinstance(graph, list) else []
-            out.append((place, value))
-    return out, bad
+
+def _decoded(script: str) -> Any:
+    """The value of a JSON text; MALFORMED if it isn't one or nested beyond what the parser reads."""
+    try:
+        return json.loads(script)
+    except (ValueError, RecursionError):
+        return MALFORMED
+
+
+def _objects(place: str, value: Any) -> Iterator[tuple[str, dict]]:
+    """The entities of one script's value: the objects of a list, or those of an object's graph before the object."""
+    groups = {place: value} if isinstance(value, list) else {}
+    if isinstance(value, dict):
+        groups = {f"{place}.@graph": value.get("@graph"), place: [value]}
+    for where, members in groups.items():
+        for x in members if isinstance(members, list) else ():
+            if isinstance(x, dict):
+                yield where, x
+
+
+def entities(scripts: list[str]) -> tuple[list[tuple[str, dict]], int]:
+    """((location, entity) ..., number of malformed scripts) of a page's JSON-LD scripts in order."""
+    values = [_decoded(x) for x in scripts]
+    found = [x for i, value in enumerate(values) for x in _objects(f"json_ld[{i}]", value)]
+    return found, sum(value is MALFORMED for value in values)
 
 
 def find_value(names: list[str], source: dict[str, Any]) -> Any:
@@ -61,44 +71,50 @@ def find_value(names: list[str], source: dict[str, Any]) -> Any:
 
 
 def _raw(value: Any) -> str | None:
-    return None if value is None else value if isinstance(value, str) else str(value)
-
-
-ENTITY_TYPE = T.ArrayType(
-    T.StructType(
-        [
-            T.StructField("location", T.StringType()),
-            T.StructField("raws", T.ArrayType(T.StringType())),
-            T.StructField("text", T.StringType()),
-            T.StructField("url", T.StringType()),
-        ]
-    )
+    """The text of a value; null if it is nested too deeply to be written."""
+    try:
+        return None if value is None else value if isinstance(value, str) else str(value)
+    except RecursionError:
+        return None
+
+
+SCRIPTS_TYPE = T.StructType(
+    [
+        T.StructField(
+            "entities",
+            T.ArrayType(
+                T.StructType(
+                    [
+                        T.StructField("location", T.StringType()),
+                        T.StructField("raws", T.ArrayType(T.StringType())),
+                        T.StructField("text", T.StringType()),
+                        T.StructField("url", T.StringType()),
+                    ]
+                )
+            ),
+        ),
+        T.StructField("malformed", T.IntegerType()),
+    ]
 )
 
 
-def entity_values(plan: Plan):
-    """Arrow UDF: JSON-LD texts to one struct per entity with the plan fields' raw values in plan order."""
+def script_values(plan: Plan):
+    """Arrow UDF: a page's JSON-LD scripts to its entities, with the plan fields' raw values in plan order, and the number of malformed scripts."""
     names = [f.names() for f in plan.fields]
 
-    @F.pandas_udf(ENTITY_TYPE)
-    def values(json_ld: pd.Series) -> pd.Series:
-        out = []
-        for texts in json_ld:
-            found = entities(list(texts))[0] if texts is not None and len(texts) else []
-            out.append(
-                [
-                    {"location": place, "raws": [_raw(find_value(n, e)) for n in names], "text": _raw(e.get("text")), "url": _raw(e.get("url"))}
-                    for place, e in found
-                ]
-            )
-        return pd.Series(out, dtype=object)
-
-    return values
+    def one(scripts) -> dict:
+        found, malformed = entities([] if scripts is None else list(scripts))
+        made = [
+            {"location": place, "raws": [_raw(find_value(n, e)) for n in names], "text": _raw(e.get("text")), "url": _raw(e.get("url"))}
+            for place, e in found
+        ]
+        return {"entities": made, "malformed": malformed}
 
+    @F.pandas_udf(SCRIPTS_TYPE)
+    def values(json_ld: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([one(x) for x in json_ld], columns=SCRIPTS_TYPE.names)
 
-@F.pandas_udf(T.IntegerType())
-def malformed_count(json_ld: pd.Series) -> pd.Series:
-    return pd.Series([0 if t is None else entities(list(t))[1] for t in json_ld])
+    return values
 
 
 def locations(xml: str | None, max_bytes: int = SITEMAP_BYTES, max_urls: int = SITEMAP_URLS) -> list[str]:

@@ -10,6 +10,7 @@ from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Used only where spark.checkpoint.dir is unset, as in tests on one machine.
 LOCAL_WORK_DIR = "file:///tmp/checkpoints/siftline"
@@ -64,6 +65,30 @@ def temporary(spark: SparkSession) -> Iterator[None]:
             discard(spark, path)
 
 
+@contextmanager
+def session_conf(spark: SparkSession, **values: str) -> Iterator[None]:
+    """The session with some settings (dots as double underscores) for the jobs that run inside."""
+    names = {k.replace("__", "."): v for k, v in values.items()}
+    before = {k: spark.conf.get(k, None) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def filesystem(uri: str):
+    """(pyarrow file system, path) of a URI, on any executor."""
+    from pyarrow import fs
+
+    if uri.startswith("file:") or "://" not in uri:
+        return fs.LocalFileSystem(), "/" + uri.removeprefix("file:").lstrip("/")
+    # The Hadoop connectors' names of the same stores.
+    return fs.FileSystem.from_uri(re.sub(r"^(s3)[an]://|^(abfs)s://", lambda m: f"{m[1] or m[2]}://", uri))
+
+
 def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     """Write df once as Parquet in the shared folder and read it back."""
     spark = df.sparkSession
@@ -82,7 +107,10 @@ def positioned(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     their own.
     """
     part, at = f"{name}_part", f"{name}_at"
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    # Rows that are equal in `order` but not in all may be many: a hash parts them.
+    plain = [F.col(f"`{f.name}`") for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    keys = [*order, F.xxhash64(*plain)]
+    placed = df.repartitionByRange(*keys).sortWithinPartitions(*keys)
     within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
     placed = materialise(placed.select("*", F.spark_partition_id().alias(part), within.alias(at)), "positioned", keep=True)
     before, base = 0, []

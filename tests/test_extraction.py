@@ -183,3 +183,28 @@ def test_levels(spark):
     edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("b", "a")], "parent string, child string")
     got = {r.url: r.depth for r in discovery.levels(edges, spark.createDataFrame([("a",)], "url string"), 2).collect()}
     assert got == {"a": 0, "b": 1, "c": 2}
+
+
+def test_levels_of_a_long_chain(spark):
+    edges = spark.createDataFrame([(str(i), str(i + 1)) for i in range(60)] + [("3", None)], "parent string, child string")
+    roots = spark.createDataFrame([("0",), ("0",)], "url string")
+    reached = discovery.levels(edges, roots, 30)
+    assert {r.url: r.depth for r in reached.collect()} == {str(i): i for i in range(31)}
+    assert reached._jdf.queryExecution().executedPlan().toString().count("Scan parquet") == 1
+    ended = discovery.levels(edges.where("parent < '2'"), roots, 100)
+    assert {r.url: r.depth for r in ended.collect()} == {"0": 0, "1": 1, "2": 2}
+
+
+def test_deeply_nested_json_ld_is_malformed(spark):
+    import json
+
+    from siftline.sources.structured import entities
+
+    deep = "[" * 100_000
+    closed = '{"name":' * 50_000 + "1" + "}" * 50_000
+    found, malformed = entities([deep, '{"name": "a"}', closed, "{x", '[{"name": "b"}, 3, [{"name": "c"}]]', '{"@graph": [{"name": "d"}, 4], "name": "e"}', '"text"', "null"])
+    assert [(place, e["name"]) for place, e in found] == [("json_ld[1]", "a"), ("json_ld[4]", "b"), ("json_ld[5].@graph", "d"), ("json_ld[5]", "e")] and malformed == 3
+    html = f'<script type="application/ld+json">{deep}</script><script type="application/ld+json">{json.dumps({"title": "kept", "name": "kept"})}</script>'
+    pages = spark.createDataFrame([(1, "https://e.com/", html)], "page_id long, url string, html string")
+    record = extraction.extract(parse_pages(pages), PLAN).first()
+    assert record.malformed_json_ld == 1 and record.strategy == "structured_data"
