@@ -47,9 +47,10 @@ KEYWORDS = {
     "-----begin ": "pem",
 }
 
-#: A text may be one long run of keywords. How far a failed match also settles the keywords that follow it:
-#: those of the same run of token characters end at the same place and go on in the same way.
-_SETTLES = {"jwt": re.compile(r"[A-Za-z0-9_-]*")}
+#: A text may be one long run of keywords. How far a failed match that began as written also settles the keywords that
+#: follow it: those of the same run of token characters end at the same place and go on in the same way. In another case
+#: a keyword begins no match and settles nothing.
+_SETTLES = {"jwt": re.compile(r"eyJ[A-Za-z0-9_-]*")}
 
 _HEX_CLASS = bytes(104 if chr(c) in "0123456789abcdef" else 46 for c in range(256))
 _HEX_RUN = b"h" * HEX_CHARS
@@ -68,9 +69,10 @@ def base62_crc32(text: str) -> str:
 
 
 def _jwt_header(part: str) -> bool:
+    """Whether the part is a JSON object in base64; one nested beyond what the JSON parser reads isn't a header."""
     try:
         return isinstance(json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4))), dict)
-    except ValueError:
+    except (ValueError, RecursionError):
         return False
 
 
@@ -120,8 +122,8 @@ def find_spans(text: str | None) -> list[Span]:
             after[kind] = m.end()
             if accepts(m):
                 found.append((kind, start, m.end()))
-        elif kind in _SETTLES:
-            after[kind] = _SETTLES[kind].match(text, start).end()
+        elif kind in _SETTLES and (run := _SETTLES[kind].match(text, start)):
+            after[kind] = run.end()
     classes = raw.translate(_HEX_CLASS)
     at, chars, counted = classes.find(_HEX_RUN), 0, 0
     while at >= 0:
