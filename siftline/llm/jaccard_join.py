@@ -8,17 +8,8 @@ it may be. Every alike pair shares a key, and sets that share one are alike on a
 share of their shingles: neither common words nor passages that many texts share bring
 documents together. Sets that are linked by shared keys form blocks.
 
-How they are searched. A block's sets, each shipped once, become inverted lists. A set is a
-query with the least overlap T that a partner of any size needs; DivideSkip leaves out the L
-longest lists, merges the short ones on a heap, skipping what can't reach T - L occurrences,
-and probes the long lists for the candidates that do by binary search. What is found is
-checked exactly, leaves the lists and is a query in turn: a spanning forest of all links,
-never the pairs.
-
-A block of more than one part is dealt. Its parts are searched alone first; then the sets
-with the most links of some parts are queries in all parts; then all sets that aren't in the block's largest
-component yet are. Two sets that are in different components can't both be in the largest
-one, so no link between components is lost.
+How they are searched. A block's sets, each shipped once, become inverted lists that are
+searched by T-occurrence with DivideSkip, in parts where they are many: see linking.
 
 Equal sets are one class from the start, whatever their number. Sets are told apart by 128
 bits of digest; shingles are 64-bit hashes.
@@ -26,33 +17,24 @@ bits of digest; shingles are 64-bit hashes.
 
 from __future__ import annotations
 
-import heapq
-from bisect import bisect_left
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from functools import partial, reduce
-from math import log2
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shared
-from .simhash import components
+from .linking import block_links, components
 
 SHINGLE, PERCENT = 3, 90
 SEED = 42
 #: The largest size of a band over its smallest: wide bands have longer segmentations, narrow ones more.
 BAND = 1.3
-#: DivideSkip's weight of a probe against a merge.
-PROBE_WEIGHT = 0.0085
-#: Entries of the short lists up to which a heap merges them; more are merged as sorted runs.
-HEAP_ENTRIES = 4096
 #: Rows and shingles of a part of a block.
 PART_ROWS, PART_SHINGLES = 4096, 4 << 20
-#: Parts whose best-linked set is a query in all parts of its block.
-HUBS = 8
 #: Row ids that are broadcast to read their texts; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 #: Words whose hash a task keeps.
@@ -136,8 +118,7 @@ _SETS = T.StructType(
         T.StructField("keys", T.ArrayType(T.LongType())),
     ]
 )
-_TEXT_SETS = T.StructType([*_SETS.fields[1:4], T.StructField("shingles", T.BinaryType())])
-_EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+_TEXT_SETS = T.StructType([*_SETS.fields[1:4], T.StructField("shingles", T.ArrayType(T.LongType()))])
 
 
 def _hashed(batch: pa.RecordBatch, column: int, held: _Words, shingle: int) -> Iterator[tuple[np.ndarray, int, int]]:
@@ -167,206 +148,12 @@ def _sets(batches: Iterator[pa.RecordBatch], shingle: int, percent: int) -> Iter
 def _text_sets(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
     held = _Words()
     for batch in batches:
-        rows = [(len(h), d1, d2, h.tobytes()) for h, d1, d2 in _hashed(batch, 0, held, shingle)]
+        rows = [(len(h), d1, d2, h.view(np.int64)) for h, d1, d2 in _hashed(batch, 0, held, shingle)]
         columns = zip(*rows) if rows else ((), (), (), ())
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _ARROW_TEXT_SETS)], _TEXT_SETS.names)
 
 
-_ARROW_TEXT_SETS = [pa.field("n", pa.int64()), pa.field("d1", pa.int64()), pa.field("d2", pa.int64()), pa.field("shingles", pa.binary())]
-
-
-def merged(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entries that at least `least` of some sorted lists hold, and in how many they are.
-
-    A heap of the lists' heads. If the smallest head is in too few lists, the least - 1
-    smallest heads are popped and their lists skip to the next head: what lies between
-    can't be in enough lists.
-    """
-    lists = [x for x in lists if len(x)]
-    if len(lists) < least:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    if sum(map(len, lists)) > HEAP_ENTRIES:
-        found, counts = np.unique(np.concatenate(lists), return_counts=True)
-        return found[counts >= least], counts[counts >= least]
-    own = [x.tolist() for x in lists]
-    at = [0] * len(own)
-    heap = [(x[0], i) for i, x in enumerate(own)]
-    heapq.heapify(heap)
-    found, counts = [], []
-    while len(heap) >= least:
-        smallest, popped = heap[0][0], []
-        while heap and heap[0][0] == smallest:
-            popped.append(heapq.heappop(heap)[1])
-        if len(popped) >= least:
-            found.append(smallest)
-            counts.append(len(popped))
-            target = smallest + 1
-        else:
-            while len(popped) < least - 1:
-                popped.append(heapq.heappop(heap)[1])
-            target = heap[0][0]
-        for i in popped:
-            at[i] = bisect_left(own[i], target, at[i])
-            if at[i] < len(own[i]):
-                heapq.heappush(heap, (own[i][at[i]], i))
-    return np.array(found, np.int64), np.array(counts, np.int64)
-
-
-def divide_skip(lists: list[np.ndarray], least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Entries that at least `least` of some sorted lists hold, and in how many they are: the longest lists are only probed."""
-    lists = sorted((x for x in lists if len(x)), key=len)
-    if len(lists) < least:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    long = min(least - 1, int(least / (PROBE_WEIGHT * log2(len(lists[-1]) + 1) + 1)))
-    found, counts = merged(lists[: len(lists) - long], least - long)
-    for left, x in zip(range(long, 0, -1), lists[len(lists) - long :]):
-        may = counts + left >= least
-        found, counts = found[may], counts[may]
-        if not len(found):
-            break
-        at = np.searchsorted(x, found)
-        at[at == len(x)] = 0
-        counts = counts + (x[at] == found)
-    return found[counts >= least], counts[counts >= least]
-
-
-class InvertedLists:
-    """Inverted lists of some sets; rows are in the order of their sizes, so that the sizes that may be alike are a range of rows."""
-
-    def __init__(self, sets: list[np.ndarray], percent: int):
-        self.percent = percent
-        self.order = np.argsort([len(x) for x in sets], kind="stable")
-        self.sizes = np.array([len(sets[i]) for i in self.order], np.int64)
-        flat = np.concatenate([sets[i] for i in self.order])
-        by = np.argsort(flat, kind="stable")
-        self.rows = np.repeat(np.arange(len(sets)), self.sizes)[by]
-        self.shingles, self.starts = np.unique(flat[by], return_index=True)
-        self.ends = np.append(self.starts[1:], len(flat))
-
-    def alike(self, own: np.ndarray, open_: np.ndarray) -> np.ndarray:
-        """Positions (in the list of sets) of the open ones that are alike to the set `own`."""
-        least = -(-self.percent * len(own) // 100)
-        a = np.searchsorted(self.sizes, least)
-        b = np.searchsorted(self.sizes, len(own) * 100 // self.percent, "right")
-        if not open_[self.order[a:b]].any():
-            return np.empty(0, np.int64)
-        at = np.searchsorted(self.shingles, own)
-        at[at == len(self.shingles)] = 0
-        at = at[self.shingles[at] == own]
-        lists = [self.rows[i:j] for i, j in zip(self.starts[at].tolist(), self.ends[at].tolist())]
-        if a > 0 or b < len(self.sizes):
-            lists = [x[np.searchsorted(x, a) : np.searchsorted(x, b)] if len(x) > 1 or not a <= x[0] < b else x for x in lists]
-        found, overlap = divide_skip(lists, least)
-        enough = 100 * overlap >= self.percent * (len(own) + self.sizes[found] - overlap)
-        where = self.order[found[enough]]
-        return where[open_[where]]
-
-
-def forest(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """(query, found) links that connect all alike sets: a found set leaves the lists and is a query in turn."""
-    here, links, todo = np.arange(len(sets)), [], []
-    lists, open_ = InvertedLists(sets, percent), np.ones(len(sets), bool)
-    for start in range(len(sets)):
-        todo = [start] if open_[start] else []
-        open_[start] = False
-        while todo:
-            left = open_[here]
-            if 2 * left.sum() < len(here):  # lists of what is left
-                here = here[left]
-                if not len(here):
-                    break
-                lists = InvertedLists([sets[i] for i in here], percent)
-                left = open_[here]
-            query = todo.pop()
-            for i in here[lists.alike(sets[query], left)].tolist():
-                open_[i] = False
-                links.append((query, i))
-                todo.append(i)
-    return links
-
-
-def _rows_of(members: pa.Scalar) -> tuple[pa.StructArray, list[np.ndarray]]:
-    rows = members.values
-    return rows, [np.frombuffer(x, np.uint64) for x in rows.field("shingles").to_pylist()]
-
-
-def _numbers(rows: pa.StructArray, name: str) -> np.ndarray:
-    return rows.field(name).to_numpy(zero_copy_only=False)
-
-
-def _pairs(a, b) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], _EDGES.names)
-
-
-def _within(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the links inside each group."""
-    for batch in batches:
-        for members in batch.column(0):
-            rows, sets = _rows_of(members)
-            ids = _numbers(rows, "cid").tolist()
-            links = forest(sets, percent)
-            yield _pairs([ids[q] for q, _ in links], [ids[f] for _, f in links])
-
-
-def _across(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """For each query of a group a link to every other component (as far as known) that holds an alike set of the group's part."""
-    for batch in batches:
-        for members in batch.column(0):
-            rows, sets = _rows_of(members)
-            ids, component, asks = (_numbers(rows, c) for c in ("cid", "component", "asks"))
-            part, queries = np.flatnonzero(~asks), np.flatnonzero(asks)
-            if not len(part) or not len(queries):
-                continue
-            lists, a, b = InvertedLists([sets[i] for i in part], percent), [], []
-            for q in queries:
-                found = part[lists.alike(sets[q], component[part] != component[q])]
-                for i in found[np.unique(component[found], return_index=True)[1]]:
-                    a.append(ids[q])
-                    b.append(ids[i])
-            yield _pairs(a, b)
-
-
-def _searched(members: DataFrame, sets: DataFrame, group: list[str], f: Callable, percent: int) -> DataFrame:
-    """Links from members (group columns, cid, ...) of each group, with their sets."""
-    carried = [c for c in members.columns if c not in group]
-    gathered = members.join(sets, "cid").groupBy(*group).agg(F.collect_list(F.struct(*carried, "shingles")).alias("members"))
-    return shared.materialise(gathered.select("members").mapInArrow(partial(f, percent=percent), _EDGES), "links")
-
-
-def _grown(blocks: DataFrame, links: list[DataFrame]) -> DataFrame:
-    """blocks with each set's component by the links so far."""
-    found = components(reduce(DataFrame.unionByName, links))
-    return shared.materialise(
-        blocks.join(found, blocks["cid"] == found["node"], "left").select(blocks["*"], F.coalesce("root", "cid").alias("component")), "grown"
-    )
-
-
-def block_links(blocks: DataFrame, sets: DataFrame, percent: int = PERCENT) -> list[DataFrame]:
-    """Links (a, b: cids) that connect all alike sets of each block; blocks: block, cid, n; sets: cid, shingles."""
-    parts: Column = F.ceil(F.greatest(F.count("*") / PART_ROWS, F.sum("n") / PART_SHINGLES)).cast("int")
-    per = shared.materialise(blocks.groupBy("block").agg(F.count("*").alias("n"), parts.alias("parts")), "blocks")
-    dealt = shared.join_skewed(blocks.select("block", "cid"), per, "block")
-    dealt = shared.materialise(dealt.select("block", "cid", "parts", F.pmod(F.xxhash64("cid"), "parts").cast("int").alias("part")), "dealt")
-    links = [_searched(dealt.select("block", "part", "cid"), sets, ["block", "part"], _within, percent)]
-    large = dealt.where("parts > 1")
-    if large.isEmpty():
-        return links
-
-    def ask(queries: DataFrame, grown: DataFrame) -> DataFrame:
-        everywhere = queries.select("block", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), "cid", "component", F.lit(True).alias("asks"))
-        members = grown.select("block", "part", "cid", "component", F.lit(False).alias("asks")).unionByName(everywhere)
-        return _searched(members, sets, ["block", "part"], _across, percent)
-
-    # A copy that isn't alike to other copies is alike to what it was copied from: that one has many links.
-    degrees = links[0].groupBy(F.col("a").alias("cid")).agg(F.count("*").alias("degree"))
-    best = large.where(F.col("part") < HUBS).join(degrees, "cid").groupBy("block", "part").agg(F.max(F.struct("degree", "cid"))["cid"].alias("cid"))
-    grown = _grown(large, links)
-    links.append(ask(grown.join(best.select("cid"), "cid", "left_semi"), grown))
-    grown = _grown(large, links)
-    most = grown.groupBy("block", "component").agg(F.count("*").alias("n")).groupBy("block").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.sum("n").alias("n"))
-    outside = shared.join_skewed(grown, shared.materialise(most, "largest"), "block").where("component <> largest")
-    links.append(ask(outside, grown))
-    return links
+_ARROW_TEXT_SETS = [pa.field("n", pa.int64()), pa.field("d1", pa.int64()), pa.field("d2", pa.int64()), pa.field("shingles", pa.list_(pa.int64()))]
 
 
 def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -399,7 +186,7 @@ def jaccard_components(docs: DataFrame, shingle: int = SHINGLE, percent: int = P
         texts = rows.join(ids, rows["doc_id"].eqNullSafe(ids["wanted"]), "left_semi").select("text")
         sets = texts.mapInArrow(partial(_text_sets, shingle=shingle), _TEXT_SETS).join(blocks.select(*digests, "cid"), digests)
         sets = shared.materialise(sets.groupBy("cid").agg(F.first("shingles").alias("shingles")), "sets")
-        found = components(reduce(DataFrame.unionByName, block_links(blocks.select("block", "cid", "n"), sets, percent)))
+        found = components(reduce(DataFrame.unionByName, block_links(blocks.select("block", "cid", "n"), sets, percent, PART_ROWS, PART_SHINGLES)))
         rooted = blocks.join(found, blocks["cid"] == found["node"]).select(*digests, "first", "root")
         lowest = shared.materialise(rooted.groupBy("root").agg(F.min("first").alias("component")), "lowest")
         member = rooted.join(lowest, "root").select(*digests, "component")

@@ -34,6 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import shared
+from .linking import EDGES, block_links, components, forest_links
 
 BITS = 64
 RADIUS = 2
@@ -43,7 +44,6 @@ SEED = 42
 BUCKET = 128
 #: Shingles hashed at once.
 CHUNK = 200_000
-MAX_ROUNDS = 60
 
 _BIT = 1 << np.arange(64, dtype=np.uint64)
 
@@ -86,7 +86,6 @@ def _signed(x: int) -> int:
 
 
 _PRINTS = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType())])
-_EDGES = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 def _fingerprints(batches: Iterator[pa.RecordBatch], shingle: int) -> Iterator[pa.RecordBatch]:
@@ -121,7 +120,7 @@ def _forest(batches: Iterator[pa.RecordBatch], radius: int) -> Iterator[pa.Recor
                         found.append((int(own[j]), int(own[start])))
                         todo.append(j)
         a, b = zip(*found) if found else ((), ())
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], _EDGES.names)
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], EDGES.names)
 
 
 def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataFrame:
@@ -135,7 +134,7 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
     held = shared.materialise(keyed.groupBy("t", "key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     together = keyed.join(held.where(F.col("n") <= bucket), ["t", "key"])
     small = (
-        together.groupBy("t", "key").agg(F.collect_list("fp").alias("members")).select("members").mapInArrow(partial(_forest, radius=radius), _EDGES)
+        together.groupBy("t", "key").agg(F.collect_list("fp").alias("members")).select("members").mapInArrow(partial(_forest, radius=radius), EDGES)
     )
     # Points near the fingerprints of large buckets; those that share a point are linked to its smallest.
     large = keyed.join(held.where(F.col("n") > bucket), ["t", "key"], "left_semi").select("fp").distinct()
@@ -146,31 +145,6 @@ def links(nodes: DataFrame, radius: int = RADIUS, bucket: int = BUCKET) -> DataF
     return small.unionByName(stars.where("a <> b"))
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, root: the smallest node of each connected component, for all nodes that have an edge.
-
-    Alternates large-star and small-star rounds; each round's edges are a table in the
-    shared folder, at most as many as before, and the rounds grow with the logarithm of the
-    longest chain: more than MAX_ROUNDS, which no table can need, are an error.
-    """
-    directed = lambda df: df.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct()
-    current, before = shared.materialise(directed(edges), "edges"), None
-    for _ in range(MAX_ROUNDS):
-        both = current.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(current.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        low = shared.materialise(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m")), "low")
-        large = shared.materialise(both.where("v > u").join(low, "u").select(F.col("v").alias("a"), F.col("m").alias("b")).where("a <> b").distinct(), "large-star")
-        low = shared.materialise(large.groupBy("a").agg(F.min("b").alias("m")), "low")
-        moved = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        current = shared.materialise(moved.unionByName(low.select("a", F.col("m").alias("b"))).distinct(), "small-star")
-        state = tuple(current.agg(F.count("*"), F.sum(F.hash("a", "b").cast("long")), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before:
-            return current.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(
-                current.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
-            )
-        before = state
-    raise RuntimeError("components did not settle")
-
-
 def near_copies(docs: DataFrame, radius: int = RADIUS, shingle: int = SHINGLE, bucket: int = BUCKET) -> DataFrame:
     """One row per document: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable).
 
@@ -199,20 +173,12 @@ STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 SAMPLES, MINIMA = 16, 5
 #: Rows, and shingles in all, that are compared with each other in one go.
 REST, GROUP_SHINGLES = 1024, 4 << 20
-#: Buckets of up to this many such parts are compared part by part.
-PAIRWISE = 16
-#: Elections in a larger bucket before it is dealt anew.
-ELECTIONS = 3
-#: Finer keys per row when a bucket is dealt anew, minima in each, and how often that may happen.
-SPLITS, SPLIT_MINIMA, SPLIT_DEPTH = 16, 3, 4
-
 _SALT = np.random.default_rng(SEED).integers(1, 1 << 63, (2, SAMPLES * MINIMA), dtype=np.uint64)
 _FEATURES = T.StructType(
     [
         T.StructField("rid", T.LongType()),
         T.StructField("doc_id", T.LongType()),
         T.StructField("keys", T.ArrayType(T.LongType())),
-        T.StructField("minima", T.ArrayType(T.IntegerType())),
         T.StructField("shingles", T.ArrayType(T.IntegerType())),
     ]
 )
@@ -250,145 +216,22 @@ def bucket_keys(hashes: np.ndarray, table_masks: list[int]) -> tuple[list[int],
 
 def _features(batches: Iterator[pa.RecordBatch], shingle: int, table_masks: list[int]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, samples, sets = [], [], []
+        keys, sets = [], []
         for text in batch.column(2):
             h = shingle_hashes(text.as_py(), shingle)
-            own, low = bucket_keys(h, table_masks)
-            keys.append(own)
-            samples.append(low)
+            keys.append(bucket_keys(h, table_masks)[0])
             sets.append(np.unique((h >> np.uint64(32)).astype(np.uint32)).view(np.int32))
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column(0),
                 batch.column(1),
                 pa.array(keys, pa.list_(pa.int64())),
-                pa.array(samples, pa.list_(pa.int32())),
                 pa.array(sets, pa.list_(pa.int32())),
             ],
             _FEATURES.names,
         )
 
 
-class _Sets:
-    """Shingle sets of some rows, smallest first and laid end to end, to be compared whole with one set at a time."""
-
-    def __init__(self, rids: np.ndarray, flat: np.ndarray, lengths: np.ndarray, similarity: float):
-        order = np.argsort(lengths, kind="stable")
-        starts = np.cumsum(lengths) - lengths
-        self.flat = np.concatenate([flat[:0], *(flat[starts[i] : starts[i] + lengths[i]] for i in order)])
-        self.rids, self.size, self.similarity = rids[order], lengths[order], similarity
-        self.start = np.cumsum(self.size) - self.size
-
-    def set(self, i: int) -> np.ndarray:
-        return self.flat[self.start[i] : self.start[i] + self.size[i]]
-
-    def like(self, own: np.ndarray, mark: np.ndarray) -> np.ndarray:
-        """Positions of the rows that are alike to the set `own`; `mark` is a zero for each shingle."""
-        # Sets that are alike differ in size by no more than the similarity.
-        a = int(np.searchsorted(self.size, int(len(own) * self.similarity), "left"))
-        b = int(np.searchsorted(self.size, int(len(own) / self.similarity) + 1, "right"))
-        if a == b:
-            return np.empty(0, np.int64)
-        mark[own] = 1
-        end = self.start[b - 1] + self.size[b - 1]
-        both = np.add.reduceat(mark[self.flat[self.start[a] : end]], self.start[a:b] - self.start[a])
-        mark[own] = 0
-        return a + np.flatnonzero(both >= (len(own) + self.size[a:b] - both) * self.similarity)
-
-    def without(self, gone: np.ndarray) -> "_Sets":
-        stay = np.ones(len(self.size), bool)
-        stay[gone] = False
-        return _Sets(self.rids[stay], self.flat[np.repeat(stay, self.size)], self.size[stay], self.similarity)
-
-
-def _coded(members: pa.Scalar) -> tuple[pa.StructArray, np.ndarray, np.ndarray, np.ndarray]:
-    """Rows of one group, their shingles coded from 0 and laid end to end, sizes, and a zero for each code."""
-    rows = members.values
-    shingles = rows.field("shingles")
-    codes, flat = np.unique(shingles.flatten().to_numpy(zero_copy_only=False), return_inverse=True)
-    return rows, flat, shingles.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64), np.zeros(len(codes), np.int32)
-
-
-def _field(rows: pa.StructArray, name: str) -> np.ndarray:
-    return rows.field(name).to_numpy(zero_copy_only=False)
-
-
-def _edges(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    a, b = zip(*found) if found else ((), ())
-    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], _EDGES.names)
-
-
-def _group_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the links between each group's rows, by their full shingle sets: what is linked leaves, and is compared with the rest."""
-    for batch in batches:
-        found: list[tuple[int, int]] = []
-        for members in batch.column(0):
-            rows, flat, sizes, mark = _coded(members)
-            rest, todo = _Sets(_field(rows, "rid"), flat, sizes, similarity), []
-            while todo or len(rest.rids) > 1:
-                if not todo:
-                    todo.append((rest.rids[0], rest.set(0)))
-                    rest = rest.without(np.array([0]))
-                rid, own = todo.pop()
-                like = rest.like(own, mark)
-                if len(like):
-                    todo += [(rest.rids[i], rest.set(i)) for i in like]
-                    found += [(int(rest.rids[i]), int(rid)) for i in like]
-                    rest = rest.without(like)
-                if not len(rest.rids):
-                    break
-        yield _edges(found)
-
-
-_COMPARED = T.StructType(
-    [
-        T.StructField("a", T.LongType()),
-        T.StructField("b", T.LongType()),
-        T.StructField("size", T.IntegerType()),
-        T.StructField("linked", T.BooleanType()),
-        T.StructField("distance", T.DoubleType()),
-    ]
-)
-
-
-def _head_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """Each group's rows compared with its head."""
-    for batch in batches:
-        for head, members in zip(batch.column(0).to_pylist(), batch.column(1)):
-            rows, flat, sizes, mark = _coded(members)
-            rids = _field(rows, "rid")
-            at = int(np.flatnonzero(rids == head)[0])
-            starts = np.cumsum(sizes) - sizes
-            mark[flat[starts[at] : starts[at] + sizes[at]]] = 1
-            both = np.add.reduceat(mark[flat], starts)
-            either = sizes[at] + sizes - both
-            others = np.arange(len(rids)) != at
-            columns = [rids, np.full(len(rids), head), sizes.astype(np.int32), both >= either * similarity, 1 - both / either]
-            yield pa.RecordBatch.from_arrays([pa.array(c[others]) for c in columns], _COMPARED.names)
-
-
-def _across_links(batches: Iterator[pa.RecordBatch], similarity: float) -> Iterator[pa.RecordBatch]:
-    """For each group a link of every row that isn't linked to the head to one that is, if there is one."""
-    for batch in batches:
-        found: list[tuple[int, int]] = []
-        for members in batch.column(0):
-            rows, flat, sizes, mark = _coded(members)
-            rids, linked = _field(rows, "rid"), _field(rows, "linked")
-            of = np.repeat(linked, sizes)
-            inner = _Sets(rids[linked], flat[of], sizes[linked], similarity)
-            outer = _Sets(rids[~linked], flat[~of], sizes[~linked], similarity)
-            if len(outer.rids) < len(inner.rids):
-                for i in range(len(outer.rids)):
-                    found += [(int(outer.rids[i]), int(inner.rids[j])) for j in inner.like(outer.set(i), mark)[:1]]
-                continue
-            for i in range(len(inner.rids)):
-                like = outer.like(inner.set(i), mark)
-                if len(like):
-                    found += [(int(x), int(inner.rids[i])) for x in outer.rids[like]]
-                    outer = outer.without(like)
-        yield _edges(found)
-
-
 def _parts(rows: str, shingles: str) -> Column:
     """The number of groups of about REST rows and GROUP_SHINGLES shingles at most."""
     return F.ceil(F.greatest(F.col(rows) / REST, F.col(shingles) / GROUP_SHINGLES)).cast("int")
@@ -401,132 +244,29 @@ def _sized(keyed: DataFrame) -> DataFrame:
     return shared.materialise(shared.join_skewed(keyed, per, "key").select("rid", "size", "key", "parts"), "bucketed")
 
 
-def _finer(rows: DataFrame, depth: int) -> DataFrame:
-    """Each row (rid, size, key, minima) under SPLITS finer keys: its key with some further minima."""
-    size = SAMPLES * MINIMA
-    at = [[(SPLIT_MINIMA * j + 7 * depth + i) % size for i in range(SPLIT_MINIMA)] for j in range(SPLITS)]
-    keys = [F.xxhash64(F.col("key"), F.lit(j + SPLITS * depth), *[F.get("minima", F.lit(i)) for i in x]) for j, x in enumerate(at)]
-    return rows.select("rid", "size", F.explode(F.array(*keys)).alias("key"))
-
-
-class _Buckets:
-    """Comparisons of rows that share a bucket, by their shingle sets in `sets` (rid, minima, shingles)."""
-
-    def __init__(self, sets: DataFrame, similarity: float):
-        self.sets, self.similarity = sets, similarity
-
-    def gathered(self, members: DataFrame, *group: str) -> DataFrame:
-        """The rows of members (group columns, rid, ...) with their sets, one row per group."""
-        rows = members.join(self.sets.select("rid", "shingles"), "rid")
-        carried = [c for c in members.columns if c not in group]
-        return rows.groupBy(*group).agg(F.collect_list(F.struct(*carried, "shingles")).alias("members"))
-
-    def compared(self, groups: DataFrame, f, schema: T.StructType, tag: str) -> DataFrame:
-        return shared.materialise(groups.mapInArrow(partial(f, similarity=self.similarity), schema), tag)
-
-    def within(self, rows: DataFrame) -> DataFrame:
-        """Links within buckets of one part; buckets of the same rows count once."""
-        same = rows.groupBy("key").agg(F.sort_array(F.collect_list("rid")).alias("rids")).select("rids").distinct()
-        groups = shared.materialise(same.withColumn("group", F.monotonically_increasing_id()), "groups")
-        members = self.gathered(groups.select("group", F.explode("rids").alias("rid")), "group")
-        return self.compared(members.select("members"), _group_links, _EDGES, "forest")
-
-    def pairwise(self, rows: DataFrame) -> DataFrame:
-        """Links within buckets of any number of parts: each part with itself and with each other part."""
-        own = F.pmod(F.xxhash64("rid"), F.col("parts")).cast("int")
-        dealt = rows.select("key", "rid", own.alias("i"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("j"))
-        dealt = dealt.select("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), "rid")
-        return self.compared(self.gathered(dealt, "key", "i", "j").select("members"), _group_links, _EDGES, "forest")
-
-    def elect(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Each row's bucket, head (its smallest row) and size; and all rows compared with their heads."""
-        heads = shared.materialise(rows.groupBy("key").agg(F.min("rid").alias("b"), F.count("*").alias("n")), "heads")
-        pairs = shared.join_skewed(rows.select("key", "rid", "size"), heads, "key").where("rid <> b")
-        pairs = shared.materialise(pairs.select("key", F.col("rid").alias("a"), "b", "size"), "pairs")
-        once = pairs.select("a", "b", "size").distinct()
-        per = once.groupBy("b").agg(F.count("*").alias("n"), F.sum("size").alias("shingles"))
-        per = shared.materialise(per.select("b", "n", _parts("n", "shingles").alias("parts")), "stars")
-        part = F.pmod(F.xxhash64("a"), F.col("parts")).cast("int")
-        others = shared.join_skewed(once, per, "b").select("b", part.alias("part"), F.col("a").alias("rid"))
-        members = others.unionByName(per.select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.col("b").alias("rid")))
-        stars = self.gathered(members, "b", "part").select("b", "members")
-        return pairs, self.compared(stars, _head_links, _COMPARED, "checked")
-
-    def across(self, checked: DataFrame) -> DataFrame | None:
-        """Links between rows that are alike to a head and rows that aren't; both sides meet part by part.
-
-        1 - similarity is a metric, so only rows within twice the allowed distance of the head
-        can be alike to one that leaves with it, and only to one that leaves from far enough.
-        """
-        reach = 1 - self.similarity + 1e-9
-        linked, distance = F.col("linked"), F.col("distance")
-        bounds = checked.groupBy("b").agg(
-            F.max(F.when(linked, distance)).alias("far"), F.min(F.when(~linked, distance)).alias("near"), F.count("*").alias("n")
-        ).where(F.col("near") <= F.col("far") + reach)
-        bounds = shared.materialise(bounds, "bounds")
-        within_reach = F.when(linked, distance >= F.col("near") - reach).otherwise(distance <= F.col("far") + reach)
-        sides = shared.join_skewed(checked, bounds, "b").where(within_reach).select("b", F.col("a").alias("rid"), "size", "linked")
-        sides = shared.materialise(sides, "sides")
-        if sides.isEmpty():
-            return None
-        sums = [
-            F.sum(F.when(x, y).otherwise(0)).alias(n + what)
-            for x, n in ((linked, "inner"), (~linked, "outer"))
-            for y, what in ((F.lit(1), ""), (F.col("size"), "_shingles"))
-        ]
-        parts = [F.greatest(F.lit(1), _parts(n, n + "_shingles")).alias(n) for n in ("inner", "outer")]
-        blocks = shared.materialise(sides.groupBy("b").agg(F.count("*").alias("n"), *sums).select("b", "n", *parts), "blocks")
-        own, other = (F.when(linked, F.col(x)).otherwise(F.col(y)) for x, y in (("inner", "outer"), ("outer", "inner")))
-        dealt = shared.join_skewed(sides, blocks, "b").select(
-            "b", "rid", "linked", F.pmod(F.xxhash64("rid"), own).cast("int").alias("at"), F.explode(F.sequence(F.lit(0), other - 1)).alias("to")
-        )
-        i, j = (F.when(linked, F.col(x)).otherwise(F.col(y)) for x, y in (("at", "to"), ("to", "at")))
-        members = self.gathered(dealt.select("b", i.alias("i"), j.alias("j"), "rid", "linked"), "b", "i", "j")
-        return self.compared(members.select("members"), _across_links, _EDGES, "across")
+def _within(rows: DataFrame, sets: DataFrame, percent: float) -> DataFrame:
+    """Links within buckets of one part; buckets of the same rows count once."""
+    same = rows.groupBy("key").agg(F.sort_array(F.collect_list("rid")).alias("rids")).select("rids").distinct()
+    groups = shared.materialise(same.withColumn("block", F.monotonically_increasing_id()), "groups")
+    return forest_links(groups.select("block", F.explode("rids").alias("cid")), sets, ["block"], percent)
 
 
 def similar_links(features: DataFrame, similarity: float) -> DataFrame:
     """Edges a, b (row ids) of texts at least `similarity` alike, enough to connect what is alike.
 
-    All rows that share a bucket are compared, on their full shingle sets. A bucket of one
-    part (REST rows) gives a spanning forest of its links at once, one of up to PAIRWISE parts
-    a forest for each two parts. A larger one is mostly one group: every row is compared with
-    the smallest one, rows that are alike to it leave the bucket linked, once they have been
-    compared with those that stay (see _Buckets.across), and the others elect anew. What is
-    still large after ELECTIONS rounds is dealt anew under SPLITS finer keys, of which rows
-    of the similarity share none with probability 0.00001; what is large after SPLIT_DEPTH
-    such deals is compared part by part. So there are at most ELECTIONS * (SPLIT_DEPTH + 1)
-    rounds.
+    All rows that share a bucket are compared, on their sets of 32-bit shingle hashes: buckets of
+    one part (REST rows) whole, larger ones part by part as far as the links so far leave
+    anything to tell (see linking.block_links). Nothing that shares a bucket is left out.
     """
     shared_rows = _sized(features.select("rid", F.size("shingles").alias("size"), F.explode("keys").alias("key")))
     # The rows that share a key are a share of all rows: a shuffled join, at every size.
-    sets = features.select("rid", "minima", "shingles").join(shared_rows.select("rid").distinct().hint("merge"), "rid", "left_semi")
-    buckets = _Buckets(shared.materialise(sets, "sets"), similarity)
-    found = []
-
-    def left_over(rows: DataFrame) -> DataFrame | None:
-        """Works off the buckets of up to PAIRWISE parts; the rows of the others, if there are any."""
-        most = rows.agg(F.min("parts"), F.count_if((F.col("parts") > 1) & (F.col("parts") <= PAIRWISE)), F.max("parts")).first()
-        if most[0] == 1:
-            found.append(buckets.within(rows.where("parts = 1")))
-        if most[1]:
-            found.append(buckets.pairwise(rows.where((F.col("parts") > 1) & (F.col("parts") <= PAIRWISE))))
-        return rows.where(F.col("parts") > PAIRWISE) if (most[2] or 0) > PAIRWISE else None
-
-    large = left_over(shared_rows)
-    for depth in range(SPLIT_DEPTH + 1):
-        for _ in range(ELECTIONS):
-            if large is None:
-                break
-            pairs, checked = buckets.elect(large)
-            found += [checked.where("linked").select("a", "b"), *filter(None, [buckets.across(checked)])]
-            stay = pairs.join(checked.where("not linked"), ["a", "b"], "left_semi")
-            large = left_over(_sized(stay.select(F.col("a").alias("rid"), "size", "key")))
-        if large is not None and depth < SPLIT_DEPTH:
-            large = left_over(_sized(_finer(large.join(buckets.sets.select("rid", "minima"), "rid"), depth + 1)))
-    if large is not None:
-        found.append(buckets.pairwise(large))
-    return reduce(DataFrame.unionByName, found, features.sparkSession.createDataFrame([], _EDGES))
+    sets = features.select(F.col("rid").alias("cid"), "shingles").join(shared_rows.select(F.col("rid").alias("cid")).distinct().hint("merge"), "cid", "left_semi")
+    sets, percent = shared.materialise(sets, "sets"), round(similarity * 100, 9)
+    found = [_within(shared_rows.where("parts = 1"), sets, percent)]
+    large = shared_rows.where("parts > 1")
+    if not large.isEmpty():
+        found = block_links(large.select(F.col("key").alias("block"), F.col("rid").alias("cid"), F.col("size").alias("n")), sets, percent, REST, GROUP_SHINGLES, tuple(found))
+    return reduce(DataFrame.unionByName, found)
 
 
 def drop_near_copies(docs: DataFrame, similarity: float = STAGE_SIMILARITY, shingle: int = STAGE_SHINGLE) -> DataFrame:

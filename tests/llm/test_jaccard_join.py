@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from siftline.llm import jaccard_join as j
-from siftline.llm import shared
+from siftline.llm import linking, shared
 
 
 def plain_set(text, k=3):
@@ -89,27 +89,27 @@ def test_bands_bound_the_difference():
 
 @pytest.mark.parametrize("entries", [0, 4096])
 def test_divide_skip_counts_occurrences(monkeypatch, entries):
-    monkeypatch.setattr(j, "HEAP_ENTRIES", entries)
+    monkeypatch.setattr(linking, "HEAP_ENTRIES", entries)
     rng = random.Random(2)
     for _ in range(400):
         lists = [np.array(sorted(rng.sample(range(30), rng.randint(0, 20))), np.int64) for _ in range(rng.randint(1, 9))]
         counts = np.bincount(np.concatenate(lists), minlength=30)
         for least in range(1, 11):
-            for search in (j.merged, j.divide_skip):
-                found, of = search(lists, least)
+            lengths, held = np.array([len(x) for x in lists]), lambda which, found: np.array([np.isin(found, lists[i]) for i in which])
+            for found, of in (linking.merged(lists, least), linking.divide_skip(lengths, lists.__getitem__, held, least)):
                 assert found.tolist() == np.flatnonzero(counts >= least).tolist() and of.tolist() == counts[counts >= least].tolist()
 
 
 @pytest.mark.parametrize("entries", [0, 4096])
 def test_inverted_lists_find_what_is_alike(monkeypatch, entries):
-    monkeypatch.setattr(j, "HEAP_ENTRIES", entries)
+    monkeypatch.setattr(linking, "HEAP_ENTRIES", entries)
     held = j._Words()
     texts = [t for t in corpus(random.Random(4), 40)]
     sets, hashes = [plain_set(t) for t in texts], [j.shingle_set(t.encode(), held) for t in texts]
-    lists = j.InvertedLists(hashes, 90)
+    lists = linking.InvertedLists(hashes, 90)
     for q in range(len(texts)):
         assert set(lists.alike(hashes[q], np.ones(len(texts), bool)).tolist()) == {i for i in range(len(texts)) if alike(sets[q], sets[i])}
-    links = j.forest(hashes, 90)
+    links = linking.forest(hashes, 90)
     assert all(alike(sets[a], sets[b]) for a, b in links) and len({b for _, b in links}) == len(links)
 
 

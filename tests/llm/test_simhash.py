@@ -135,10 +135,9 @@ def shingles(text, k=5):
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
 
 
-@pytest.mark.parametrize("rest,pairwise", [(1024, 16), (3, 16), (3, 1)])
-def test_drop_near_copies_is_brute_force(spark, monkeypatch, rest, pairwise):
+@pytest.mark.parametrize("rest", [1024, 3])
+def test_drop_near_copies_is_brute_force(spark, monkeypatch, rest):
     monkeypatch.setattr(s, "REST", rest)
-    monkeypatch.setattr(s, "PAIRWISE", pairwise)
     rows = corpus()
     docs = spark.createDataFrame([(t, i, 5) for i, t in rows], "text string, doc_id long, rid int").repartition(3)
     sets = [shingles(t) for _, t in rows]
@@ -156,20 +155,17 @@ def test_drop_near_copies_is_brute_force(spark, monkeypatch, rest, pairwise):
 
 
 @pytest.mark.parametrize("hub", [120])
-@pytest.mark.parametrize("pairwise", [16, 1])
-def test_links_to_rows_that_leave_a_large_bucket(spark, monkeypatch, hub, pairwise):
+def test_links_to_rows_that_leave_a_large_bucket(spark, monkeypatch, hub):
     # One bucket of a hub and over REST copies, each alike to the hub and to no other copy.
     monkeypatch.setattr(s, "REST", 128)
-    monkeypatch.setattr(s, "PAIRWISE", pairwise)
     rng, rows, sets = random.Random(11), [], []
     for c in range(200):
         words = [f"w{i}" for i in range(300)]
         for e in range(6 if c != hub else 0):
             words[50 * e + 5 + rng.randrange(40)] = f"c{c}e{e}"
         hashes = s.shingle_hashes(" ".join(words), 5)
-        _, minima = s.bucket_keys(hashes, s.masks(2))
         sets.append(set((hashes >> np.uint64(32)).tolist()))
-        rows.append((c, c, [7], minima.tolist(), np.unique((hashes >> np.uint64(32)).astype(np.uint32)).view(np.int32).tolist()))
+        rows.append((c, c, [7], np.unique((hashes >> np.uint64(32)).astype(np.uint32)).view(np.int32).tolist()))
     pairs = [(a, b) for a, b in combinations(range(200), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
     assert set(pairs) == {(min(hub, c), max(hub, c)) for c in range(200) if c != hub}
     found = s.similar_links(spark.createDataFrame(rows, s._FEATURES).repartition(3), 0.8)
@@ -195,19 +191,16 @@ def bucket_of(texts):
     rows, sets = [], []
     for i, words in enumerate(texts):
         hashes = s.shingle_hashes(" ".join(words), 5)
-        _, minima = s.bucket_keys(hashes, s.masks(2))
         own = np.unique((hashes >> np.uint64(32)).astype(np.uint32)).view(np.int32)
         sets.append(set(own.tolist()))
-        rows.append((i, i, [7], minima.tolist(), own.tolist()))
+        rows.append((i, i, [7], own.tolist()))
     return rows, sets
 
 
-@pytest.mark.parametrize("rest,depth,pairwise", [(1024, 4, 16), (3, 4, 1), (3, 0, 1), (40, 0, 16)])
-def test_chains_in_one_large_bucket(spark, monkeypatch, rest, depth, pairwise):
-    # Chains in which each row is alike to its neighbours only, in one bucket; without finer keys the parts are compared pair by pair.
+@pytest.mark.parametrize("rest", [1024, 3, 40])
+def test_chains_in_one_large_bucket(spark, monkeypatch, rest):
+    # Chains in which each row is alike to its neighbours only, in one bucket.
     monkeypatch.setattr(s, "REST", rest)
-    monkeypatch.setattr(s, "PAIRWISE", pairwise)
-    monkeypatch.setattr(s, "SPLIT_DEPTH", depth)
     texts = [[f"c{c}w{w}" for w in range(12 * i, 12 * i + 124)] for c in range(6) for i in range(12)]
     random.Random(4).shuffle(texts)
     rows, sets = bucket_of(texts)
@@ -237,3 +230,27 @@ def test_hot_fingerprints_and_keys(spark, monkeypatch):
     assert len(plain) == len({i for i, _ in rows}) and all(plain[5000 + i].component_id == 5000 for i in range(60))
     kept = [r.doc_id for r in s.drop_near_copies(docs).collect()]
     assert [i for i in kept if i is not None and i >= 5000] == [5000]
+
+
+def test_a_large_bucket_of_two_groups_ships_each_set_a_few_times(spark, monkeypatch):
+    """50,000 rows in one bucket, in 25 parts: two groups whose members are alike to their group only."""
+    from siftline.llm import linking
+
+    monkeypatch.setattr(s, "REST", 2000)
+    rng, rows = np.random.default_rng(9), []
+    bases = [rng.integers(0, 1 << 30, 20), rng.integers(0, 1 << 30, 20)]
+    for i in range(50_000):
+        own = bases[i % 2].copy()
+        own[rng.integers(0, 20)] = i
+        rows.append((i, i, [7], sorted({int(x) for x in own})))
+    shipped = []
+
+    def counted(members, sets, group, f, percent, plain=linking._searched):
+        shipped.append(members.count())
+        return plain(members, sets, group, f, percent)
+
+    monkeypatch.setattr(linking, "_searched", counted)
+    found = {r.node: r.root for r in s.components(s.similar_links(spark.createDataFrame(rows, s._FEATURES).repartition(8), 0.8)).collect()}
+    assert len(found) == 50_000 and len(set(found.values())) == 2 and all(found[i] == found[i % 2] for i in range(50_000))
+    # Once with its part, once with the hubs, once for the rest: the smaller group's elements lie in no other component.
+    assert sum(shipped) <= 3 * 50_000 + linking.HUBS * 25 + 5_000
