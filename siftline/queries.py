@@ -23,6 +23,7 @@ from siftline.sinks import assembly, writers
 from siftline.sources import pages as html_pages
 from siftline.sources.structured import SITEMAP_URLS
 from siftline.streaming import jobs as streams
+from siftline.streaming import leases
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -1296,3 +1297,67 @@ def stream_tail(spark, sf):
     kinds = table(spark, sf, "events").schema
     rows = streams.tail(spark, f"{sf}/events.parquet", kinds, cursor=100, sequence="event_id")
     return streams.run_available(rows.select(F.col("event_id").alias("id"), F.col("user_id").alias("job_id")))
+
+
+def _supervised_sql(action: str, lease: int, most: int, base: int, longest: int) -> str:
+    """The rows of leases.supervised over events, whose actions and leases (seconds) are told by their type."""
+    wait = lambda a: f"(least({longest}, {base} * pow(2, {a} - 1)) * 1000000)::BIGINT"
+
+    def settled(passed: str) -> str:
+        lapsed = f"(r.waits = 'LEASE' AND r.until {passed})"
+        return f"""
+          CASE WHEN {lapsed} AND r.attempt + 1 > {most} THEN 0 WHEN {lapsed} THEN r.attempt + 1 ELSE r.attempt END AS a,
+          CASE WHEN {lapsed} AND r.attempt + 1 > {most} THEN 'JOB_FAILED' WHEN {lapsed} AND r.until + {wait("r.attempt + 1")} {passed} THEN 'RETRY_DUE'
+            WHEN r.waits = 'BACKOFF' AND r.until {passed} THEN 'RETRY_DUE' END AS event,
+          CASE WHEN {lapsed} THEN r.attempt + 1 ELSE r.attempt END AS event_attempt,
+          CASE WHEN {lapsed} AND r.attempt + 1 <= {most} THEN r.until + {wait("r.attempt + 1")} ELSE r.until END AS event_at"""
+
+    return f"""
+    WITH RECURSIVE e AS (
+      SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY t, id) AS n
+      FROM (SELECT event_id AS id, user_id AS job_id, epoch_us(ts) AS t, {action} AS action FROM events) WHERE action IS NOT NULL
+    ), r AS (
+      SELECT job_id, 0::BIGINT AS n, 0 AS attempt, NULL::VARCHAR AS waits, 0::BIGINT AS until, NULL::VARCHAR AS event, 0 AS event_attempt, 0::BIGINT AS event_at, NULL::VARCHAR AS ended, 0 AS ended_attempt, 0::BIGINT AS t
+      FROM e WHERE n = 1
+      UNION ALL
+      SELECT job_id, n, CASE WHEN action IN ('DONE', 'ABORT') OR action = 'FAIL' AND a + 1 > {most} THEN 0 WHEN action = 'FAIL' THEN a + 1 ELSE a END,
+        CASE WHEN action IN ('CLAIM', 'RENEW') THEN 'LEASE' WHEN action = 'FAIL' AND a + 1 <= {most} THEN 'BACKOFF' END,
+        CASE WHEN action IN ('CLAIM', 'RENEW') THEN t + {lease}000000 ELSE t + {wait("a + 1")} END, event, event_attempt, event_at,
+        CASE WHEN action = 'ABORT' OR action = 'FAIL' AND a + 1 > {most} THEN 'JOB_FAILED' END, a + 1, t
+      FROM (SELECT e.*, {settled("< e.t")} FROM r JOIN e ON e.job_id = r.job_id AND e.n = r.n + 1)
+    ), last AS (
+      SELECT r.job_id, {settled("<= (SELECT max(t) // 1000 * 1000 FROM e)")} FROM r JOIN (SELECT job_id, max(n) AS n FROM r GROUP BY job_id) m ON m.job_id = r.job_id AND m.n = r.n
+    )
+    SELECT job_id, event, event_attempt::INTEGER AS attempt, event_at AS at_micros FROM r WHERE event IS NOT NULL
+    UNION ALL SELECT job_id, ended, ended_attempt, t FROM r WHERE ended IS NOT NULL
+    UNION ALL SELECT job_id, event, event_attempt, event_at FROM last WHERE event IS NOT NULL
+    """
+
+
+def _supervised(spark, sf, actions: dict[str, str], lease: int, most: int, base: int, longest: int):
+    rows = _stream(spark, sf).withColumn("action", lifecycle.lookup(F.col("event_type"), actions)).where("action is not null")
+    until = F.when(F.col("action").isin("CLAIM", "RENEW"), F.col("occurred_at") + F.make_interval(secs=F.lit(lease)))
+    rows = rows.select("job_id", "id", F.col("occurred_at").alias("at"), "action", until.alias("lease_until"))
+    with workspace.session_conf(spark, spark__sql__streaming__stateStore__providerClass=leases.STORE):
+        made = streams.run_available(leases.supervised(rows, most, base, longest))
+    return made.select("job_id", "event", "attempt", F.unix_micros("at").alias("at_micros"))
+
+
+_LEASES = ({"signup": "CLAIM", "click": "RENEW", "purchase": "DONE"}, 21_600, 3, 3600, 14_400)
+_RETRIES = ({"signup": "CLAIM", "error": "FAIL", "view": "ABORT", "purchase": "DONE"}, 10_000_000, 2, 7200, 10_800)
+
+
+def _action_sql(actions: dict[str, str]) -> str:
+    return "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in actions.items()) + " END"
+
+
+@query(_supervised_sql(_action_sql(_LEASES[0]), *_LEASES[1:]))
+def stream_leases(spark, sf):
+    """Leases that lapse: the attempts that are due after them, and jobs that have none left."""
+    return _supervised(spark, sf, *_LEASES)
+
+
+@query(_supervised_sql(_action_sql(_RETRIES[0]), *_RETRIES[1:]))
+def stream_retries(spark, sf):
+    """Attempts that fail, to be repeated or not, while leases are long."""
+    return _supervised(spark, sf, *_RETRIES)

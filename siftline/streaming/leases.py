@@ -127,7 +127,7 @@ def supervised(
     Input: job_id, id, at (event time), action (one of ACTIONS; FAIL may be repeated, ABORT may not),
     lease_until (of CLAIM and RENEW). `held` (job_id, attempt, lease_until) are leases that were
     open before the stream began. A claim before its backoff is over stands; a job that has ended
-    begins anew with its next event. Needs the RocksDB state store (see with_store).
+    begins anew with its next event. An event at or before the watermark is late and dropped. Needs the RocksDB state store (STORE).
     """
     chosen = actions.select("job_id", "id", "at", "action", "lease_until").withWatermark("at", delay)
     kind = chosen.schema["job_id"].dataType.simpleString()
