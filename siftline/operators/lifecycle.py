@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftline.functions.values import backoff_seconds
+from siftline.workspace import materialise
 
 # States, allowed transitions, event names, progress checkpoints and failure codes.
 STATES = (
@@ -182,11 +183,41 @@ def trailing_hits(hits: DataFrame, key: str, ts: str, seconds: int) -> Column:
     return F.count("*").over(w)
 
 
+def quiet_segments(hits: DataFrame, key: str, ts: str, seconds: int, name: str = "segment") -> DataFrame:
+    """hits with a number for each stretch of a key's hits without a quiet gap of `seconds`.
+
+    A key may have most of the hits, so no task gets a key: hits are range-partitioned by key
+    and time and written once; gaps are seen inside partitions, and from the partitions' first
+    and last hits, a row for each, between them.
+    """
+    part, at, starts = f"{name}_part", f"{name}_at", f"{name}_starts"
+    placed = hits.repartitionByRange(key, ts).sortWithinPartitions(key, ts)
+    within = F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1)
+    placed = materialise(placed.select("*", F.spark_partition_id().alias(part), within.alias(at)), "hits", keep=True)
+    w = Window.partitionBy(part).orderBy(at)
+    micros = F.unix_micros(F.col(ts).cast("timestamp"))
+    # The first hit of a partition is compared with the last one before it below.
+    new = ~F.lag(key).over(w).eqNullSafe(F.col(key)) | (micros - F.lag(micros).over(w) >= seconds * 1_000_000)
+    marked = placed.withColumn(starts, F.when(F.col(at) == 0, 0).otherwise(F.coalesce(new, F.lit(True)).cast("int")))
+    hit = F.struct(F.col(key).alias("key"), micros.alias("micros"))
+    ends = marked.groupBy(part).agg(F.min_by(hit, at).alias("first"), F.max_by(hit, at).alias("last"), F.sum(starts).alias("starts")).orderBy(part)
+    base, number, last = [], 0, None
+    for r in ends.collect():
+        if last is None or r["first"]["key"] != last["key"] or r["first"]["micros"] is None or last["micros"] is None or r["first"]["micros"] - last["micros"] >= seconds * 1_000_000:
+            number += 1
+        base.append((r[part], number))
+        number, last = number + r["starts"], r["last"]
+    bases = F.broadcast(hits.sparkSession.createDataFrame(base, f"{part} int, {name}_base long"))
+    counted = marked.withColumn(name, F.sum(starts).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return counted.join(bases, part).select(*hits.columns, (F.col(name) + F.col(f"{name}_base")).alias(name))
+
+
 def admitted(hits: DataFrame, key: str, ts: str, limit: int, seconds: int) -> DataFrame:
     """hits with `allowed`: at most `limit` admitted hits in any window, rejected ones not counted.
 
-    Admission depends on what was admitted before, so each key is replayed in time order; a
-    key's hits stream through one task, and only the admitted times in the window are held.
+    Admission depends on what was admitted before, so hits are replayed in time order; a quiet
+    gap as long as the window forgets all, so each stretch between gaps is replayed on its own.
+    Only the admitted times in the window are held.
     """
     import pandas as pd
     from pyspark.sql import types as T
@@ -199,7 +230,7 @@ def admitted(hits: DataFrame, key: str, ts: str, limit: int, seconds: int) -> Da
         current, held = None, deque()
         for batch in batches:
             out = []
-            for k, t in zip(batch[key], batch[ts]):
+            for k, t in zip(batch["_segment"], batch[ts]):
                 if k != current:
                     current, held = k, deque()
                 start = t - pd.Timedelta(seconds=seconds)
@@ -209,9 +240,10 @@ def admitted(hits: DataFrame, key: str, ts: str, limit: int, seconds: int) -> Da
                 if ok:
                     held.append(t)
                 out.append(ok)
-            yield batch.assign(allowed=out)
+            yield batch.drop(columns="_segment").assign(allowed=out)
 
-    return hits.repartition(key).sortWithinPartitions(key, ts).mapInPandas(replay, schema)
+    dealt = quiet_segments(hits, key, ts, seconds, "_segment").repartition("_segment").sortWithinPartitions("_segment", ts)
+    return dealt.mapInPandas(replay, schema)
 
 
 def failure_table(spark: SparkSession) -> DataFrame:

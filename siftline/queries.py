@@ -1361,3 +1361,17 @@ def stream_leases(spark, sf):
 def stream_retries(spark, sf):
     """Attempts that fail, to be repeated or not, while leases are long."""
     return _supervised(spark, sf, *_RETRIES)
+
+
+@query("""
+    WITH c AS (SELECT *, 40 * (user_id % 7) AS cursor FROM events WHERE user_id % 3 <> 0),
+    e AS (SELECT user_id, min(event_id) AS last FROM c WHERE event_id > cursor AND event_type = 'purchase' GROUP BY user_id)
+    SELECT c.user_id AS job_id, c.event_id AS sequence_no, c.event_type FROM c LEFT JOIN e ON e.user_id = c.user_id
+    WHERE c.event_id > cursor AND (e.last IS NULL OR c.event_id <= e.last)
+""")
+def stream_tails(spark, sf):
+    """Tails of many jobs at once, each from its reader's cursor to the event that ends it."""
+    cursors = table(spark, sf, "events").where("user_id % 3 <> 0").select(F.col("user_id").alias("job_id"), (F.col("user_id") % 7 * 40).alias("cursor")).distinct()
+    events = _stream(spark, sf).select("job_id", F.col("id").alias("sequence_no"), "event_type")
+    with workspace.session_conf(spark, spark__sql__streaming__stateStore__providerClass=leases.STORE):
+        return streams.run_available(streams.tails(events, cursors, ("purchase",)))

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import StructType
 
@@ -54,6 +55,53 @@ def follow(events: DataFrame, path: str, checkpoint: str, ended: Column, poll: s
         query.stop()
 
 
+class _Tail(StatefulProcessor):
+    """One job's tail: the sequence number that its reader has, while the tail is open."""
+
+    def __init__(self, ends: tuple[str, ...]):
+        self.ends = ends
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.cursor = handle.getValueState("cursor", "sequence_no long")
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        self.cursor.update((int(initialState["cursor"].iloc[0]),))
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        if not self.cursor.exists():
+            return
+        (cursor,) = self.cursor.get()
+        new = pd.concat(list(rows))
+        new = new[new["sequence_no"] > cursor].sort_values("sequence_no")
+        over = new["event_type"].isin(self.ends).to_numpy()
+        if over.any():
+            new = new.iloc[: over.argmax() + 1]
+            self.cursor.clear()
+        elif len(new):
+            self.cursor.update((int(new["sequence_no"].iloc[-1]),))
+        if len(new):
+            yield new[["job_id", "sequence_no", "event_type"]]
+
+    def close(self) -> None:
+        pass
+
+
+def tails(events: DataFrame, cursors: DataFrame, ends: tuple[str, ...] = ("job_completed", "job_failed", "job_cancelled")) -> DataFrame:
+    """job_id, sequence_no, event_type: the events of each job in `cursors` (job_id, cursor) after its cursor, up to the one that ends it.
+
+    A job's tail closes with its own last event, while those of others go on; events of jobs
+    without a cursor or with a closed tail are passed over, and what is at or before the cursor
+    isn't told again. Events of a job come in the order of their numbers, across micro-batches. The state is a number for
+    each open tail. Needs the RocksDB state store.
+    """
+    chosen = events.select("job_id", F.col("sequence_no").cast("long").alias("sequence_no"), "event_type")
+    kind = chosen.schema["job_id"].dataType.simpleString()
+    start = cursors.select(F.col("job_id").cast(kind).alias("job_id"), F.col("cursor").cast("long").alias("cursor")).groupBy("job_id")
+    return chosen.groupBy("job_id").transformWithStateInPandas(
+        _Tail(tuple(ends)), f"job_id {kind}, sequence_no long, event_type string", "append", "none", start
+    )
+
+
 def numbered(events: DataFrame) -> DataFrame:
     """job_id, id, sequence_no: each job's events numbered without a gap across micro-batches.
 

@@ -94,3 +94,45 @@ def test_held_leases_start_the_stream(spark, tmp_path):
     held = spark.createDataFrame([("a", 0, at(10)), ("b", 3, at(20)), ("c", 1, at(9000))], "job_id string, attempt int, lease_until timestamp")
     batches = [[("c", 1, at(5), "DONE", None), ("z", 2, at(100), "CLAIM", at(9000))]]
     assert run(spark, tmp_path, batches, held=held) == [("a", "RETRY_DUE", 1, 11.0), ("b", "JOB_FAILED", 4, 20.0)]
+
+
+def test_tails_close_each_with_its_job(spark, tmp_path):
+    kinds = "job_id string, sequence_no long, event_type string"
+    batches = [
+        [("a", 1, "x"), ("a", 2, "x"), ("b", 1, "x"), ("c", 1, "x"), ("d", 3, "job_failed")],
+        [("a", 3, "job_completed"), ("a", 4, "late"), ("b", 2, "x"), ("b", 2, "x")],
+        [("a", 5, "late"), ("b", 3, "job_cancelled"), ("c", 2, "x")],
+    ]
+    cursors = spark.createDataFrame([("a", 1), ("b", 0), ("d", 3)], "job_id string, cursor long")
+    source, out, check = (f"file://{tmp_path}/{n}" for n in ("in", "out", "check"))
+    with workspace.session_conf(spark, spark__sql__streaming__stateStore__providerClass=leases.STORE):
+        for batch in batches:
+            spark.createDataFrame(batch, kinds).coalesce(1).write.mode("append").parquet(source)
+            rows = jobs.read_table(spark, source, spark.createDataFrame([], kinds).schema)
+            jobs.write_available(jobs.tails(rows, cursors), out, check)
+    got = sorted((r.job_id, r.sequence_no) for r in spark.read.parquet(out).collect())
+    assert got == [("a", 2), ("a", 3), ("b", 1), ("b", 2), ("b", 2), ("b", 3)]
+
+
+def test_a_hot_key_is_replayed_in_many_tasks(spark):
+    from pyspark.sql import functions as F
+
+    from siftline.operators import lifecycle
+
+    # A burst of five hits every hundred seconds for a key with most hits; a key without a gap; single hits; nulls.
+    hot = spark.range(40_000).select(F.lit("hot").alias("k"), (F.floor(F.col("id") / 5) * 100 + F.col("id") % 5).alias("s"))
+    steady = spark.range(3000).select(F.lit("steady").alias("k"), (F.col("id") * 7).alias("s"))
+    single = spark.range(50).select(F.concat(F.lit("k"), F.col("id")).alias("k"), F.lit(5).cast("long").alias("s"))
+    hits = hot.unionByName(steady).unionByName(single).withColumn("ts", F.timestamp_seconds("s"))
+    numbered = lifecycle.quiet_segments(hits, "k", "ts", 60)
+    per = numbered.groupBy("segment").agg(F.min("k").alias("a"), F.max("k").alias("b"), F.count("*").alias("n"))
+    assert per.where("a <> b").count() == 0 and per.count() == 8000 + 1 + 50 and per.agg(F.max("n")).first()[0] == 3000
+    got = lifecycle.admitted(hits, "k", "ts", 3, 60)
+    with workspace.session_conf(spark, spark__sql__adaptive__coalescePartitions__enabled="false"):
+        assert got.where("k = 'hot'").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+    seen = {}
+    for r in got.orderBy("k", "s").collect():
+        held = [t for t in seen.get(r.k, []) if t > r.s - 60]
+        assert r.allowed == (len(held) < 3)
+        seen[r.k] = held + [r.s] if r.allowed else held
+    assert lifecycle.admitted(hits.limit(0), "k", "ts", 3, 60).collect() == []
