@@ -19,7 +19,7 @@ from siftline.functions import text as txt
 from siftline.functions import urls, values
 from siftline.operators import dataset, discovery, extraction, lifecycle, reads, validation
 from siftline.plans.plan import Limits, Navigation, Plan, PlanField
-from siftline.sinks import assembly, writers
+from siftline.sinks import artifact_sink, assembly, writers
 from siftline.sources import pages as html_pages
 from siftline.sources.structured import SITEMAP_URLS
 from siftline.streaming import jobs as streams
@@ -1237,6 +1237,20 @@ def export_whole_files(spark, sf):
     return assembly.file_lines(spark, files)
 
 
+@query("""
+    WITH r AS (SELECT *, (row_number() OVER (ORDER BY p_partkey) - 1) // 100 AS part FROM part),
+    f AS (SELECT part, 'p_partkey,p_name,p_size' || chr(10) || string_agg(p_partkey || ',' || p_name || ',' || p_size || chr(10), '' ORDER BY p_partkey) AS content FROM r GROUP BY part)
+    SELECT 'parts-' || part || '.csv' AS name, strlen(content) AS byte_size, 'sha256:' || sha256(content) AS checksum, true AS readable FROM f
+""")
+def stored_artifacts(spark, sf):
+    """Files of 100 records each, stored as artifacts and read back by their manifest."""
+    files = writers.render_parts(_parts_dataset(spark, sf, "p_partkey", "p_name", "p_size"), "csv", ["p_partkey"], per_file=100)
+    uri = workspace.work_path(spark, "artifacts")
+    artifact_sink.store(files.select(F.concat(F.lit("parts-"), "part", F.lit(".csv")).alias("name"), "content"), uri)
+    bad = artifact_sink.unreadable(spark, uri).select("key", F.lit(True).alias("bad"))
+    return artifact_sink.stored(spark, uri).join(bad, "key", "left").select("name", "byte_size", "checksum", F.col("bad").isNull().alias("readable"))
+
+
 @query("SELECT o_orderkey AS id, 'validated-export-' || left(sha256(o_orderkey::VARCHAR), 8) || '.csv' AS filename FROM orders")
 def export_filename(spark, sf):
     run = F.sha2(F.col("o_orderkey").cast("string"), 256)
