@@ -8,6 +8,7 @@ typed product records, pages captured pages.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -17,8 +18,8 @@ from siftline import workspace
 from siftline.deploy import ship
 from siftline.functions import text as txt
 from siftline.functions import urls, values
-from siftline.operators import dataset, discovery, extraction, lifecycle, reads, validation
-from siftline.plans.plan import Limits, Navigation, Plan, PlanField
+from siftline.operators import dataset, dedupe, discovery, extraction, lifecycle, reads, validation
+from siftline.plans.plan import Deduplication, Limits, Navigation, Plan, PlanField
 from siftline.sinks import artifact_sink, assembly, writers
 from siftline.sources import pages as html_pages
 from siftline.sources.structured import SITEMAP_URLS
@@ -1279,6 +1280,24 @@ def content_hash(spark, sf):
     return table(spark, sf, "part").select(F.col("p_partkey").alias("id"), values.content_hash(payload).alias("content_hash"))
 
 
+# ---------------------------------------------------------------- deduplication
+
+
+@query("""
+    WITH RECURSIVE l AS (
+      SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey
+        AND (a.p_name = b.p_name AND a.p_size = b.p_size OR a.p_retailprice = b.p_retailprice)
+    ), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
+    SELECT p_partkey AS id, least(p_partkey, coalesce(least, p_partkey)) AS represented_by, least IS NULL OR p_partkey < least AS kept
+    FROM part LEFT JOIN c ON c.a = p_partkey
+""")
+def deduplicated_records(spark, sf):
+    """Records that agree on name, brand and size, or on price and brand, or are connected by such."""
+    plan = replace(PART_PLAN, deduplication=Deduplication(keys=("name+brand+size", "price + brand")))
+    records = _part_records(spark, sf).withColumn("id", F.col("page_id").cast("long"))
+    return dedupe.deduplicated(records, plan, "id").select("id", "represented_by", "kept")
+
+
 # ---------------------------------------------------------------- streaming
 
 
