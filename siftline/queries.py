@@ -1284,11 +1284,14 @@ def content_hash(spark, sf):
 
 
 @query("""
-    WITH RECURSIVE l AS (
-      SELECT a.p_partkey AS a, b.p_partkey AS b FROM part a JOIN part b ON a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey
-        AND (a.p_name = b.p_name AND a.p_size = b.p_size OR a.p_retailprice = b.p_retailprice)
+    WITH RECURSIVE p AS (
+      SELECT p_partkey, p_name AS name, CASE WHEN p_size % 7 <> 0 THEN p_brand END AS brand, CASE WHEN p_size % 11 = 0 THEN 4.5 ELSE p_size END AS size,
+        CASE WHEN p_size % 13 <> 0 THEN p_retailprice END AS price FROM part
+    ), l AS (
+      SELECT a.p_partkey AS a, b.p_partkey AS b FROM p a JOIN p b ON a.brand = b.brand AND a.p_partkey <> b.p_partkey
+        AND (a.name = b.name AND a.size = b.size OR a.price = b.price)
     ), r AS (SELECT a, b FROM l UNION SELECT r.a, l.b FROM r JOIN l ON r.b = l.a), c AS (SELECT a, min(b) AS least FROM r GROUP BY a)
-    SELECT p_partkey AS id, least(p_partkey, coalesce(least, p_partkey)) AS represented_by, least IS NULL OR p_partkey < least AS kept
+    SELECT p_partkey AS id, least(p_partkey, coalesce(least, p_partkey)) AS represented_by, p_partkey <= coalesce(least, p_partkey) AS kept
     FROM part LEFT JOIN c ON c.a = p_partkey
 """)
 def deduplicated_records(spark, sf):
