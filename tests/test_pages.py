@@ -116,3 +116,13 @@ def test_time_is_linear(unit):
 
     seconds(100)
     assert seconds(20_000) < 40 * max(0.02, seconds(2_000))
+
+
+def test_references_without_semicolon():
+    html = '<h1>a &amp;&amp b&copy &lt;</h1><ul><li>x&amp<li><a href="/p?a=1&amp;b=2&copy=3">y&ampz</a></ul><script type="application/ld+json">{"a": "b && c&amp;"}</script>'
+    as_html, closed = (parse_page(html, "https://a.example.com/", closed_references=x) for x in (False, True))
+    assert as_html["document"]["page_text"] == "a && b© < x& y&z"
+    assert closed["document"]["page_text"] == "a &&amp b&copy < x&amp y&ampz"
+    assert [b["text"] for b in closed["document"]["blocks"]] == ["x&amp", "y&ampz"]
+    assert closed["signals"][0]["href"] == "https://a.example.com/p?a=1&b=2&copy=3"
+    assert closed["document"]["json_ld"] == as_html["document"]["json_ld"] == ['{"a": "b && c&amp;"}']
