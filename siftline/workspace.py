@@ -99,6 +99,12 @@ def materialise(df: DataFrame, tag: str, keep: bool = False) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df dealt evenly over the cluster: for compact tables whose rows cost much CPU, as a scan deals rows by their bytes."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def positioned(df: DataFrame, order: list[str], name: str = "n") -> DataFrame:
     """df with each row's place (0, 1, ...) in the order of some columns, as column `name`.
 

@@ -208,3 +208,20 @@ def test_deeply_nested_json_ld_is_malformed(spark):
     pages = spark.createDataFrame([(1, "https://e.com/", html)], "page_id long, url string, html string")
     record = extraction.extract(parse_pages(pages), PLAN).first()
     assert record.malformed_json_ld == 1 and record.strategy == "structured_data"
+
+
+def test_cut_off_scripts_do_not_reach_python(spark):
+    from siftline.sources.structured import entities, scripts_to_read
+
+    texts = ["[" * 100_000, "{broken", '[{"name": "a"}', '{"name": "b"}', '[{"name": "c"}]\n', '{"a": 1]', " [1", "[1 ", "7", "[", "x", ""]
+    read = spark.createDataFrame([(texts,)], "s array<string>").select(scripts_to_read(F.col("s")).alias("s")).first().s
+    assert read == ["", "", "", '{"name": "b"}', '[{"name": "c"}]\n', "", " [1", "[1 ", "7", "", "x", ""]
+    assert entities(read) == entities(texts)
+
+
+def test_compact_tables_are_spread(spark, tmp_path):
+    from siftline import queries as engine
+
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert engine.QUERIES["extract_jsonld"](spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count() >= 4
