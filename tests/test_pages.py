@@ -126,3 +126,13 @@ def test_references_without_semicolon():
     assert [b["text"] for b in closed["document"]["blocks"]] == ["x&amp", "y&ampz"]
     assert closed["signals"][0]["href"] == "https://a.example.com/p?a=1&b=2&copy=3"
     assert closed["document"]["json_ld"] == as_html["document"]["json_ld"] == ['{"a": "b && c&amp;"}']
+
+
+def test_parses_are_held_for_few_pages_at_once():
+    import pyarrow as pa
+
+    from siftline.sources.pages import _slices
+
+    batch = pa.RecordBatch.from_pydict({"i": list(range(7)), "html": ["a" * 5, "b" * 5, None, "é" * 9, "", "c" * 3, "d" * 11]})
+    assert [x.column("i").to_pylist() for x in _slices(batch, "html", 10)] == [[0, 1, 2], [3], [4, 5], [6]]
+    assert [x.num_rows for x in _slices(batch.slice(0, 0), "html", 10)] == [0]
