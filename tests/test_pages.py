@@ -4,6 +4,7 @@ import random
 from time import process_time
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftline.sources.pages import parse_page
 
@@ -136,3 +137,13 @@ def test_parses_are_held_for_few_pages_at_once():
     batch = pa.RecordBatch.from_pydict({"i": list(range(7)), "html": ["a" * 5, "b" * 5, None, "é" * 9, "", "c" * 3, "d" * 11]})
     assert [x.column("i").to_pylist() for x in _slices(batch, "html", 10)] == [[0, 1, 2], [3], [4, 5], [6]]
     assert [x.num_rows for x in _slices(batch.slice(0, 0), "html", 10)] == [0]
+
+
+def test_nested_structures_parse_each_page_once_on_all_tasks(spark, tmp_path):
+    from siftline import queries as engine
+
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    made = engine.QUERIES["nested_structures"](spark, str(tmp_path))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert made.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
