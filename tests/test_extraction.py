@@ -225,3 +225,10 @@ def test_compact_tables_are_spread(spark, tmp_path):
     part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
     part.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
     assert engine.QUERIES["extract_jsonld"](spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+
+
+def test_part_records_are_spread(spark, tmp_path):
+    from siftline import queries as engine
+
+    spark.read.parquet("/root/testdata/sf0.001/part.parquet").coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    assert engine.QUERIES["record_findings"](spark, str(tmp_path)).select(F.spark_partition_id().alias("p")).distinct().count() >= 4
