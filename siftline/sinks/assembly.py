@@ -16,7 +16,6 @@ time. The file gets its name when it is complete; a failed attempt leaves none.
 from __future__ import annotations
 
 import html
-import io
 import json
 import os
 import re
@@ -457,9 +456,10 @@ def part_lines(files: DataFrame) -> DataFrame:
     """format, part, n, line of the files of render_parts."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for r in (r for batch in batches for r in batch.to_pylist()):
-            lines = list(read_lines(r["format"], io.BytesIO(r["content"])))
-            columns = [[r["format"]] * len(lines), [r["part"]] * len(lines), list(range(len(lines))), lines]
+        # One file's content and lines at a time, whatever the number of files in a batch.
+        for name, part, content in (x for batch in batches for x in zip(*(batch.column(c) for c in ("format", "part", "content")))):
+            lines = list(read_lines(name.as_py(), pa.BufferReader(content.as_buffer())))
+            columns = [[name.as_py()] * len(lines), [part.as_py()] * len(lines), list(range(len(lines))), lines]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.string()))], ["format", "part", "n", "line"])
 
     return files.select("format", "part", "content").mapInArrow(read, "format string, part long, n long, line string")

@@ -122,3 +122,34 @@ def test_many_rows_in_flat_driver_memory(spark, tmp_path):
     with open(tmp_path / "out.xlsx", "rb") as f:
         lines = list(assembly.read_lines("xlsx", f))
     assert lines[0] == "k|word" and lines[1:] == [f"{i}|value {i}" for i in range(300_000)]
+
+
+def test_packed_files_are_read_one_at_a_time(spark, monkeypatch):
+    """Many files may come in one batch: their contents are not copied out of it together."""
+    import pyarrow as pa
+
+    from siftline.sinks import assembly
+
+    made = {}
+    monkeypatch.setattr(assembly, "read_lines", lambda name, stream: [name, stream.read().decode()])
+
+    class Files:
+        def select(self, *names):
+            return self
+
+        def mapInArrow(self, f, schema):
+            made["read"] = f
+            return self
+
+    class Batch:
+        """A batch whose rows can't be had as Python objects all at once."""
+
+        def __init__(self):
+            self.of = pa.RecordBatch.from_pydict({"format": ["xlsx", "pdf"], "part": [0, 1], "content": [b"a", b"b"]})
+
+        def column(self, name):
+            return self.of.column(name)
+
+    assembly.part_lines(Files())
+    rows = [r for b in made["read"](iter([Batch()])) for r in b.to_pylist()]
+    assert [(r["format"], r["part"], r["n"], r["line"]) for r in rows] == [("xlsx", 0, 0, "xlsx"), ("xlsx", 0, 1, "a"), ("pdf", 1, 0, "pdf"), ("pdf", 1, 1, "b")]
