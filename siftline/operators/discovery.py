@@ -9,7 +9,6 @@ from pyspark.sql import types as T
 from siftline.functions import text as txt
 from siftline.functions import urls
 from siftline.plans.plan import Plan
-from siftline.sources.pages import LINKS
 from siftline.sources.structured import SITEMAP_URLS, sitemap_locations
 from siftline.workspace import work_path
 
@@ -17,10 +16,10 @@ MAX_DEPTH = 2
 MAX_LEVELS = 100
 
 
-def exploded(pages: DataFrame, signals: str = "signals", limit: int = LINKS) -> DataFrame:
+def exploded(pages: DataFrame, signals: str = "signals") -> DataFrame:
     """One row per anchor, in page order: the page's columns plus position, href, text, rel, aria_label."""
     rest = [c for c in pages.columns if c != signals]
-    return pages.select(*rest, F.posexplode(F.slice(signals, 1, limit)).alias("position", "_s")).select(*rest, "position", "_s.*")
+    return pages.select(*rest, F.posexplode(signals).alias("position", "_s")).select(*rest, "position", "_s.*")
 
 
 def classified(plan: Plan, text: Column, rel: Column, aria: Column, url: Column) -> Column:
