@@ -147,3 +147,12 @@ def test_nested_structures_parse_each_page_once_on_all_tasks(spark, tmp_path):
     plan = made._jdf.queryExecution().executedPlan().toString()
     assert plan.count("MapInArrow") == 1
     assert made.select(F.spark_partition_id().alias("p")).distinct().count() >= 4
+
+
+def test_whole_pages_are_not_cut():
+    row = "<tr><td>" + "c" * 3000 + "<td>d"
+    html = '<meta property="og:title" content="' + "t" * 3000 + '">' + "".join(f'<script type="application/ld+json">{i}</script><li>item {i}' for i in range(600)) + "x " * 150_000
+    document = parse_page(html + f"<table><tr><th>h<th>k{row * 900}</table>" + "<table><tr><th>h<td>x</table>" * 600, "http://a/", whole=True)["document"]
+    assert [b["text"][:8] for b in document["blocks"]][:-1] == [f"item {i}" for i in range(599)] and document["json_ld"] == [str(i) for i in range(600)]
+    assert document["tables"][0]["rows"] == [["c" * 3000, "d"]] * 900 and len(document["tables"]) == 601
+    assert len(document["page_text"]) > 3_000_000 and len(dict(document["open_graph"])["title"]) == 3000 and not document["truncated"]
